@@ -59,14 +59,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash, computed once in a worker."""
+    """word -> 64-bit hash of it in lower case, computed once in a worker."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > MEMORY:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = self[word] = xxhash.xxh3_64_intdigest(word.lower())  # of bytes: A-Z only
         return got
 
 
@@ -79,8 +79,8 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """For each text its distinct shingles as sorted 64-bit hashes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lowered = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    split = pc.ascii_split_whitespace(lowered)
+    # the cast also rebases a slice, which some string kernels do not honour
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     coded = split.values.dictionary_encode()
     known = _word_hashes()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
