@@ -40,22 +40,118 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), [host_rule(name, verdict) for name, verdict in URL_RULES])
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=2, size=4096)
 
 
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gif import features, stored
+
+    return features(stored(table(spark, sf_dir, "documents")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op5_minhash, op7_packing)
+    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op4_language_id, op5_minhash, op6_toxicity, op7_packing, op8_gif, op9_quality_rules, op10_licences, pipeline)
 }
 
+def _licence_sql() -> str:
+    """The canonical digest and its look-up as DuckDB SQL, from the operator's constants."""
+    from .licences import COPYRIGHT_LINE, NOTICES, SPELLINGS, TEXTS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '', 'g')"
+        for given, one in SPELLINGS:
+            out = f"replace({out}, {quoted(given)}, {quoted(one)})"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    rows = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
+    return f"""
+WITH known AS (
+  SELECT min(license_id) AS license_id, sha256({canonical("t")}) AS digest FROM (VALUES {rows(TEXTS + NOTICES)}) v(license_id, t) GROUP BY 2
+), notice AS (
+  SELECT DISTINCT name, sha256({canonical("t")}) AS digest FROM (VALUES {rows(NOTICES)}) v(name, t)
+), d AS (SELECT doc_id, text, sha256({canonical("text")}) AS canonical_sha256 FROM documents
+), l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+), f AS (
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
+  FROM (SELECT doc_id, sha256({canonical("line")}) AS digest FROM l WHERE regexp_matches(lower(line), 'licen[sc]e')) JOIN notice USING (digest) GROUP BY doc_id
+)
+SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN f USING (doc_id)
+"""
+
+
+_QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS host, md5(text) AS digest, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3
+), t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]) AS n FROM p
+), r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS at FROM t, range(0, 3) g(k) WHERE n > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, host, digest, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key
+  FROM (SELECT doc_id, host, digest, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id
+), c AS (SELECT host, key FROM l GROUP BY host, key HAVING count(DISTINCT digest) > {limit}
+), g AS (SELECT doc_id, sum(words)::BIGINT AS removed FROM l JOIN c USING (host, key) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN g USING (doc_id)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < {least} OR 100 * (n_words - removed_words) < {share} * n_words)) AS kept FROM b
+"""
+
+
+def _quality_sql() -> str:
+    from .quality import LEAST_SHARE, LEAST_WORDS, LINE_LIMIT
+
+    return _QUALITY_SQL.format(limit=LINE_LIMIT, least=LEAST_WORDS, share=LEAST_SHARE)
+
+
 SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH u AS (
@@ -72,4 +168,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """,
+    "op9_quality_rules": _quality_sql(),
+    "op10_licences": _licence_sql(),
 }
