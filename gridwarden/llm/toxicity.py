@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CATEGORIES = ("lexical", "inflected", "repeated", "toxic")
 #: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature.
@@ -229,10 +230,8 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 toxic = pa.array((p[:, -1] >= THRESHOLD).tolist(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), toxic], [*b.schema.names, *added, "toxic"])
 
-    schema = source.schema
-    for a in added:
-        schema = schema.add(a, "double")
-    return source.mapInArrow(run, schema.add("toxic", "boolean"))
+    fields = [*(T.StructField(a, T.DoubleType()) for a in added), T.StructField("toxic", T.BooleanType())]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *fields]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
