@@ -9,8 +9,9 @@ two counts is taken, and what remains goes on.  The result is a list of patterns
 
 Joining back.  Slot number r of a length belongs to a known pattern and copy of it, so
 each piece needs only its rank among the pieces of its length.  Ranks are counted
-range by range of doc_id: within a range by a window, before it by the ranges'
-histograms.  No length, however common, is one task's work.
+part by part of the input (``part`` is the task that cut it): within a part by a
+window, before it by the parts' histograms.  No length, however common, is one
+task's work.
 
 A last sequence of a pattern is padded to ``size``; where the filled length is
 a power of two it is left as it is (``padded`` gives the length).
@@ -32,7 +33,7 @@ from . import tokens
 from .store import materialise
 
 SIZE = 4096
-PIECE = "doc_id bigint, row string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECE = "part int, row bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -107,28 +108,26 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) -
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(own), size):
                         part = own[start : start + size]
-                        for name, v in zip(arrow.names, (doc, f"{task} {row}", start, len(part), zlib.crc32(part), len(own))):
+                        for name, v in zip(arrow.names, (task, row, doc, start, len(part), zlib.crc32(part), len(own))):
                             out[name].append(v)
                     row += 1
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    arrow = pa.schema([("part", pa.int32()), *((n, pa.int64()) for n in ("row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"))])
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) -> DataFrame:
     """Where each piece of each document goes; see the module for columns and cases."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = (F.col("doc_id").asc_nulls_first(), F.col("row"), F.col("start"))
-    cut = materialise(pieces(docs, tokenizer, end_id, size).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-    by_range = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
+    cut = materialise(pieces(docs, tokenizer, end_id, size))  # once: what follows reads a small table
+    by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     # at most `size` rows come back, however many documents there are
-    histogram = {r["length"]: r["n"] for r in by_range.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = Slots(patterns(histogram, size))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = by_range.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("part", "length").orderBy(*order))
+    base = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part", "length").orderBy("row", "start"))
     ranked = cut.withColumn("inside", inside - 1).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("inside"))
     shared = spark.sparkContext.broadcast(slots)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
