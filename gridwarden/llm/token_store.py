@@ -40,7 +40,7 @@ from . import tokens
 from .store import shared_dir
 
 #: Chunk sizes in ids: at least, on average about LEAST + 2 ** BITS, at most.
-LEAST, BITS, MOST = 64, 9, 4096
+LEAST, BITS, MOST = 128, 10, 4096
 _PART = "kind int, key binary, n bigint, payload binary, doc_id bigint, chunks array<struct<digest:binary,n:int>>, root binary"
 
 

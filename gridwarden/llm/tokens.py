@@ -1,8 +1,8 @@
 """Whole-column token ids, one computation per distinct word.
 
 A column of texts is cut at ASCII white space, which no pre-token of the word
-vocabulary crosses, and dictionary-encoded in Arrow.  Only words a worker has not
-met are encoded; the ids of every text are then gathered by array indexing.  Two
+vocabulary crosses, and looked up in Arrow.  Only words a worker has not met are
+encoded; the ids of every text are then gathered by array indexing.  Two
 encoders share this frame: the tokenizers library (this module) and the
 backtracking encoder of ``bpe``.
 """
@@ -23,9 +23,9 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 PIECES = regex.compile(PIECE)
 PIECES_OR_GAP = regex.compile(PIECE + "| ")
 #: Words the library would change only by lower-casing: printable ASCII, Latin letters.
-PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u017e]+")
-#: Distinct words that one Python worker remembers before it starts afresh.
-MEMORY = 400_000
+PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u017e]+$"
+#: Distinct words, and distinct pre-tokens, that one Python worker remembers before it starts afresh.
+MEMORY, PIECE_MEMORY = 600_000, 250_000
 
 
 @functools.cache
@@ -43,66 +43,84 @@ def byte_table() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Memo of word -> little-endian 32-bit ids; subclasses encode unseen words."""
+    """A table of words and their ids; subclasses encode what is not in it.
+
+    The table is an Arrow array of the words and one flat array of ids, so that known
+    words are found without making a Python object of each.
+    """
 
     def __init__(self) -> None:
-        self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([""], pa.large_string())
+        self.flat = np.zeros(0, np.uint32)
+        self.sizes = np.zeros(1, np.int32)
 
     def piece(self, piece: str) -> bytes:
-        """Ids of one lower-cased pre-token."""
+        """Ids of one lower-cased pre-token, as little-endian 32-bit numbers."""
         raise NotImplementedError
 
     def odd_word(self, word: str) -> bytes:
         """Ids of a word that is not PLAIN, or that holds a special token."""
         raise NotImplementedError
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) > MEMORY:
-            self.memo.clear()
-        if len(self.pieces) > MEMORY:
+    def learn(self, words: pa.Array) -> None:
+        """Add distinct unknown words to the table."""
+        if len(self.words) > MEMORY:
+            self.forget()
+        if len(self.pieces) > PIECE_MEMORY:
             self.pieces.clear()
-        plain = []
-        for w in words:
-            if PLAIN.fullmatch(w) and "<|" not in w:
-                plain.append(w)
-            else:
-                self.memo[w] = self.odd_word(w)
-        known, at, ids = self.pieces, 0, []
-        for p in PIECES_OR_GAP.findall(" ".join(plain).lower()) if plain else ():
+        names = words.to_pylist()
+        ids: list[bytes] = [b""] * len(names)
+        simple = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(simple).tolist()
+        for i in np.flatnonzero(~simple).tolist():
+            ids[i] = self.odd_word(names[i])
+        known, at, own = self.pieces, 0, []
+        for p in PIECES_OR_GAP.findall(" ".join([names[i] for i in plain]).lower()) if plain else ():
             if p == " ":
-                self.memo[plain[at]] = b"".join(ids)
-                at, ids = at + 1, []
+                ids[plain[at]] = b"".join(own)
+                at, own = at + 1, []
             else:
                 got = known.get(p)
                 if got is None:
                     got = known[p] = self.piece(p)
-                ids.append(got)
+                own.append(got)
         if plain:
-            self.memo[plain[at]] = b"".join(ids)
+            ids[plain[at]] = b"".join(own)
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int32, len(ids)) // 4])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in one uint32 array, and each text's offsets in it (nulls: empty)."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        memo = self.memo
-        found = [memo.get(w) for w in words]
-        if missing := [w for w, ids in zip(words, found) if ids is None and w]:
-            kept = dict(zip(words, found))
-            self.learn(missing)
-            found = [kept[w] if kept[w] is not None else memo.get(w, b"") for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(x or b"" for x in found), np.uint32) if words else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
-        each = sizes[which] if len(which) else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[which] - upto[:-1], each) + np.arange(upto[-1])] if len(which) else flat[:0]
-        return ids, upto[np.asarray(split.offsets)]
+        # the cast also rebases a slice, which some string kernels do not honour
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        words = split.values
+        which = pc.index_in(words, self.words)
+        if which.null_count:
+            new = pc.unique(words.filter(which.is_null()))
+            before = len(self.words)
+            self.learn(new)
+            if len(self.words) == before + len(new):
+                late = pc.index_in(words.filter(which.is_null()), new)
+                which = pc.replace_with_mask(which, which.is_null(), pc.add(late, pa.scalar(before, pa.int32())))
+            else:  # the table was begun afresh: what this slice needs is learned again
+                again = pc.unique(words)
+                self.forget()
+                self.learn(again.filter(pc.not_equal(again, "")))
+                which = pc.index_in(words, self.words)
+        which = which.to_numpy()
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        each = self.sizes[which]
+        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        place = np.arange(upto[-1], dtype=np.int64)
+        place += np.repeat(starts[which] - upto[:-1], each)
+        return self.flat[place], upto[np.asarray(split.offsets)]
 
 
 class LibraryEncoder(WordEncoder):
@@ -119,11 +137,12 @@ class LibraryEncoder(WordEncoder):
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size() + 1)]
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(byte_table())
-        return np.array([t.id for t in self.model.tokenize(piece)], np.uint32).tobytes()
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece)])
 
     def odd_word(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -135,14 +154,17 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def null_safe_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
-
-
-#: Texts of one slice: keeps the word table of a slice in the CPU's cache.
-SLICE = 1000
+#: Bytes of text that are worked on together (a longer text is a slice of its own).
+SLICE = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, size: int = SLICE):
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE):
+    """The batch in consecutive slices of about ``size`` bytes of the text column."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    upto = np.cumsum(lengths)
+    lo = 0
+    while lo < batch.num_rows:
+        done = upto[lo] - lengths[lo]
+        hi = max(lo + 1, int(np.searchsorted(upto, done + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
