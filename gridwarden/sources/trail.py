@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The trail's fields and the kinds of event.
-SCHEMA = T.StructType.fromDDL(
-    "seq bigint, ts timestamp, type string, round int, from_mode string, to_mode string, reason string, failed_nodes array<int>, active_nodes array<int>, "
-    "attack string, k_votes int, n_flags int, detector_nodes array<int>, source_node int, confidence double, detail string"
-)
+_INTS = T.ArrayType(T.IntegerType())
+SCHEMA = (
+    T.StructType().add("seq", "long").add("ts", "timestamp").add("type", "string").add("round", "integer").add("from_mode", "string").add("to_mode", "string").add("reason", "string")
+    .add("failed_nodes", _INTS).add("active_nodes", _INTS).add("attack", "string").add("k_votes", "integer").add("n_flags", "integer").add("detector_nodes", _INTS)
+    .add("source_node", "integer").add("confidence", "double").add("detail", "string")
+)
 KINDS = ("architecture_change", "node_failure", "intrusion_detected")
 
 
