@@ -18,14 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     Where the session has no such setting (tests on one machine) a temporary
-    local folder is set and used; a cluster always names its own.
+    local folder is used; a cluster always names its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'gridwarden-shared')}"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
