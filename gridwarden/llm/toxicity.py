@@ -1,22 +1,23 @@
 """Toxicity by a classifier chain of linear models.
 
 Labelled documents say only whether they are toxic, so the categories before the
-last are derived from the labelled sample itself: words that occur in toxic texts and
-practically never in others are its markers, and a stem is a prefix that many
-markers share.  The chain predicts, in this order,
+last are derived from the labelled sample itself: words and word prefixes that speak for
+toxic texts more than chance allows among so many are its markers; a stem is a
+prefix that is not mostly one marker word's.  The chain predicts, in this order,
 
 1. ``lexical``   the text has a marker word that stands for itself,
 2. ``inflected`` the text has a marker that is one of a stem's many forms,
 3. ``repeated``  the text has more than one marker,
 4. ``toxic``     the label.
 
-Each model is logistic regression on the presence of words and word prefixes, plus the
-probabilities of all earlier categories.  Those inputs are out-of-fold: for training,
+Each model is logistic regression on the damped counts of markers, the text's length,
+and the probabilities of all earlier categories.  Near copies in the sample count once.  Those inputs are out-of-fold: for training,
 an earlier category's probability of a document comes from a model that was fitted
-without its fold; a last model, fitted on all, serves prediction.
+without its fold; a last model, fitted on all, serves prediction.  The verdict's
+threshold is where out-of-fold F0.5 of the last category is largest.
 
 The sample is bounded (``SAMPLE`` documents, half of them toxic where there are so
-many; documented); features are the ``FEATURES`` ones that differ most between the classes.
+many; documented); features are the markers, at most ``FEATURES`` of them.
 Prediction reads every whole text, one look-up for each distinct word of a batch.
 
 Cases: a null or empty text has probability 0 in all categories and is not toxic; with
@@ -36,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .minhash import bands, shingle_sets, sketch
+
 CATEGORIES = ("lexical", "inflected", "repeated", "toxic")
-#: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature.
-SAMPLE, FEATURES, FOLDS, PREFIXES, SUPPORT = 4000, 4096, 3, (4, 7), 4
-THRESHOLD = 0.5
+#: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature at least.
+SAMPLE, FEATURES, FOLDS, PREFIXES, SUPPORT = 4000, 4096, 3, (4, 7), 3
+RIDGE = 1e-3
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -52,14 +55,36 @@ def terms(word: str) -> list[str]:
     return out
 
 
+@dataclass
+class Counts:
+    """Sparse matrix: how many different words of a text show a feature, damped; column 0 is the text's length."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, columns: np.ndarray, words: np.ndarray) -> Counts:
+        """From (text, feature) of each different word, and the number of different words of each text."""
+        pairs, many = np.unique(rows * (1 << 32) + columns, return_counts=True)
+        n = len(words)
+        return cls(np.concatenate([np.arange(n), pairs >> 32]), np.concatenate([np.zeros(n, np.int64), pairs & 0xFFFFFFFF]), np.concatenate([np.log1p(words) / 4, np.log2(1 + many)]))
+
+    def take(self, keep: np.ndarray) -> Counts:
+        """Only the texts where ``keep``, renumbered."""
+        at = np.cumsum(keep) - 1
+        inside = keep[self.rows]
+        return Counts(at[self.rows[inside]], self.columns[inside], self.values[inside])
+
+
 @dataclass
 class Linear:
     weights: np.ndarray
     chained: np.ndarray  # weights of earlier categories' probabilities
     bias: float
 
-    def probability(self, rows: np.ndarray, columns: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
-        score = np.bincount(rows, self.weights[columns], n) + earlier @ self.chained + self.bias
+    def probability(self, x: Counts, n: int, earlier: np.ndarray) -> np.ndarray:
+        score = np.bincount(x.rows, self.weights[x.columns] * x.values, n) + earlier @ self.chained + self.bias
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -67,95 +92,119 @@ class Linear:
 class Chain:
     features: dict[str, int] = field(default_factory=dict)
     models: list[Linear] = field(default_factory=list)
+    threshold: float = 0.5
 
-    def probabilities(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    def probabilities(self, x: Counts, n: int) -> np.ndarray:
         p = np.zeros((n, len(self.models)))
         for k, m in enumerate(self.models):
-            p[:, k] = m.probability(rows, columns, n, p[:, :k])
+            p[:, k] = m.probability(x, n, p[:, :k])
         return p
 
 
-def _fit(rows, columns, n, width, earlier, y, steps: int = 150) -> Linear:
+def _fit(x: Counts, n: int, width: int, earlier: np.ndarray, y: np.ndarray, steps: int = 200) -> Linear:
     """Logistic regression with a ridge, balanced classes, full-batch Adam."""
-    w, c, b = np.zeros(width), np.zeros(earlier.shape[1]), 0.0
     pos = y.sum()
     if pos == 0 or pos == n:
-        return Linear(w, c, 20.0 if n and pos == n else -20.0)
+        return Linear(np.zeros(width), np.zeros(earlier.shape[1]), 20.0 if n and pos == n else -20.0)
     weight = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos))
-    m = [np.zeros(width), np.zeros(earlier.shape[1]), 0.0]
-    v = [np.zeros(width), np.zeros(earlier.shape[1]), 0.0]
+    params = [np.zeros(width), np.zeros(earlier.shape[1]), np.zeros(1)]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
-        d = (Linear(w, c, b).probability(rows, columns, n, earlier) - y) * weight
-        grads = [np.bincount(columns, d[rows], width) + 1e-4 * w, earlier.T @ d + 1e-4 * c, d.sum()]
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.99 * v[i] + 0.01 * g * g
-            step = 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
-            if i == 0:
-                w = w - step
-            elif i == 1:
-                c = c - step
-            else:
-                b -= step
-    return Linear(w, c, b)
+        d = (Linear(params[0], params[1], params[2][0]).probability(x, n, earlier) - y) * weight
+        grads = [np.bincount(x.columns, d[x.rows] * x.values, width) + RIDGE * params[0], earlier.T @ d + RIDGE * params[1], np.array([d.sum()])]
+        for p, g, a, b in zip(params, grads, m, v):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p -= 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-9)
+    return Linear(params[0], params[1], float(params[2][0]))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where out-of-fold F0.5 (precision counts twice) is largest, half-way between the scores on both sides."""
+    order = np.argsort(-p)
+    tp = np.cumsum(y[order])
+    f = 1.25 * tp / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    k = int(f.argmax())
+    below = p[order[k + 1]] if k + 1 < len(y) else 0.0
+    return float((p[order[k]] + below) / 2)
+
+
+def distinct(texts: list[str]) -> list[int]:
+    """Positions of one text of each group of near copies: a copied text would make its chance words look like markers."""
+    seen: set[int] = set()
+    keep = []
+    for i, s in enumerate(shingle_sets(pa.array(texts, pa.string()))):
+        keys = set(bands(sketch(s)).tolist()) if len(s) else set()
+        if not keys & seen:
+            keep.append(i)
+        seen |= keys
+    return keep
+
+
+def evidence(in_pos: np.ndarray, in_neg: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Log-likelihood ratio (G) of presence against class, for features more frequent in toxic texts; else 0."""
+    total = pos + neg
+    out = np.zeros(len(in_pos))
+    for seen, of in ((in_pos, pos), (in_neg, neg), (pos - in_pos, pos), (neg - in_neg, neg)):
+        present = in_pos + in_neg if seen is in_pos or seen is in_neg else total - in_pos - in_neg
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += np.where(seen > 0, 2 * seen * np.log(seen * total / (present * of)), 0)
+    return np.where(in_pos * neg > in_neg * pos, out, 0)
 
 
 def train(texts: list[str], toxic: list[int]) -> Chain:
     """Fit the chain on labelled texts."""
-    y = np.array(toxic, float)
+    one = distinct(texts)
+    texts, y = [texts[i] for i in one], np.array([toxic[i] for i in one], float)
     n = len(texts)
     if not n or y.sum() in (0, n):
         return Chain()
     names: dict[str, int] = {}
-    docs = []
     seen: dict[str, list[int]] = {}
-    for text in texts:
-        found: set[int] = set()
-        for chunk in set(text.split()):
+    rows_, columns_, words = [], [], np.zeros(n, np.int64)
+    for i, text in enumerate(texts):
+        chunks = set(text.split())
+        words[i] = len(chunks)
+        for chunk in chunks:
             got = seen.get(chunk)
             if got is None:
-                got = seen[chunk] = [names.setdefault(t, len(names)) for t in terms(chunk)]
-            found.update(got)
-        docs.append(np.fromiter(found, np.int64, len(found)))
-    rows = np.repeat(np.arange(n), [len(d) for d in docs])
-    columns = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    in_pos = np.bincount(columns, y[rows], len(names))
-    in_neg = np.bincount(columns, 1 - y[rows], len(names))
-    rate = np.log((in_pos + 0.5) / (y.sum() + 1)) - np.log((in_neg + 0.5) / (n - y.sum() + 1))
-    label = np.array(list(names))
-    prefix = np.char.endswith(label, "|") if len(label) else np.zeros(0, bool)
-    # markers: in toxic texts, and in at most a hundredth as many others
-    marker = (in_pos >= 2) & (in_neg <= 0.01 * in_pos)
-    frequent = marker & ~prefix & (in_pos >= max(SUPPORT, 0.02 * y.sum()))
-    forms: dict[str, int] = {}
-    for w in label[marker & ~prefix]:
-        for k in range(PREFIXES[0], min(PREFIXES[1], len(w) - 1) + 1):
-            forms[w[:k]] = forms.get(w[:k], 0) + 1
-    stem = np.array([p and forms.get(x[:-1], 0) >= 5 and s for x, p, s in zip(label, prefix, marker)], bool)
-    chosen = (in_pos + in_neg) >= SUPPORT
-    order = np.argsort(-np.abs(rate) * np.log1p(in_pos + in_neg) * chosen, kind="stable")[: min(FEATURES, int(chosen.sum()))]
+                got = seen[chunk] = [names.setdefault(t, len(names)) for t in set(terms(chunk))]
+            columns_ += got
+            rows_.append(np.full(len(got), i))
+    rows, columns = np.concatenate(rows_), np.array(columns_, np.int64)
+    present = np.unique(rows * (1 << 32) + columns)
+    in_pos, in_neg = (np.bincount(present & 0xFFFFFFFF, z[present >> 32], len(names)) for z in (y, 1 - y))
+    g = evidence(in_pos, in_neg, y.sum(), n - y.sum())
+    # what chance would give the best of so many features is no evidence
+    chosen = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, len(names)))))
+    order = chosen[np.argsort(-g[chosen], kind="stable")][:FEATURES]
+    if not len(order):
+        return Chain()
+    label = np.array(list(names))[order]
     new = np.full(len(names), -1, np.int64)
-    new[order] = np.arange(len(order))
-    has = lambda mask: np.bincount(rows, mask[columns], n) > 0
-    found = np.bincount(rows, (frequent | stem)[columns], n)
-    targets = [has(frequent) * 1.0, has(stem) * 1.0, (found > 1) * 1.0, y]
+    new[order] = np.arange(1, len(order) + 1)
     use = new[columns] >= 0
-    rows, columns = rows[use], new[columns[use]]
-    fold = np.arange(n) % FOLDS
+    x = Counts.of(rows[use], new[columns[use]], words)
+    prefix = np.char.endswith(label, "|")
+    words = [w for w, p in zip(label, prefix) if not p]
+    # a prefix that is mostly one marker word's says nothing more than the word
+    lone = {w: in_pos[order[i]] for i, w in enumerate(label) if not prefix[i]}
+    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[order[i]] for w in words if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
+    shown = x.columns > 0
+    count = lambda mask: np.bincount(x.rows[shown], mask[x.columns[shown] - 1] * x.values[shown], n)
+    targets = [(count(~prefix) > 0) * 1.0, (count(stem) > 0) * 1.0, (count(~prefix | stem) > 1.5) * 1.0, y]
+    fold, width = np.arange(n) % FOLDS, len(order) + 1
     earlier = np.zeros((n, 0))
     models = []
     for target in targets:
-        models.append(_fit(rows, columns, n, len(order), earlier, target))
+        models.append(_fit(x, n, width, earlier, target))
         out = np.zeros(n)
         for k in range(FOLDS):
-            train_on = np.flatnonzero(fold != k)
-            at = np.full(n, -1, np.int64)
-            at[train_on] = np.arange(len(train_on))
-            inside = at[rows] >= 0
-            m = _fit(at[rows[inside]], columns[inside], len(train_on), len(order), earlier[train_on], target[train_on])
-            out[fold == k] = m.probability(rows, columns, n, earlier)[fold == k]
+            kept = fold != k
+            m = _fit(x.take(kept), int(kept.sum()), width, earlier[kept], target[kept])
+            out[~kept] = m.probability(x, n, earlier)[~kept]
         earlier = np.column_stack([earlier, out])
-    return Chain({str(label[j]): i for i, j in enumerate(order)}, models)
+    return Chain({str(w): i + 1 for i, w in enumerate(label)}, models, best_threshold(earlier[:, -1], y))
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list:
@@ -220,14 +269,15 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                     sizes = np.fromiter(map(len, found), np.int64, len(found))
                     which = coded.indices.to_numpy()
                     docs_ = np.repeat(np.arange(n), np.diff(np.asarray(split.offsets)))
+                    each = np.unique(docs_ * (1 << 32) + which)
+                    different = np.bincount(each >> 32, minlength=n)
+                    docs_, which = each >> 32, each & 0xFFFFFFFF
                     some = sizes[which] > 0 if len(which) else np.zeros(0, bool)
                     which, docs_ = which[some], docs_[some]
-                    # each feature once in a document
                     flat = np.array([c for w in which.tolist() for c in found[w]], np.int64)
-                    pairs = np.unique(np.repeat(docs_, sizes[which]) * (1 << 20) + flat) if len(flat) else flat
-                    p = model.probabilities(pairs >> 20, pairs & ((1 << 20) - 1), n)
+                    p = model.probabilities(Counts.of(np.repeat(docs_, sizes[which]), flat, different), n)
                     p[np.asarray(pc.utf8_length(texts)) == 0] = 0
-                toxic = pa.array((p[:, -1] >= THRESHOLD).tolist(), pa.bool_())
+                toxic = pa.array((p[:, -1] >= model.threshold).tolist(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), toxic], [*b.schema.names, *added, "toxic"])
 
     fields = [*(T.StructField(a, T.DoubleType()) for a in added), T.StructField("toxic", T.BooleanType())]
