@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from gridwarden.plans import catalogue, learned
+from gridwarden.plans import catalogue, learned, rounds  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
