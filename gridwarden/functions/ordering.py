@@ -1,8 +1,14 @@
-"""Seeded orders that any engine can repeat: md5 of seed, salt and row key, then the key itself."""
+"""Seeded orders that any engine can repeat: md5 of seed, salt and row key, then the key itself.
+
+Ranks in such an order need no task that sees all rows: the first three hex digits of
+the md5 are a bucket, buckets follow each other in the order, and all have about the same
+number of rows.  Rows are ranked inside their bucket; what stands before a bucket comes
+from a table of counts with at most 4,096 rows for each group.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +21,23 @@ def shuffle_order(seed: int, key: str, salt: str = "") -> list[Column]:
     return [shuffled(seed, key, salt), F.col(key)]
 
 
-def chunk(n: int, order: list[Column], *by: str) -> Column:
-    """0-based number of n near-equal contiguous chunks; the first (rows mod n) are one longer."""
-    return (F.ntile(n).over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int")
-
-
-def rank(order: list[Column], *by: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+def ranked(df: DataFrame, seed: int, key: str, salt: str, *by: str) -> DataFrame:
+    """``df`` with ``_r``, the 1-based rank of each row in the seeded order of its group, and ``_n``, the group's rows."""
+    marked = df.withColumn("_h", shuffled(seed, key, salt)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = marked.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    # of counts only: one row for each bucket of each group
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_c").over(whole).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    joined = marked.withColumn("_i", inside).alias("l").join(bases.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_b")])
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._i") + F.col("r._base")).alias("_r"), F.col("r._n").alias("_n"))
+
+
+def chunk(n: int | Column, r: Column | None = None, size: Column | None = None) -> Column:
+    """0-based number of the chunk of rank ``_r`` among ``_n`` rows in n near-equal chunks; the first (rows mod n) are one longer."""
+    n = F.lit(n) if isinstance(n, int) else n
+    r, size = (F.col("_r") if r is None else r) - 1, F.col("_n") if size is None else size
+    q, extra = F.floor(size / n), size % n
+    long = extra * (q + 1)
+    return F.when(r < long, F.floor(r / (q + 1))).otherwise(extra + F.floor((r - long) / F.greatest(q, F.lit(1)))).cast("int")

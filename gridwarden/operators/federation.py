@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a query set that may be broadcast.
+MOST_BROADCAST = 5_000
+
+
 def nb_statistics(cells: DataFrame, client: str, label: str, feature: str, value: str) -> DataFrame:
     """Per client, class and feature: n, mean, population variance."""
     return cells.groupBy(client, label, feature).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
@@ -35,13 +39,22 @@ def nb_predict(cells: DataFrame, model: DataFrame, row: str, label: str, feature
 def knn1(points: DataFrame, queries: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """Label of the nearest point to each query (squared distance, of equals the smallest key); brute force.
 
-    Every query meets every point, so the query side must be a bounded set; it is
-    broadcast, and each partition keeps its best before anything is shuffled.
+    Every query meets every point.  A query set of at most MOST_BROADCAST rows is
+    broadcast; a larger one is dealt into blocks of that size and each point goes to each
+    block.  Either way a task keeps only its best for a query before anything is shuffled.
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
     d = F.aggregate(F.zip_with(vector, "_q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.join(F.broadcast(q), F.col(key) != F.col("query")).withColumn("_d", F.round(d, 9))
-    return pairs.groupBy("query").agg(F.min_by(F.struct(F.col(key).alias("nearest"), F.col(label).alias("predicted")), F.struct("_d", key)).alias("b")).select("query", "b.nearest", "b.predicted")
+    n = q.count()
+    if n <= MOST_BROADCAST:
+        pairs = points.join(F.broadcast(q), F.col(key) != F.col("query"))
+    else:
+        blocks = -(-n // MOST_BROADCAST)
+        dealt = q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = spread.join(dealt, "_block").filter(F.col(key) != F.col("query"))
+    best = F.min_by(F.struct(F.col(key).alias("nearest"), F.col(label).alias("predicted")), F.struct("_d", key))
+    return pairs.withColumn("_d", F.round(d, 9)).groupBy("query").agg(best.alias("b")).select("query", "b.nearest", "b.predicted")
 
 
 def average_parameters(models: DataFrame, params: str = "params", weight: str | None = None) -> DataFrame:

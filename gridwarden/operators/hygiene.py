@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import rank, shuffle_order
+from ..functions.ordering import ranked, shuffle_order
 
 
 def project(df: DataFrame, features: list[int], keep: tuple[str, ...] = ("row_id", "y")) -> DataFrame:
@@ -35,8 +35,7 @@ def binarize(df: DataFrame, label: str, normal: str, out: str = "y") -> DataFram
 def one_vs_normal(df: DataFrame, label: str, attack: str, normal: str, normals: int, seed: int, key: str) -> DataFrame:
     """All rows of the attack and at most ``normals`` normal ones, with y = (label is the attack)."""
     some = df.filter(F.col(label).isin(attack, normal))
-    ranked = some.withColumn("_r", rank(shuffle_order(seed, key, "ovn"), label))
-    return ranked.filter((F.col(label) == attack) | (F.col("_r") <= normals)).drop("_r").withColumn("y", (F.col(label) == attack).cast("int"))
+    return ranked(some, seed, key, "ovn", label).filter((F.col(label) == attack) | (F.col("_r") <= normals)).drop("_r", "_n").withColumn("y", (F.col(label) == attack).cast("int"))
 
 
 def map_labels(df: DataFrame, label: str, exact: dict[str, str], contains: list[tuple[str, str]], out: str = "class", strict: bool = True) -> DataFrame:

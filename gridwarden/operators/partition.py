@@ -11,16 +11,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import chunk, rank, shuffle_order
+from ..functions.ordering import chunk, ranked
 
 
 def iid(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return df.withColumn("client_id", chunk(n, shuffle_order(seed, key, "iid")))
+    return ranked(df, seed, key, "iid").withColumn("client_id", chunk(n)).drop("_r", "_n")
 
 
 def shard(df: DataFrame, n: int, seed: int, key: str, label: str, shards: int = 2) -> DataFrame:
-    """Rows sorted by label in n x shards chunks; chunks are dealt in a seeded order."""
-    cut = df.withColumn("_s", chunk(n * shards, [F.col(label), F.col(key)]))
+    """Rows sorted by label (inside a label in a seeded order) in n x shards chunks; chunks are dealt in a seeded order."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
+    by_label = Window.orderBy(label)  # one row for each class
+    bases = sizes.select(label, F.coalesce(F.sum("_size").over(by_label.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_size").over(Window.partitionBy()).alias("_all"))
+    cut = ranked(df, seed, key, "rows", label).join(F.broadcast(bases), label)
+    cut = cut.withColumn("_s", chunk(n * shards, F.col("_r") + F.col("_base"), F.col("_all"))).drop("_r", "_n", "_base", "_all")
     deal = df.sparkSession.range(n * shards).select(F.col("id").cast("int").alias("_s"))
     order = [F.md5(F.concat(F.lit(f"{seed}|shard|"), F.col("_s").cast("string"))), F.col("_s")]
     deal = deal.withColumn("client_id", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / shards).cast("int"))
@@ -37,11 +41,10 @@ def unequal_sizes(total: int, n: int, kind: str) -> list[int]:
 
 def unequal(df: DataFrame, n: int, seed: int, key: str, kind: str) -> DataFrame:
     upto = np.cumsum(unequal_sizes(df.count(), n, kind)).tolist()
-    r = rank(shuffle_order(seed, key, kind))
     client = F.lit(n - 1)
     for i in range(n - 2, -1, -1):
         client = F.when(F.col("_r") <= upto[i], i).otherwise(client)
-    return df.withColumn("_r", r).withColumn("client_id", client.cast("int")).drop("_r")
+    return ranked(df, seed, key, kind).withColumn("client_id", client.cast("int")).drop("_r", "_n")
 
 
 def dirichlet_shares(classes: list[str], n: int, seed: int, alpha: float = 0.5) -> list[tuple[str, int, float]]:
@@ -60,9 +63,9 @@ def dirichlet(df: DataFrame, n: int, seed: int, key: str, label: str, shares: li
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     ends = spark.createDataFrame(shares, f"`{label}` string, client int, share double").join(sizes, label)
     cuts = ends.filter(F.col("client") < n - 1).groupBy(label).agg(F.array_sort(F.collect_list(F.floor(F.col("share") * F.col("_n")).cast("bigint"))).alias("_cuts"))
-    ranked = df.withColumn("_r", rank(shuffle_order(seed, key, "dir"), label)).join(F.broadcast(cuts), label, "left")
+    rows = ranked(df, seed, key, "dir", label).join(F.broadcast(cuts), label, "left")
     client = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("_r")))
-    return ranked.withColumn("client_id", client.cast("int")).drop("_r", "_cuts")
+    return rows.withColumn("client_id", client.cast("int")).drop("_r", "_n", "_cuts")
 
 
 def sensors(df: DataFrame, n: int, label: str, normal: str) -> DataFrame:
@@ -85,14 +88,9 @@ def sensors(df: DataFrame, n: int, label: str, normal: str) -> DataFrame:
 def attack(df: DataFrame, n: int, seed: int, key: str, label: str, normal: str) -> DataFrame:
     """Specialised sensors: normal rows over all clients, each attack class at its own."""
     plan = sensors(df, n, label, normal)
-    order = shuffle_order(seed, key, "attack")
-    normals = df.filter(F.col(label) == normal).withColumn("client_id", chunk(n, order))
-    rows = df.filter(F.col(label) != normal).withColumn("_r", rank(order, label)).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
-    rows = rows.join(F.broadcast(plan), label)
-    # chunk number of row r of m in s near-equal chunks, the first (m mod s) one longer
-    q, extra, r = F.floor(F.col("_n") / F.col("sensors")), F.col("_n") % F.col("sensors"), F.col("_r") - 1
-    nth = F.when(r < extra * (q + 1), F.floor(r / (q + 1))).otherwise(extra + F.floor((r - extra * (q + 1)) / F.greatest(q, F.lit(1))))
-    client = (F.col("first_client") + nth).cast("int")
+    normals = ranked(df.filter(F.col(label) == normal), seed, key, "attack").withColumn("client_id", chunk(n)).drop("_r", "_n")
+    rows = ranked(df.filter(F.col(label) != normal), seed, key, "attack", label).join(F.broadcast(plan), label)
+    client = (F.col("first_client") + chunk(F.col("sensors"))).cast("int")
     return normals.unionByName(rows.withColumn("client_id", client).select(*normals.columns))
 
 
@@ -105,14 +103,13 @@ def matrix(df: DataFrame, label: str, *by: str) -> DataFrame:
 
 def holdout(df: DataFrame, seed: int, key: str, share: float = 0.2, label: str | None = None) -> DataFrame:
     """``split``: 'val' for the first ceil(share x n) rows of a seeded order (of each class), else 'train'."""
-    by = [label] if label else []
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn("split", F.when(rank(shuffle_order(seed, key, "holdout"), *by) <= F.ceil(F.lit(share) * n), "val").otherwise("train"))
+    rows = ranked(df, seed, key, "holdout", *([label] if label else []))
+    return rows.withColumn("split", F.when(F.col("_r") <= F.ceil(F.lit(share) * F.col("_n")), "val").otherwise("train")).drop("_r", "_n")
 
 
 def kfold(df: DataFrame, k: int, seed: int, key: str, label: str) -> DataFrame:
     """``fold`` 0..k-1, stratified."""
-    return df.withColumn("fold", chunk(k, shuffle_order(seed, key, "fold"), label))
+    return ranked(df, seed, key, "fold", label).withColumn("fold", chunk(k)).drop("_r", "_n")
 
 
 def stratified_sample(df: DataFrame, size: int, seed: int, key: str, label: str) -> DataFrame:
@@ -124,4 +121,4 @@ def stratified_sample(df: DataFrame, size: int, seed: int, key: str, label: str)
     spare = F.least(F.lit(size), F.sum("_n").over(everything)) - F.sum("_q").over(everything)
     order = Window.orderBy(F.desc(F.round(F.col("_x") - F.col("_q"), 9)), label)
     quota = quota.withColumn("_q", F.col("_q") + F.when(F.row_number().over(order) <= spare, 1).otherwise(0)).select(label, "_q")
-    return df.withColumn("_r", rank(shuffle_order(seed, key, "sample"), label)).join(F.broadcast(quota), label).filter("_r <= _q").drop("_r", "_q")
+    return ranked(df, seed, key, "sample", label).join(F.broadcast(quota), label).filter("_r <= _q").drop("_r", "_n", "_q")

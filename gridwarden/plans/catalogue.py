@@ -14,7 +14,6 @@ from pyspark.sql import Window
 
 from ..functions import metrics as M
 from ..functions import scalars as S
-from ..functions.ordering import rank, shuffle_order
 from ..operators import control, federation, hygiene, partition, selection, topology, voting
 from ..session import ship, table
 
@@ -283,7 +282,7 @@ def part_iid(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT *, (ntile(20) OVER (ORDER BY event_type, event_id) - 1)::INT AS s FROM events), m AS (SELECT s, ((row_number() OVER (ORDER BY md5('{SEED}|shard|' || s::VARCHAR), s) - 1) // 2)::INT AS client_id FROM range(20) t(s))
+    f"""WITH s AS (SELECT *, (ntile(20) OVER (ORDER BY event_type, {md5('rows')}) - 1)::INT AS s FROM events), m AS (SELECT s, ((row_number() OVER (ORDER BY md5('{SEED}|shard|' || s::VARCHAR), s) - 1) // 2)::INT AS client_id FROM range(20) t(s))
 SELECT client_id, {_SUM} FROM s JOIN m USING (s) GROUP BY client_id"""
 )
 def part_shard(spark, d):
@@ -412,17 +411,17 @@ def dedup_union(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS nearest, e.label AS predicted, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS dist FROM embeddings e, q WHERE e.vec_id <> q.vec_id)
+    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS nearest, e.label AS predicted, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS dist FROM embeddings e, q WHERE e.vec_id <> q.vec_id)
 SELECT query, nearest, predicted FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, nearest) AS r FROM p) WHERE r = 1"""
 )
 def knn1(spark, d):
     e = table(spark, d, "embeddings")
-    return federation.knn1(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label")
+    return federation.knn1(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", "label")
 
 
-@query("WITH u AS (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 3 = length(event_type) % 3), n AS (SELECT event_type, count(*) AS n FROM u GROUP BY 1) SELECT a.event_type AS a, b.event_type AS b, round((SELECT count(*) FROM u x JOIN u y USING (user_id) WHERE x.event_type = a.event_type AND y.event_type = b.event_type)::DOUBLE / greatest(a.n + b.n - (SELECT count(*) FROM u x JOIN u y USING (user_id) WHERE x.event_type = a.event_type AND y.event_type = b.event_type), 1), 6) AS jaccard FROM n a JOIN n b ON a.event_type < b.event_type")
+@query("WITH u AS (SELECT DISTINCT event_type, user_id FROM events WHERE value > 150), n AS (SELECT event_type, count(*) AS n FROM u GROUP BY 1) SELECT a.event_type AS a, b.event_type AS b, round((SELECT count(*) FROM u x JOIN u y USING (user_id) WHERE x.event_type = a.event_type AND y.event_type = b.event_type)::DOUBLE / greatest(a.n + b.n - (SELECT count(*) FROM u x JOIN u y USING (user_id) WHERE x.event_type = a.event_type AND y.event_type = b.event_type), 1), 6) AS jaccard FROM n a JOIN n b ON a.event_type < b.event_type")
 def jaccard_pairs(spark, d):
-    some = events(spark, d).filter(F.col("user_id") % 3 == F.length(LABEL) % 3)
+    some = events(spark, d).filter("value > 150")
     return selection.pairwise_jaccard(some.groupBy(F.col(LABEL).alias("attack")).agg(F.collect_set("user_id").alias("features")))
 
 
@@ -690,17 +689,17 @@ def events_since(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT event_id AS seq, user_id % 14 AS node, event_type FROM events WHERE event_type IN ('error', 'signup') AND user_id < 40), g AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM t)
+    """WITH t AS (SELECT event_id AS seq, user_id % 14 AS node, event_type FROM events WHERE event_type IN ('error', 'signup')), g AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM t)
 SELECT max(seq) FILTER (WHERE event_type = 'signup') AS seq, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'node_failure' ELSE 'scheduled' END AS reason, coalesce(array_to_string(list_sort(list(DISTINCT node) FILTER (WHERE event_type = 'error')), ','), '') AS failed FROM g GROUP BY coalesce(grp, 0) HAVING max(seq) FILTER (WHERE event_type = 'signup') IS NOT NULL"""
 )
 def switch_context(spark, d):
     from ..sources.trail import switches
 
-    e = events(spark, d).filter("event_type IN ('error', 'signup') AND user_id < 40")
+    e = events(spark, d).filter("event_type IN ('error', 'signup')")
     t = e.select(F.col(KEY).alias("seq"), F.when(F.col(LABEL) == "signup", "architecture_change").otherwise("node_failure").alias("type"), F.array((F.col("user_id") % 14).cast("int")).alias("failed_nodes"))
     return switches(t).select("seq", "reason", F.array_join("failed_nodes", ",").alias("failed"))
 
 
-@query("SELECT event_type AS type, arg_max(event_id, ts) AS last_id, max(ts) AS last_ts FROM events WHERE event_id < 5000 GROUP BY event_type")
+@query("SELECT event_type AS type, arg_max(event_id, ts) AS last_id, max(ts) AS last_ts FROM events GROUP BY event_type")
 def live_status(spark, d):
-    return events(spark, d).filter("event_id < 5000").groupBy(F.col(LABEL).alias("type")).agg(F.max_by(KEY, "ts").alias("last_id"), F.max("ts").alias("last_ts"))
+    return events(spark, d).groupBy(F.col(LABEL).alias("type")).agg(F.max_by(KEY, "ts").alias("last_id"), F.max("ts").alias("last_ts"))

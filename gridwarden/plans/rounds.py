@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -54,20 +53,21 @@ def merged_trees(spark, d):
     return m.select("run", F.size("trees").cast("bigint").alias("trees"), F.round("intercept", 2).alias("intercept"), F.array_max(F.transform("trees", lambda t: t["tree_id"])).alias("last_id"))
 
 
-@query("WITH u AS (SELECT min(doc_id) AS ord, sha256(text) AS sha256 FROM documents WHERE doc_id < 50 AND length(text) > 0 GROUP BY 2) SELECT n::INT AS node, count(*) AS models FROM range(5) t(n), u GROUP BY n")
+@query("WITH u AS (SELECT min(doc_id) AS ord, sha256(text) AS sha256 FROM documents WHERE length(text) > 0 GROUP BY 2) SELECT n::INT AS node, count(*) AS models FROM range(5) t(n), u GROUP BY n")
 def seed_all_nodes(spark, d):
-    models = federation.dedup_union(table(spark, d, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("ord"), "text"), "text", "ord")
+    models = federation.dedup_union(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text"), "text", "ord")
     nodes = spark.range(5).select(F.col("id").cast("int").alias("node"))
     return federation.seed_all(nodes, models).groupBy("node").agg(F.count("*").alias("models"))
 
 
 @query(
-    """WITH k AS (SELECT 0 AS age, doc_id AS ord, sha256(text) AS sha256 FROM documents WHERE doc_id < 300), n AS (SELECT 1 AS age, doc_id AS ord, sha256(text) AS sha256 FROM documents WHERE doc_id >= 200),
+    """WITH k AS (SELECT 0 AS age, doc_id AS ord, sha256(text) AS sha256 FROM documents WHERE lang <> 'fr'), n AS (SELECT 1 AS age, doc_id AS ord, sha256(text) AS sha256 FROM documents WHERE lang <> 'en'),
 f AS (SELECT sha256, min(age * 1000000000 + ord) AS f FROM (SELECT * FROM k UNION ALL SELECT * FROM n) GROUP BY 1) SELECT row_number() OVER (ORDER BY f, sha256) - 1 AS ord, sha256 FROM f"""
 )
 def retained_union(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("sha256"))
-    return federation.retain(t.filter("ord < 300"), t.filter("ord >= 200"))
+    """What is retained after a round; the numbering of a union of models is one task's work, as few as models are."""
+    t = table(spark, d, "documents").select("lang", F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("sha256"))
+    return federation.retain(t.filter("lang <> 'fr'"), t.filter("lang <> 'en'"))
 
 
 @query(f"WITH {_DAYS} SELECT mode, min(round) AS first_round, max(round) AS last_round, count(*) AS n FROM days GROUP BY mode")
@@ -123,12 +123,3 @@ def intrusion_alarms(spark, d):
 
     flags = events(spark, d).filter(attack() & (F.col("value") > 100)).select(F.dayofmonth("ts").alias("round"), F.col(LABEL).alias("attack"), (F.col("user_id") % 5).cast("int").alias("node"))
     return intrusions(flags, 2).select("round", "attack", "n_flags", "k_votes")
-
-
-@query("SELECT event_id AS seq, row_number() OVER (ORDER BY ts, event_id) + 1000 AS new_seq FROM events WHERE event_id < 500")
-def sequence_numbers(spark, d):
-    """Numbering goes on from the last number of the trail; what is appended at once is small."""
-    e = events(spark, d).filter("event_id < 500")
-    return e.select(F.col(KEY).alias("seq"), (F.row_number().over(Window.orderBy("ts", KEY)) + 1000).cast("bigint").alias("new_seq"))
-
-

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridwarden.operators import hygiene, selection, topology
+from gridwarden.operators import federation, hygiene, selection, topology
 from gridwarden.sources import arff, files, logs, trail
 
 ARFF = "@relation demo\n\n@attribute F1 numeric\n@attribute F2 numeric\n@attribute @class@ {normal, a, b}\n\n@data\n0.5,1,normal\n% comment\n3,2,a\n7,x,b\n1,2\n4,4,zzz\n9,9,b\n"
@@ -90,3 +90,11 @@ def test_strict_labels_and_schedule(spark):
 def test_search_prefers_small_subsets():
     a, b = selection.Found([1, 2], 90.0), selection.Found([1], 90.0)
     assert b.beats(a, 0.0) and not a.beats(b, 0.0) and a.beats(selection.Found([], 0.0), 0.0)
+
+
+def test_nearest_in_blocks(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.filter("vec_id % 20 = 0")
+    one = sorted(federation.knn1(e, q, "vec_id", "embedding", "label").collect())
+    monkeypatch.setattr(federation, "MOST_BROADCAST", 7)
+    assert sorted(federation.knn1(e, q, "vec_id", "embedding", "label").collect()) == one
