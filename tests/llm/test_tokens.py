@@ -145,3 +145,37 @@ def test_packing_places_every_token_once(spark, library):
     assert all(doc[i] == (len(ids_of(library, t)) + 1) * (2 if i == 4 else 1) for i, t in enumerate(TEXTS))
     assert packing.pack(empty(spark), vocabulary()).count() == 0
     assert (packing.padded(1024), packing.padded(1025)) == (1024, 4096)
+
+
+@pytest.mark.parametrize("histogram", [{2151: 2690}, {1500: 1000}, {2151: 900, 700: 90, 60: 40}, {4000: 50}, {1: 5}, {2100: 2}, {}])
+def test_cuts_fill_the_room_of_a_common_length(histogram):
+    plan = packing.plan_cuts(histogram)
+    slots = packing.Slots(plan)
+    lengths = np.concatenate([np.zeros(0, int), *[np.full(c, n) for n, c in histogram.items()]])
+    ranks = np.concatenate([np.zeros(0, int), *[np.arange(c) for c in histogram.values()]])
+    row, start, length, sequence, offset = slots.place(lengths, ranks)
+    assert (np.bincount(row, length, len(lengths)) == lengths).all()
+    seen: dict = {}
+    for s, o, n in zip(sequence.tolist(), offset.tolist(), length.tolist()):
+        seen.setdefault(s, []).append((o, n))
+    for parts in seen.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 4096
+    if sum(histogram.values()) >= 900:
+        padding = packing.unfilled(packing.patterns(packing.part_histogram(plan)))
+        assert padding <= 0.02 * lengths.sum()
+
+
+def test_cut_documents_keep_their_ids(spark, library):
+    text = "some words that stand for a common text " * 38
+    rows = spark.createDataFrame([(i, text) for i in range(40)], "doc_id bigint, text string")
+    want = np.array([*ids_of(library, text), 2], "<u4")
+    assert 256 < len(want) < 400
+    placed = packing.pack(rows, vocabulary(), 2, 512).collect()
+    assert any(r.length < len(want) for r in placed)
+    for r in placed:
+        assert zlib.crc32(want[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert len({r.sequence_id for r in placed}) <= 1.1 * 40 * len(want) / 512 + 1
