@@ -133,11 +133,12 @@ def distinct(texts: list[str]) -> list[int]:
     """Positions of one text of each group of near copies: a copied text would make its chance words look like markers."""
     seen: set[int] = set()
     keep = []
-    for i, s in enumerate(shingle_sets(pa.array(texts, pa.string()))):
-        keys = set(bands(sketch(s)).tolist()) if len(s) else set()
-        if not keys & seen:
-            keep.append(i)
-        seen |= keys
+    for lo in range(0, len(texts), 250):
+        for i, s in enumerate(shingle_sets(pa.array(texts[lo : lo + 250], pa.string())), lo):
+            keys = set(bands(sketch(s)).tolist()) if len(s) else set()
+            if not keys & seen:
+                keep.append(i)
+            seen |= keys
     return keep
 
 
@@ -159,39 +160,41 @@ def train(texts: list[str], toxic: list[int]) -> Chain:
     n = len(texts)
     if not n or y.sum() in (0, n):
         return Chain()
-    names: dict[str, int] = {}
-    seen: dict[str, list[int]] = {}
-    rows_, columns_, words = [], [], np.zeros(n, np.int64)
-    for i, text in enumerate(texts):
-        chunks = set(text.split())
-        words[i] = len(chunks)
-        for chunk in chunks:
-            got = seen.get(chunk)
-            if got is None:
-                got = seen[chunk] = [names.setdefault(t, len(names)) for t in set(terms(chunk))]
-            columns_ += got
-            rows_.append(np.full(len(got), i))
-    rows, columns = np.concatenate(rows_), np.array(columns_, np.int64)
-    present = np.unique(rows * (1 << 32) + columns)
-    in_pos, in_neg = (np.bincount(present & 0xFFFFFFFF, z[present >> 32], len(names)) for z in (y, 1 - y))
+    # texts that show each feature: toxic ones and others in one number, as there are many features
+    shown: dict[str, int] = {}
+    for text, bad in zip(texts, y):
+        one = 1 << 32 if bad else 1
+        for term in {t for chunk in set(text.split()) for t in terms(chunk)}:
+            shown[term] = shown.get(term, 0) + one
+    seen_in = np.fromiter(shown.values(), np.int64, len(shown))
+    in_pos, in_neg = (seen_in >> 32).astype(float), (seen_in & 0xFFFFFFFF).astype(float)
     g = evidence(in_pos, in_neg, y.sum(), n - y.sum())
     # what chance would give the best of so many features is no evidence
-    chosen = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, len(names)))))
+    chosen = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, len(shown)))))
     order = chosen[np.argsort(-g[chosen], kind="stable")][:FEATURES]
     if not len(order):
         return Chain()
-    label = np.array(list(names))[order]
-    new = np.full(len(names), -1, np.int64)
-    new[order] = np.arange(1, len(order) + 1)
-    use = new[columns] >= 0
-    x = Counts.of(rows[use], new[columns[use]], words)
+    wanted = dict.fromkeys(order.tolist())
+    at = {i: t for i, t in enumerate(shown) if i in wanted}
+    label = np.array([at[i] for i in order.tolist()])
+    del shown
+    features = {str(t): i + 1 for i, t in enumerate(label)}
+    rows, columns, words = [], [], np.zeros(n, np.int64)
+    for i, text in enumerate(texts):
+        chunks = set(text.split())
+        words[i] = len(chunks)
+        for chunk in chunks:
+            found = {features[t] for t in terms(chunk) if t in features}
+            columns += found
+            rows += [i] * len(found)
+    x = Counts.of(np.array(rows, np.int64), np.array(columns, np.int64), words)
     prefix = np.char.endswith(label, "|")
-    words = [w for w, p in zip(label, prefix) if not p]
+    markers = [w for w, p in zip(label, prefix) if not p]
     # a prefix that is mostly one marker word's says nothing more than the word
     lone = {w: in_pos[order[i]] for i, w in enumerate(label) if not prefix[i]}
-    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[order[i]] for w in words if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
-    shown = x.columns > 0
-    count = lambda mask: np.bincount(x.rows[shown], mask[x.columns[shown] - 1] * x.values[shown], n)
+    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[order[i]] for w in markers if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
+    marks = x.columns > 0
+    count = lambda mask: np.bincount(x.rows[marks], mask[x.columns[marks] - 1] * x.values[marks], n)
     targets = [(count(~prefix) > 0) * 1.0, (count(stem) > 0) * 1.0, (count(~prefix | stem) > 1.5) * 1.0, y]
     fold, width = np.arange(n) % FOLDS, len(order) + 1
     earlier = np.zeros((n, 0))
@@ -204,7 +207,7 @@ def train(texts: list[str], toxic: list[int]) -> Chain:
             m = _fit(x.take(kept), int(kept.sum()), width, earlier[kept], target[kept])
             out[~kept] = m.probability(x, n, earlier)[~kept]
         earlier = np.column_stack([earlier, out])
-    return Chain({str(w): i + 1 for i, w in enumerate(label)}, models, best_threshold(earlier[:, -1], y))
+    return Chain(features, models, best_threshold(earlier[:, -1], y))
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list:
