@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import returning
 from .tokens import PIECES, SPACE, WordEncoder, byte_alphabet, slices
 
 END = "</w>"
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids, bounds = enc.encode(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), _ids_arrow(ids, bounds)], [id_col, "token_ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(returning(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -240,7 +241,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = dec.decode(ids, np.concatenate([[0], np.cumsum(lengths)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode() for t in texts], pa.string())], [id_col, "text"])
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, schema)
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(returning(run), schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -270,4 +271,4 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_decoded_bytes"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(returning(run), schema)

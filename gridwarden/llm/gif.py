@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, returning
 
 WIDTH, ROWS, DELAY_CS = 64, 1024, 10
 TABLE = 4096
@@ -302,7 +302,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
     types = [pa.int32()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.string()]
     names = [id_col, "frame_no", "delay_ms", "width", "height", "disposal", "samples", "histogram", "error"]
-    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {dict(media.dtypes)[id_col]}, {FRAMES}")
+    return media.select(id_col, media_col).mapInArrow(returning(run), f"`{id_col}` {dict(media.dtypes)[id_col]}, {FRAMES}")
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -323,7 +323,7 @@ def stored(docs: DataFrame) -> DataFrame:
                     [b.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([store_payload(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary"))
+    return materialise(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(returning(run), "doc_id bigint, n_bytes bigint, media binary"))
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -351,4 +351,4 @@ def features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types))], names)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames int"
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(returning(run), schema)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import returning
+
 UNKNOWN = "und"
 #: Bounds of the training sample: labelled documents, and windows taken from each.
 SAMPLE, WINDOWS = 2000, 4
@@ -255,7 +257,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                         labels[i], scores[i] = names[k], min(1.0, s)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:

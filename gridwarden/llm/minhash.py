@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise
+from .store import materialise, returning
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 40
 T = ROWS * BANDS
 #: Buckets up to this many representatives are paired row by row; larger ones in blocks of BLOCK.
 SMALL, BLOCK = 24, 1024
-MEMORY = 500_000
+MEMORY = 200_000
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,7 +166,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 counts = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(fps, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "bands"])
 
-    return _texts(docs).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(returning(run), schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return _texts(docs).mapInArrow(returning(run), "doc_id bigint, shingles array<bigint>")
 
 
 def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:

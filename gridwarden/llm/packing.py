@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import materialise
+from .store import materialise, returning
 from .token_store import shifts, times
 
 SIZE = 4096
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) -
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = pa.schema([("part", pa.int32()), *((n, pa.int64()) for n in ("row", "doc_id", "start", "length", "ids_crc32", "doc_tokens")), ("prefixes", pa.list_(pa.int64()))])
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(returning(run), PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) -> DataFrame:
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) ->
             yield pa.RecordBatch.from_arrays([x.cast(pa.int64()) for x in out], [*columns, "sequence_id", "offset"])
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranked.select(*columns, "prefixes", "rank").mapInArrow(run, schema)
+    return ranked.select(*columns, "prefixes", "rank").mapInArrow(returning(run), schema)
 
 
 def padded(used: int, size: int = SIZE) -> int:

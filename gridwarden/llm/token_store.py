@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import shared_dir
+from .store import shared_dir, returning
 
 #: Chunk sizes in ids: at least, on average about LEAST + 2 ** BITS, at most.
 LEAST, BITS, MOST = 128, 10, 4096
@@ -138,7 +138,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, wide: boo
         [("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64()),
          ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), ("root", pa.binary())]
     )
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _PART)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(returning(run), _PART)
     rows.dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/parts")
     _write_index(spark, path)
 
@@ -196,7 +196,7 @@ def _checked(path: str, spark: SparkSession, wide: bool, with_ids: bool) -> Data
             columns = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), ["digest", "n", "crc", "ids"][: 3 + with_ids])
 
-    return _parts(spark, path, 0).select("key", "n", "payload").mapInArrow(run, "digest binary, n bigint, crc bigint" + ids_type)
+    return _parts(spark, path, 0).select("key", "n", "payload").mapInArrow(returning(run), "digest binary, n bigint, crc bigint" + ids_type)
 
 
 def _assembled(spark: SparkSession, path: str, wide: bool, with_ids: bool) -> DataFrame:
@@ -249,7 +249,7 @@ def read_checksums(spark: SparkSession, path: str, wide: bool = False) -> DataFr
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_chunks", pa.int32()), ("merkle_root", pa.string())])
-    return _assembled(spark, path, wide, False).select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, schema)
+    return _assembled(spark, path, wide, False).select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(returning(run), schema)
 
 
 def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:

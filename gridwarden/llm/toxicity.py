@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .minhash import bands, shingle_sets, sketch
+from .store import returning
 
 CATEGORIES = ("lexical", "inflected", "repeated", "toxic")
 #: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature at least.
@@ -241,7 +242,7 @@ class _Columns(dict):
         self.known = chain.features
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         known = self.known
         got = self[chunk] = tuple({known[t] for t in terms(chunk) if t in known})
@@ -284,7 +285,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), toxic], [*b.schema.names, *added, "toxic"])
 
     fields = [*(T.StructField(a, T.DoubleType()) for a in added), T.StructField("toxic", T.BooleanType())]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *fields]))
+    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, *fields]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
