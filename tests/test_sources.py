@@ -25,8 +25,8 @@ def test_arff(spark, tmp_path):
 def test_logs(spark, tmp_path):
     p = tmp_path / "run.log"
     p.write_text(
-        "ROUND;1;federated;f1=96.0240;recall=99.9646;fpr=0.5999\n[GLow] união do head: 3 boosters\n[DistArch] COMMIT gossip @round=11  reason=node_failure  nodes=[1]\n"
-        "[DistArch] round=12  mode=gossip  q=7  active=[0, 2, 3]\n[x] ATAQUE injection (5) | y\nEV;1;98.5;[27, 44]\nEV;2;100.0;[27, 44, 46]\nEV;3;bad;[1]\nMONO\nRecall: 12.5\nRecall: 3\n"
+        "ROUND;1;federated;f1=96.0240;recall=99.9646;fpr=0.5999\n[x] união do head: 3 boosters\nCOMMIT gossip @round=11  reason=node_failure  nodes=[1]\n"
+        "round=12  mode=gossip  q=7  active=[0, 2, 3]\n[x] ATAQUE injection (5) | y\nEV;1;98.5;[27, 44]\nEV;2;100.0;[27, 44, 46]\nEV;3;bad;[1]\nMONO\nRecall: 12.5\nRecall: 3\n"
     )
     text = logs.lines(spark, str(p))
     assert logs.parse_rounds(text).first() == (1, "federated", 96.024, 99.9646, 0.5999)
