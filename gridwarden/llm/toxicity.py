@@ -18,7 +18,10 @@ threshold is where out-of-fold F0.5 of the last category is largest.
 
 The sample is bounded (``SAMPLE`` documents, half of them toxic where there are so
 many; documented); features are the markers, at most ``FEATURES`` of them.
-Prediction reads every whole text, one look-up for each distinct word of a batch.
+Training and prediction read every whole text: executors turn each sampled text into its
+distinct terms, Spark counts these, and the driver gets only MinHash keys, numbers of words
+and the counts of the markers, so its memory depends on documents and markers, not on lengths.
+Prediction makes one look-up for each distinct word of a batch.
 
 Cases: a null or empty text has probability 0 in all categories and is not toxic; with
 no labelled row, or only one class, nothing is toxic; repeated rows get equal results;
@@ -27,6 +30,7 @@ labels whose doc_id repeats count once, toxic if any is; extra columns are ignor
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .minhash import bands, shingle_sets, sketch
-from .store import returning
+from .store import materialise, returning
 
 CATEGORIES = ("lexical", "inflected", "repeated", "toxic")
 #: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature at least.
@@ -130,16 +134,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def distinct(texts: list[str]) -> list[int]:
-    """Positions of one text of each group of near copies: a copied text would make its chance words look like markers."""
+def distinct(keys: list[list[int]]) -> list[int]:
+    """Positions of one text of each group of near copies, by their MinHash keys: a copied text would make its chance words look like markers."""
     seen: set[int] = set()
     keep = []
-    for lo in range(0, len(texts), 250):
-        for i, s in enumerate(shingle_sets(pa.array(texts[lo : lo + 250], pa.string())), lo):
-            keys = set(bands(sketch(s)).tolist()) if len(s) else set()
-            if not keys & seen:
-                keep.append(i)
-            seen |= keys
+    for i, own in enumerate(keys):
+        if seen.isdisjoint(own):
+            keep.append(i)
+        seen.update(own)
     return keep
 
 
@@ -154,50 +156,42 @@ def evidence(in_pos: np.ndarray, in_neg: np.ndarray, pos: float, neg: float) ->
     return np.where(in_pos * neg > in_neg * pos, out, 0)
 
 
-def train(texts: list[str], toxic: list[int]) -> Chain:
-    """Fit the chain on labelled texts."""
-    one = distinct(texts)
-    texts, y = [texts[i] for i in one], np.array([toxic[i] for i in one], float)
-    n = len(texts)
+def train(texts: DataFrame) -> Chain:
+    """Fit the chain on labelled texts, given by ``described``."""
+    spark = texts.sparkSession
+    rows = sorted(texts.select("row", "doc_id", "digest", "toxic", "keys", "words").collect(), key=lambda r: (r["doc_id"], r["digest"]))
+    rows = [rows[i] for i in distinct([r["keys"] for r in rows])]
+    y, words = np.array([r["toxic"] for r in rows], float), np.array([r["words"] for r in rows], np.int64)
+    n = len(rows)
     if not n or y.sum() in (0, n):
         return Chain()
-    # texts that show each feature: toxic ones and others in one number, as there are many features
-    shown: dict[str, int] = {}
-    for text, bad in zip(texts, y):
-        one = 1 << 32 if bad else 1
-        for term in {t for chunk in set(text.split()) for t in terms(chunk)}:
-            shown[term] = shown.get(term, 0) + one
-    seen_in = np.fromiter(shown.values(), np.int64, len(shown))
-    in_pos, in_neg = (seen_in >> 32).astype(float), (seen_in & 0xFFFFFFFF).astype(float)
+    place = spark.createDataFrame([(r["row"], i) for i, r in enumerate(rows)], "row bigint, i int")
+    cells = texts.join(F.broadcast(place), "row").select("i", "toxic", F.explode(F.arrays_zip("terms", "chunks")).alias("c")).select("i", "toxic", "c.terms", "c.chunks")
+    # texts that show each feature: toxic ones and others
+    shown = materialise(cells.groupBy("terms").agg(F.sum("toxic").cast("bigint").alias("in_pos"), F.sum(1 - F.col("toxic")).cast("bigint").alias("in_neg")))
+    pairs = shown.groupBy("in_pos", "in_neg").agg(F.count("*").alias("n")).toArrow()
+    in_pos, in_neg = (pairs.column(c).to_numpy().astype(float) for c in ("in_pos", "in_neg"))
     g = evidence(in_pos, in_neg, y.sum(), n - y.sum())
     # what chance would give the best of so many features is no evidence
-    chosen = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, len(shown)))))
-    order = chosen[np.argsort(-g[chosen], kind="stable")][:FEATURES]
-    if not len(order):
+    good = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, int(pairs.column("n").to_numpy().sum())))))
+    if not len(good):
         return Chain()
-    wanted = dict.fromkeys(order.tolist())
-    at = {i: t for i, t in enumerate(shown) if i in wanted}
-    label = np.array([at[i] for i in order.tolist()])
-    del shown
+    wanted = spark.createDataFrame([(int(in_pos[k]), int(in_neg[k]), float(g[k])) for k in good], "in_pos bigint, in_neg bigint, g double")
+    chosen = shown.join(F.broadcast(wanted), ["in_pos", "in_neg"]).orderBy(F.desc("g"), "terms").limit(FEATURES).select("terms", "in_pos").collect()
+    label, in_pos = np.array([r["terms"] for r in chosen]), np.array([r["in_pos"] for r in chosen], float)
     features = {str(t): i + 1 for i, t in enumerate(label)}
-    rows, columns, words = [], [], np.zeros(n, np.int64)
-    for i, text in enumerate(texts):
-        chunks = set(text.split())
-        words[i] = len(chunks)
-        for chunk in chunks:
-            found = {features[t] for t in terms(chunk) if t in features}
-            columns += found
-            rows += [i] * len(found)
-    x = Counts.of(np.array(rows, np.int64), np.array(columns, np.int64), words)
+    marked = cells.join(F.broadcast(spark.createDataFrame(list(features.items()), "terms string, at int")), "terms").select("i", "at", "chunks").toArrow()
+    at, column, chunks = (marked.column(c).to_numpy().astype(np.int64) for c in ("i", "at", "chunks"))
+    x = Counts.of(np.repeat(at, chunks), np.repeat(column, chunks), words)
     prefix = np.char.endswith(label, "|")
     markers = [w for w, p in zip(label, prefix) if not p]
     # a prefix that is mostly one marker word's says nothing more than the word
-    lone = {w: in_pos[order[i]] for i, w in enumerate(label) if not prefix[i]}
-    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[order[i]] for w in markers if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
+    lone = {w: in_pos[i] for i, w in enumerate(label) if not prefix[i]}
+    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[i] for w in markers if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
     marks = x.columns > 0
     count = lambda mask: np.bincount(x.rows[marks], mask[x.columns[marks] - 1] * x.values[marks], n)
     targets = [(count(~prefix) > 0) * 1.0, (count(stem) > 0) * 1.0, (count(~prefix | stem) > 1.5) * 1.0, y]
-    fold, width = np.arange(n) % FOLDS, len(order) + 1
+    fold, width = np.arange(n) % FOLDS, len(label) + 1
     earlier = np.zeros((n, 0))
     models = []
     for target in targets:
@@ -211,27 +205,45 @@ def train(texts: list[str], toxic: list[int]) -> Chain:
     return Chain(features, models, best_threshold(earlier[:, -1], y))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list:
-    """At most ``size`` labelled texts, up to half of them toxic, by a hash of doc_id."""
-    truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame | None:
+    """(doc_id, text, toxic) of at most ``size`` labelled documents, up to half of them toxic, by a hash of doc_id; None if a class is missing."""
+    truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).filter("toxic in (0, 1)").collect()}
     if len(counts) < 2:
-        return []
+        return None
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     bound = F.when(F.col("toxic") == 1, min(1.0, size / 2 / counts[1])).otherwise(min(1.0, size / 2 / counts[0]))
     picked = truth.filter("toxic in (0, 1)").filter(place < bound).orderBy(place, "doc_id").limit(size)  # bounded, so broadcast
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    rows = text.join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, MOST_TRAINED).alias("text"), "toxic").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
 
 
-#: Characters of a training text (prediction always reads the whole text).
-MOST_TRAINED = 20_000
+def described(texts: DataFrame) -> DataFrame:
+    """What training needs of (doc_id, text, toxic), written once: MinHash keys, different words, and each term of the whole text with the words that show it."""
+    fields = "digest string, toxic int, keys array<bigint>, words bigint, terms array<string>, chunks array<bigint>"
+    source = texts.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "toxic", "text")
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 50):
+                b = whole.slice(lo, 50)
+                keys = [bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(b.column(3))]
+                words, found = [], []
+                for text in b.column(3).to_pylist():
+                    chunks = set(text.split())
+                    words.append(len(chunks))
+                    found.append(Counter(t for chunk in chunks for t in set(terms(chunk))))
+                made = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names)
+
+    schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(fields).fields])
+    names = schema.names
+    return materialise(source.mapInArrow(returning(run), schema).withColumn("row", F.monotonically_increasing_id()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
-    rows = sample(docs, labels, size)
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    found = sample(docs, labels, size)
+    return Chain() if found is None else train(described(found))
 
 
 class _Columns(dict):

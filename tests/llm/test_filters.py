@@ -133,3 +133,17 @@ def test_toxicity(spark, sf):
     one = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
     assert toxicity.classify(docs(spark), one).count() == 13
     assert toxicity.classify(empty(spark), seen).count() == 0
+
+
+def test_toxicity_learns_whole_texts(spark):
+    """Markers that stand after 20,000 characters only."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(7))
+    text = lambda bad: " ".join([word() for _ in range(2600)] + ["zuxwv qyzzt"] * bad)
+    rows = [(i, text(i % 4 == 0)) for i in range(60)]
+    assert all(t.find("zuxwv") > 20_000 for i, t in rows if i % 4 == 0)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    chain = toxicity.fit(d, labels)
+    assert {"zuxwv", "qyzzt"} <= set(chain.features)
+    assert {r.doc_id for r in toxicity.predict(d, chain).filter("toxic").collect()} == set(range(0, 60, 4))
