@@ -2,16 +2,17 @@
 
 The search is a driver loop by nature, each step depending on the last; what is heavy,
 the evaluation, is not: Gaussian moments per fold, class and feature are aggregated
-once by Spark, and every candidate subset is then scored from likelihood terms that
-one more pass has summed.  All neighbours of a step are scored together.
+once by Spark, and a job over all rows then counts the confusions of many candidate
+subsets together.  Only counts reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,44 +63,74 @@ def important(gains: DataFrame, share: float = 0.03) -> DataFrame:
 # ---- search -------------------------------------------------------------------------------------------------
 
 
+#: Subsets that one job evaluates, as far as the search can name so many ahead.
+AHEAD = 512
+
+
 @dataclass
 class Evaluator:
     """F1 (percent) of feature subsets by cross-validated Gaussian naive Bayes.
 
-    ``terms`` has one row for each test row: fold, true class, and for each class and
-    feature the log-likelihood under the moments of the other folds; it is an array
-    of rows x classes x features, for a bounded sample of rows.
+    ``rows`` (fold, truth, x) are the test rows; a row's log-likelihoods are made where it
+    lies from ``mean`` and ``var``, the moments of the other folds (folds x classes x
+    features), and ``prior`` (folds x classes).
     """
 
-    terms: np.ndarray
+    rows: DataFrame
+    mean: np.ndarray
+    var: np.ndarray
     prior: np.ndarray
-    truth: np.ndarray
     log: list[tuple[int, float, list[int]]] = field(default_factory=list)
     seen: dict[tuple[int, ...], float] = field(default_factory=dict)
 
     def __call__(self, subsets: list[list[int]]) -> list[float]:
+        self.ahead([subsets])
         out = []
         for s in subsets:
             key = tuple(sorted(s))
-            if key not in self.seen:
-                self.seen[key] = self._f1(key)
             out.append(self.seen[key])
             self.log.append((len(self.log) + 1, self.seen[key], list(key)))
         return out
 
-    def _f1(self, key: tuple[int, ...]) -> float:
-        if not key:
-            return 0.0
-        score = self.terms[:, :, [i - 1 for i in key]].sum(2) + self.prior
-        pred = score.argmax(1)
-        right = pred == self.truth
-        tp, fp = int((right & (pred > 0)).sum()), int((~right & (pred > 0)).sum())
-        fn = int((~right & (pred == 0)).sum())
-        return 200 * tp / max(2 * tp + fp + fn, 1)
-
-
-def evaluator(df: DataFrame, features: list[str], label: str, normal: str, folds: int, seed: int, key: str, sample: int = 20_000) -> Evaluator:
-    """Moments by one aggregation over all rows, likelihood terms for a stratified sample of at most ``sample`` rows."""
+    def ahead(self, offers: Iterable[list[list[int]]]) -> None:
+        """One job for those of the first subsets that aren't known; later offers may not be wanted, so they aren't logged."""
+        keys: dict[tuple[int, ...], None] = {}
+        for offer in offers:
+            new = [k for k in (tuple(sorted(s)) for s in offer) if k not in self.seen]
+            if keys and len(keys) + len(new) > AHEAD:
+                break
+            keys |= dict.fromkeys(new)
+        if keys:
+            self.seen |= zip(keys, self._f1(list(keys)))
+
+    def _f1(self, keys: list[tuple[int, ...]]) -> list[float]:
+        mean, var, prior = self.mean, self.var, self.prior
+        chosen = np.zeros((mean.shape[2], len(keys)))
+        for k, key in enumerate(keys):
+            chosen[[i - 1 for i in key], k] = 1
+
+        def run(batches):
+            counts = np.zeros((3, len(keys)), np.int64)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    b = whole.slice(lo, 500)
+                    fold, truth = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, 1, -1)
+                    terms = -0.5 * (np.log(2 * np.pi * var[fold]) + (x - mean[fold]) ** 2 / var[fold])
+                    score = (terms.reshape(-1, len(chosen)) @ chosen).reshape(*terms.shape[:2], -1)
+                    pred = (score + prior[fold][:, :, None]).argmax(1)
+                    right, alarm = pred == truth[:, None], pred > 0
+                    counts += [(right & alarm).sum(0), (~right & alarm).sum(0), (~right & ~alarm).sum(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(keys)), pa.int32()), *map(pa.array, counts)], ["k", "tp", "fp", "fn"])
+
+        parts = self.rows.mapInArrow(run, "k int, tp bigint, fp bigint, fn bigint")
+        found = {r["k"]: r for r in parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect()}
+        return [200 * r["tp"] / max(2 * r["tp"] + r["fp"] + r["fn"], 1) if key and (r := found.get(k)) else 0.0 for k, key in enumerate(keys)]
+
+
+def evaluator(df: DataFrame, features: list[str], label: str, normal: str, folds: int, seed: int, key: str, sample: int | None = None) -> Evaluator:
+    """Moments by one aggregation over all rows; subsets are tested on all rows, or with ``sample`` on a stratified sample of so many."""
+    from .models import saved
     from .partition import kfold, stratified_sample
 
     rows = kfold(df.select(key, label, *features), folds, seed, key, label)
@@ -113,14 +144,11 @@ def evaluator(df: DataFrame, features: list[str], label: str, normal: str, folds
     n, s, q = (np.maximum(a.sum(0)[None] - a, 1e-12) if a is n else a.sum(0)[None] - a for a in (n, s, q))
     mean = s / n
     var = np.maximum(q / n - mean * mean, 0) + 1e-9 * max(1.0, float((q / n - mean * mean).max()))
-    test = stratified_sample(rows, sample, seed, key, label).collect()
-    x = np.array([[float(r[f]) for f in features] for r in test])
-    fold = np.array([r["fold"] for r in test])
-    truth = np.array([at[r[label]] for r in test])
-    m, v = mean[fold], var[fold]
-    terms = -0.5 * (np.log(2 * np.pi * v) + (x[:, None, :] - m) ** 2 / v)
-    share = n[fold][:, :, 0]
-    return Evaluator(terms, np.log(share / share.sum(1, keepdims=True)), truth)
+    test = rows if sample is None else stratified_sample(rows, sample, seed, key, label)
+    truth = F.create_map(*[v for c, k in at.items() for v in (F.lit(c), F.lit(k))])[F.col(label)]
+    test = saved(test.select(F.col("fold").cast("int").alias("fold"), truth.alias("truth"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")))
+    share = n[:, :, 0]
+    return Evaluator(test, mean, var, np.log(share / share.sum(1, keepdims=True)))
 
 
 @dataclass
@@ -157,11 +185,18 @@ def bit_flips(current: Found, pool: list[int], evaluate: Evaluator, penalty: flo
 
 def additions(current: Found, pool: list[int], evaluate: Evaluator, penalty: float, rng, replacing: bool = False) -> Found | None:
     """Incremental wrapper: features are offered in turn and kept if better; with ``replacing`` each may also take a place."""
-    kept = Found([], 0.0)
-    for i in [x for x in reversed(pool)]:
+    kept, order = Found([], 0.0), list(reversed(pool))
+
+    def offer(i: int) -> list[list[int]]:
         tried = [[*kept.features, i]] if i not in kept.features else []
         if replacing:
             tried += [[*kept.features[:k], *kept.features[k + 1 :], i] for k in range(len(kept.features)) if i not in kept.features]
+        return tried
+
+    for at, i in enumerate(order):
+        tried = offer(i)
+        if any(tuple(sorted(t)) not in evaluate.seen for t in tried):  # what follows if this one isn't kept, in the same job
+            evaluate.ahead(map(offer, order[at:]))
         top = _best(evaluate, tried, penalty) if tried else None
         if top and top.beats(kept, penalty):
             kept = top

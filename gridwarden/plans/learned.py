@@ -56,10 +56,12 @@ def gossip_equals_federated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grasp_nb(spark: SparkSession, d: str) -> DataFrame:
-    """Search over 16 of the embedding's positions with naive Bayes as the wrapper."""
-    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("cls"), *[F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(16)])
-    evaluate = selection.evaluator(e, [f"f{i + 1}" for i in range(16)], "cls", "c0", 5, SEED, "vec_id")
-    found = selection.grasp(evaluate, list(range(1, 17)), "vnd", iterations=2, penalty=0.05)
+    """Search over all of the embedding's positions with naive Bayes as the wrapper, until 15 iterations bring nothing."""
+    width, rows = 64, table(spark, d, "embeddings")
+    names = [f"f{i + 1}" for i in range(width)]
+    e = rows.select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("cls"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(names)])
+    evaluate = selection.evaluator(e, names, "cls", "c0", 5, SEED, "vec_id")
+    found = selection.grasp(evaluate, list(range(1, width + 1)), "vnd", iterations=1000, penalty=0.05, patience=15, most=100_000)
     return spark.createDataFrame([(found.features, round(found.f1, 6), len(evaluate.log))], "features array<int>, f1 double, evaluations int")
 
 

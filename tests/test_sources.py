@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,22 @@ def test_search_prefers_small_subsets():
     assert b.beats(a, 0.0) and not a.beats(b, 0.0) and a.beats(selection.Found([], 0.0), 0.0)
 
 
+def test_subsets_are_tested_on_all_rows(spark):
+    df = spark.range(21_000).select("id", F.when(F.col("id") % 3 == 0, "bad").otherwise("ok").alias("c"), *[(F.col("id") % 3 + F.col("id") * k % 7).cast("double").alias(f"f{k}") for k in (1, 2)])
+    evaluate = selection.evaluator(df, ["f1", "f2"], "c", "ok", 2, 7, "id")
+    assert evaluate.rows.count() == 21_000
+    got = evaluate([[1], [2, 1], []])
+    # the same on the driver
+    x, fold, truth = (np.array([r[c] for r in evaluate.rows.collect()]) for c in ("x", "fold", "truth"))
+    want = []
+    for s in ([0], [0, 1]):
+        score = np.stack([sum(-((x[:, i] - evaluate.mean[fold, c, i]) ** 2 / evaluate.var[fold, c, i] + np.log(2 * np.pi * evaluate.var[fold, c, i])) / 2 for i in s) + evaluate.prior[fold, c] for c in (0, 1)], 1)
+        alarm = score[:, 1] > score[:, 0]
+        want.append(200 * (alarm & (truth == 1)).sum() / (alarm.sum() + (truth == 1).sum()))
+    assert np.allclose(got, [*want, 0.0]) and len(evaluate.log) == 3
+    assert selection.evaluator(df, ["f1", "f2"], "c", "ok", 2, 7, "id", 500).rows.count() == 500
+
+
 def test_nearest_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.filter("vec_id % 20 = 0")
