@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 from ..functions.metrics import binary_counts, derived, fold_average
 
 DEFAULTS = {"seed": 42}
+#: The library's limit on a tree's depth.
+DEEPEST = 30
 
 
 def classifier(name: str, label: str = "y", **more):
-    """A registered classifier by name; trees are capped at depth 30, the library's limit."""
+    """A registered classifier by name; trees are capped at depth 30, the library's limit, boosted ones at their own depth."""
     common = {"labelCol": label, "featuresCol": "features"} | more
     made = {
-        "random_tree": lambda: RandomForestClassifier(numTrees=1, featureSubsetStrategy="sqrt", bootstrap=False, maxDepth=12, **DEFAULTS, **common),
-        "j48": lambda: DecisionTreeClassifier(impurity="entropy", maxDepth=10, **DEFAULTS, **common),
-        "rep_tree": lambda: DecisionTreeClassifier(impurity="entropy", maxDepth=10, minInstancesPerNode=2, **DEFAULTS, **common),
+        "random_tree": lambda: RandomForestClassifier(numTrees=1, featureSubsetStrategy="sqrt", bootstrap=False, maxDepth=DEEPEST, **DEFAULTS, **common),
+        "j48": lambda: DecisionTreeClassifier(impurity="entropy", maxDepth=DEEPEST, **DEFAULTS, **common),
+        "rep_tree": lambda: DecisionTreeClassifier(impurity="entropy", maxDepth=DEEPEST, minInstancesPerNode=2, **DEFAULTS, **common),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, **DEFAULTS, **common),
+        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=DEEPEST, **DEFAULTS, **common),
         "boosted": lambda: GBTClassifier(maxIter=50, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", **DEFAULTS, **common),
         "boosted_multiclass": lambda: OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, **DEFAULTS), labelCol=label, featuresCol="features"),
     }

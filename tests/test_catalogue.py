@@ -1,6 +1,7 @@
 import pytest
 from oracle import same
 
+from gridwarden.operators import models
 from gridwarden.plans import catalogue, learned, rounds  # noqa: F401
 
 
@@ -19,3 +20,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_classifiers_are_validated(spark, sf, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models, "cross_validate", lambda rows, columns, names, folds: asked.update(names=names, folds=folds, dealt=rows.select("fold").distinct().count()))
+    learned.classifier_cv(spark, sf)
+    assert asked == {"names": models.REGISTRY, "folds": 5, "dealt": 5}
+    assert all(models.classifier(n).getMaxDepth() == 30 for n in ("random_tree", "j48", "rep_tree", "random_forest"))
