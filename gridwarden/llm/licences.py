@@ -17,6 +17,8 @@ ignored; an empty table gives no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +65,10 @@ _ISC_END = (
     "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-#: Public licence texts, (identifier, text).
-TEXTS = [
+#: Public licence texts without a title, (identifier, text).
+_PLAIN = [
     ("MIT", _MIT),
-    ("MIT", "MIT License\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("BSD-2-Clause", _BSD_START + _BSD_END),
-    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_START + _BSD_END),
     (
         "BSD-3-Clause",
         _BSD_START
@@ -88,6 +87,24 @@ TEXTS = [
         "3. This notice may not be removed or altered from any source distribution.",
     ),
 ]
+#: Title lines that a licence file may begin with.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License (MIT)", "The MIT License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+
+
+def _listed(text: str) -> list[str]:
+    """The text with its list numbered, with bullets, and with letters."""
+    return list(dict.fromkeys([text, re.sub(r"(?m)^[0-9]\. ", "* ", text), re.sub(r"(?m)^([0-9])\. ", lambda m: f"({'abc'[int(m[1]) - 1]}) ", text)]))
+
+
+#: Known texts, (identifier, text): with and without each title, with each kind of list.
+TEXTS = [(name, title + text) for name, plain in _PLAIN for text in _listed(plain) for title in ["", *(f"{t}\n" for t in _TITLES[name])]]
 #: One-line notices, (identifier, line).
 NOTICES = [
     ("MIT", "Released under the MIT License."),

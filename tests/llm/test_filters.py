@@ -89,6 +89,15 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_licence_titles_and_lists(spark):
+    plain = dict(licences._PLAIN)
+    bsd = plain["BSD-3-Clause"]
+    given = ["BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n" + bsd, "ISC License\n" + plain["ISC"], "BSD Zero Clause License\n" + plain["0BSD"], "zlib License\n" + plain["Zlib"]]
+    given += [re.sub(r"(?m)^[0-9]\. ", "* ", bsd), "BSD 3-Clause License\n" + bsd.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")]
+    got = {r.doc_id: r.license_id for r in licences.scan(docs(spark, given)).collect()}
+    assert [got[i] for i in range(6)] == ["BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSD-3-Clause", "BSD-3-Clause"]
+
+
 def test_gradients_of_the_network():
     """Back-propagation against finite differences of the same loss."""
     rng = np.random.default_rng(1)
