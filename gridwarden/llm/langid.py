@@ -8,9 +8,10 @@ step is one gather, one small matrix product and the gates, done for all windows
 batch at once in single precision.
 
 Training is back-propagation through time in numpy with Adam on the driver.  It takes
-at most ``SAMPLE`` labelled documents (documented bound: the first by a hash of
-doc_id within each language's share) and ``WINDOWS`` windows spread evenly over each of
-them.  Its random numbers have a fixed seed.
+about ``SAMPLE`` labelled documents (documented bound: in each language the rows whose hash of
+doc_id lies below the language's share, at least one share each) and reads them whole:
+executors cut every sampled text into windows, and every window is trained on in each
+epoch, languages weighted alike.  Its random numbers have a fixed seed.
 
 Cases: ``und`` with score 0 for a null or empty text or one without a letter; a label
 that is null is never learned; with no labelled row every text is ``und``; with one
@@ -32,12 +33,13 @@ from pyspark.sql import types as T
 from .store import returning
 
 UNKNOWN = "und"
-#: Bounds of the training sample: labelled documents, and windows taken from each.
-SAMPLE, WINDOWS = 2000, 4
-#: Bytes that go through the network as one sequence; training reads the first TRAINED of a window.
-WINDOW, TRAINED = 128, 64
+#: Bound of the training sample, in labelled documents; no language gets less than LEAST_SHARE of them.
+SAMPLE, LEAST_SHARE = 800, 4
+#: Bytes that go through the network as one sequence.
+WINDOW = 128
 HIDDEN = 8
-STEPS, BATCH, RATE = 300, 64, 0.02
+#: Training goes through all windows as often as it takes to make STEPS steps of BATCH windows, once at least.
+STEPS, BATCH, RATE = 150, 96, 0.03
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -132,7 +134,7 @@ def _back(d: Direction, x: np.ndarray, live: np.ndarray, memo: list, grad: np.nd
 
 
 def train(windows: list[bytes], labels: list[str], seed: int = 7) -> Network:
-    """Fit on windows (cut to TRAINED bytes each) and their labels."""
+    """Fit on windows of at most WINDOW bytes and their labels; each window is used in every epoch."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     init = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
@@ -140,27 +142,34 @@ def train(windows: list[bytes], labels: list[str], seed: int = 7) -> Network:
     net = Network(names, *(Direction(init(3 * HIDDEN, 256), init(3 * HIDDEN, HIDDEN)) for _ in range(2)), init(k, 2 * HIDDEN), np.zeros((k, 1), np.float32))
     if len(names) < 2:
         return net
-    y_all = np.array([names.index(x) for x in labels])
-    groups = [np.flatnonzero(y_all == i) for i in range(len(names))]
+    number = {n: i for i, n in enumerate(names)}
+    y_all = np.array([number[x] for x in labels])
+    # every language counts alike, so that a rare one is learned too
+    importance = (len(y_all) / (len(names) * np.bincount(y_all, minlength=len(names))))[y_all].astype(np.float32)
+    per_epoch = -(-len(windows) // BATCH)
+    total = per_epoch * -(-STEPS // per_epoch)
     weights = [net.forward.table, net.forward.recurrent, net.backward.table, net.backward.recurrent, net.out, net.bias]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    for step in range(1, STEPS + 1):
-        # every language equally often, so that a rare one is learned too
-        pick = np.array([rng.choice(groups[i]) for i in rng.integers(0, len(names), BATCH)])
-        x, live = _matrix([windows[i][:TRAINED] for i in pick])
+    for step in range(1, total + 1):
+        at = (step - 1) % per_epoch * BATCH
+        if at == 0:
+            order = rng.permutation(len(windows))
+        pick = order[at : at + BATCH]
+        x, live = _matrix([windows[i] for i in pick])
         y = y_all[pick]
         fwd, memo_f = _run(net.forward, x, live, True)
         bwd, memo_b = _run(net.backward, x[::-1], live[::-1], True)
         both = np.concatenate([fwd, bwd[::-1]], 1)
         p = _softmax(net.out @ both + net.bias)
         p[:, y, np.arange(len(y))] -= 1
-        p *= (live / live.sum())[:, None, :]
+        share = live * importance[pick]
+        p *= (share / share.sum())[:, None, :]
         up = net.out.T @ p
         gf = _back(net.forward, x, live, memo_f, up[:, :HIDDEN])
         gb = _back(net.backward, x[::-1], live[::-1], memo_b, up[::-1, HIDDEN:])
         grads = [gf.table, gf.recurrent, gb.table, gb.recurrent, (p @ both.transpose(0, 2, 1)).sum(0), p.sum((0, 2))[:, None]]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = RATE * min(1.0, 2 * (1 - step / (total + 1)))
         for w, g, a, b in zip(weights, grads, m, v):
             g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             a += np.float32(0.1) * (g - a)
@@ -220,19 +229,35 @@ def held_out():
 
 
 def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """At most ``sample`` documents with a label and a text that are not held out: windows and labels."""
+    """All windows, with their labels, of the sampled documents that have a label and a text and are not held out.
+
+    Executors turn each sampled text into its windows; those without a letter say nothing
+    about a language and stay behind.
+    """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(), F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
-        return []
-    share = max(1, sample // len(counts))
+    usable = usable.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # one row for each language, and as many weights in the network, so this table is as small as the model
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    share = max(LEAST_SHARE, sample // max(1, counts.count()))
     # a row's place in [0, 1) by hash; about `share` rows of each language lie below its bound
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
-    step = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS)).cast("int")
-    cuts = F.array(*[F.substring("text", F.lit(1) + i * step, F.lit(WINDOW)) for i in range(WINDOWS)])
-    rows = usable.filter(place < bound[F.col("lang")]).orderBy(place, "doc_id").limit(sample).select("lang", cuts.alias("cuts")).collect()
-    return [(w.encode()[:WINDOW], r["lang"]) for r in rows for w in r["cuts"] if w and _LETTER.search(w)]
+    picked = usable.join(F.broadcast(counts.select("lang", (F.lit(float(share)) / F.col("n")).alias("bound"))), "lang").filter(place < F.col("bound"))
+
+    def run(batches):
+        for b in batches:
+            langs, found = [], []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = text.encode()
+                for at in range(0, len(raw), WINDOW):
+                    w = raw[at : at + WINDOW]
+                    if _LETTER.search(w.decode(errors="ignore")):
+                        langs.append(lang)
+                        found.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "part"])
+
+    rows = picked.select("lang", "text").mapInArrow(returning(run), "lang string, part binary").toArrow()
+    # an order that does not depend on partitions
+    return sorted(zip(rows.column(1).to_pylist(), rows.column(0).to_pylist()))
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
