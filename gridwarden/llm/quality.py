@@ -3,10 +3,15 @@
 Base rules look at one text: word count, repeated three-word windows, repeated
 lines, symbols.  The frequency rule looks across texts: lines are normalised (lower
 case, digits as 0, white space as one space) and hashed; for each host the distinct
-texts that hold a line are counted (equal texts count once, so that a copied
-document does not make its own lines frequent); a line in more than ``LINE_LIMIT``
-texts of a host is removed; and a document is rejected if what remains has
-fewer than ``LEAST_WORDS`` words or less than ``LEAST_SHARE`` percent of its words.
+documents that hold a line are counted; a line that more than ``LINE_SHARE`` percent of the
+host's documents hold, and more than ``LEAST_DOCUMENTS`` of them, is removed; and a document
+of which less than ``LEAST_SHARE`` percent of the words remain is rejected.  The limit is a
+share because hosts differ in size: it means the same on a host of 50 documents and of 50 million.
+
+What is shuffled are 64-bit hashes of lines, each once for a document.  Rows meet by
+doc_id first, so that equal rows count once, and are counted map-side before they meet by
+line.  The frequent lines of a host are at most (lines of its average document) x 100 / LINE_SHARE,
+whatever its size, so they go to the documents as one short array for each host; texts are never shuffled.
 
 Repeated windows are found inside the row: the windows' hashes, with the position in
 their low bits, are sorted as one array of longs; neighbours with equal hashes are
@@ -14,7 +19,8 @@ compared word by word; and the covered words follow from the sorted positions.
 n log n steps on any text and no shuffle.
 
 Cases: a null or empty text has no words, fails the base rules and is rejected; a null
-host is a host of its own; repeated rows get equal results; extra columns are
+host is a host of its own; rows of one doc_id are one document of each of their hosts, and
+each row gets its own result; rows without a doc_id are one document; extra columns are
 ignored; an empty table gives no row.
 """
 
@@ -25,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 
-#: A line is removed on a host if more distinct texts than this hold it.
-LINE_LIMIT = 20
-LEAST_WORDS, LEAST_SHARE = 50, 30
+#: A line is removed on a host if more than this percentage of its documents, and more than so many of them, hold it.
+LINE_SHARE, LEAST_DOCUMENTS = 5, 5
+#: Percentage of a document's words that must remain.
+LEAST_SHARE = 50
 #: The six white-space characters between words, and the symbol characters.
 BLANK, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -45,13 +52,13 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    step1 = docs.withColumns({"_words": _words(text), "_lines": lines, "_text": text})
+    step1 = docs.withColumns({"_words": _words(text), "_own": lines, "_text": text})
     step2 = step1.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
             "word_chars": _without(F.col("_text"), BLANK).cast("bigint"),
             "n_symbols": (F.length("_text") - _without(F.col("_text"), SYMBOLS)).cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+            "n_dup_lines": (F.size("_own") - F.size(F.array_distinct("_own"))).cast("bigint"),
             # low bits that hold a position
             "_mask": F.expr("shiftleft(1L, cast(ceil(log2(greatest(size(_words), 2))) as int) + 1) - 1L"),
         }
@@ -74,36 +81,65 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     return (
         step2.withColumn("_keys", keys).withColumn("_at", repeats).withColumn("n_repeat_words", covered)
-        .drop("_words", "_lines", "_text", "_mask", "_keys", "_at")
+        .drop("_words", "_own", "_text", "_mask", "_keys", "_at")
     )
 
 
-def _line_key(line):
-    """Digest of the normalised line."""
-    plain = F.regexp_replace(F.lower(line), "[0-9]", "0")
-    return F.md5(F.btrim(F.regexp_replace(plain, "[ \\t-\\r]+", " "), F.lit(" ")))
+def _lines(text):
+    """Normalised lines that have a word, each as (number of the line, hash, words)."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "123456789", "000000000")
+    # white space other than the line's end becomes one space; a line's ends are trimmed below
+    split = F.split(F.regexp_replace(plain, "[ \\t\\x0b\\f\\r]+", " "), "\n")
+    numbered = F.transform(split, lambda x, i: F.struct(i.alias("no"), F.btrim(x).alias("line")))
+    return F.transform(
+        F.filter(numbered, lambda x: x["line"] != ""),
+        lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("key"), (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words")),
+    )
+
+
+def _host(host_col: str):
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
+def frequent_lines(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(host, frequent array<bigint>): hashes of the normalised lines above the limit, one row for each host that has any."""
+    rows = docs.select(F.col("doc_id"), _host(host_col).alias("host"), F.array_distinct(F.transform(_lines(F.col("text").cast("string")), lambda x: x["key"])).alias("keys"))
+    # rows of a doc_id lie together, so that distinct lines of a document need no further shuffle
+    held = rows.repartition("doc_id").select("doc_id", "host", F.explode("keys").alias("key")).distinct()
+    counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > least)
+    sizes = docs.select("doc_id", _host(host_col).alias("host")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    over = counts.join(sizes, "host").filter(100 * F.col("documents") > share * F.col("size"))
+    return materialise(over.groupBy("host").agg(F.collect_set("key").alias("frequent")))
+
+
+def _gone(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` with ``_lines`` and ``_host`` replaced by ``_gone``, those lines (no, key, words) that are frequent on the row's host."""
+    table = frequent.select(F.col("host").alias("_known"), F.col("frequent").alias("_frequent"))
+    # of most documents no line is frequent: one pass over two hash sets says so
+    hit = F.array_intersect(F.transform("_lines", lambda x: x["key"]), F.col("_frequent"))
+    some = F.size(F.coalesce("_hit", F.array().cast("array<bigint>"))) > 0
+    gone = F.when(some, F.filter("_lines", lambda x: F.array_contains(F.col("_hit"), x["key"]))).otherwise(F.filter("_lines", lambda x: F.lit(False)))
+    joined = rows.join(table, F.col("_host") == F.col("_known"), "left")
+    return joined.withColumn("_hit", hit).withColumn("_gone", gone).drop("_lines", "_hit", "_host", "_known", "_frequent")
 
 
-def removed_words(docs: DataFrame, host_col: str, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, digest of the text, removed): words in lines above the limit, one row for each distinct text that has any."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    rows = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.md5("text").alias("digest"), F.posexplode(lines).alias("pos", "line"))
-    keyed = rows.select("host", "digest", "pos", _line_key(F.col("line")).alias("key"), F.size(_words(F.col("line"))).alias("words"))
-    # copies of a text fall together here, before anything is counted
-    held = materialise(keyed.dropDuplicates(["host", "digest", "pos"]).groupBy("host", "digest", "key").agg(F.sum("words").alias("words")))
-    common = held.groupBy("host", "key").agg(F.count("*").alias("texts")).filter(F.col("texts") > limit).select("host", "key")
-    return held.join(common, ["host", "key"]).groupBy("host", "digest").agg(F.sum("words").alias("removed"))
+def clean(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``docs`` with ``removed_lines`` (numbers from 0, ascending) and ``clean_text``, the text without these lines."""
+    rows = docs.withColumns({"_lines": _lines(F.col("text")), "_host": _host(host_col)})
+    gone = _gone(rows, frequent_lines(docs, host_col, share, least)).withColumn("removed_lines", F.transform("_gone", lambda x: x["no"]))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
+    return gone.withColumn("clean_text", F.array_join(left, "\n")).drop("_gone")
 
 
-def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept)."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    gone = removed_words(rows, "host").withColumnRenamed("digest", "d2").withColumnRenamed("host", "h2")
-    measured = base_metrics(rows.withColumn("digest", F.md5("text"))).drop("text")
-    joined = measured.join(gone, (F.col("host") == F.col("h2")) & (F.col("digest") == F.col("d2")), "left")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), _host(host_col).alias("_host"))
+    # the text ends here: what meets the frequent lines are numbers
+    measured = base_metrics(rows.withColumn("_lines", _lines(F.col("text")))).drop("text")
+    words = F.aggregate("_gone", F.lit(0).cast("bigint"), lambda s, x: s + x["words"])
+    marked = _gone(measured, frequent_lines(docs, host_col, share, least)).withColumn("removed_words", words)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < LEAST_WORDS) | (100 * left < LEAST_SHARE * F.col("n_words")))
-    return joined.withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("bigint")).select(
+    depleted = 100 * (F.col("n_words") - F.col("removed_words")) < LEAST_SHARE * F.col("n_words")
+    return marked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
     )

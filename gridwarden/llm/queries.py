@@ -122,19 +122,19 @@ FROM d LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN f USING (doc_id)
 """
 
 
+#: 5 % of a host's documents and more than 5 of them; half of the words must remain.
 _QUALITY_SQL = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(source, '') AS host, md5(text) AS digest, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3
 ), t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]) AS n FROM p
 ), r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS at FROM t, range(0, 3) g(k) WHERE n > 1) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, host, digest, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-         trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key
-  FROM (SELECT doc_id, host, digest, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT doc_id, host, line, len(words) AS words, array_to_string(list_transform(words, lambda x: regexp_replace(lower(x), '[0-9]', '0', 'g')), ' ') AS key
+  FROM (SELECT doc_id, host, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM w)) WHERE len(words) > 0
 ), u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id
-), c AS (SELECT host, key FROM l GROUP BY host, key HAVING count(DISTINCT digest) > {limit}
+), h AS (SELECT host, count(DISTINCT doc_id) AS size FROM w GROUP BY host
+), c AS (SELECT host, key FROM l JOIN h USING (host) GROUP BY host, key, size HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.05 * size
 ), g AS (SELECT doc_id, sum(words)::BIGINT AS removed FROM l JOIN c USING (host, key) GROUP BY doc_id
 ), m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -142,16 +142,9 @@ WITH w AS (
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN g USING (doc_id)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < {least} OR 100 * (n_words - removed_words) < {share} * n_words)) AS kept FROM b
+SELECT *, NOT base_failed AND 2 * removed_words <= n_words AS kept FROM b
 """
 
-
-def _quality_sql() -> str:
-    from .quality import LEAST_SHARE, LEAST_WORDS, LINE_LIMIT
-
-    return _QUALITY_SQL.format(limit=LINE_LIMIT, least=LEAST_WORDS, share=LEAST_SHARE)
-
-
 SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH u AS (
@@ -168,6 +161,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """,
-    "op9_quality_rules": _quality_sql(),
+    "op9_quality_rules": _QUALITY_SQL,
     "op10_licences": _licence_sql(),
 }
