@@ -3,16 +3,22 @@
 ``decode`` reads the block structure, decodes each frame's LZW code stream, applies the
 local or global palette, interlacing, transparency and the disposal of the frame before,
 and yields the canvas as it is shown, its delay and its colour histogram (2 bits a
-channel, 64 bins, of opaque pixels).
+channel, 64 bins, of opaque pixels).  ``frames`` turns a table of images into a table of timed
+frames: number, start and delay in milliseconds, place, disposal, and the histogram as a
+column; ``stored_frames`` writes that table, and ``features`` is computed from it.
 
 Code streams.  Between two clear codes the width of the n-th code follows from n alone,
 so a whole stretch is cut from the bits by array operations; only the string table
 itself is a loop.  The encoder packs in the same way.
 
+A header may state any size, so a screen of more than ``MOST_PIXELS`` or a frame that does not
+lie inside its screen is damage, found before memory is taken; frames share one canvas, which
+changes in place.
+
 ``store_payload`` writes bytes as such an image: samples are palette indices of a
 64-pixel wide grey image, at most ``ROWS`` rows a frame, so a long payload is an animation.
 
-Cases: null media has no frame; a damaged file yields the frames before the damage and
+Cases: null media has no frame, and its features are null; a damaged file yields the frames before the damage and
 an ``error``; an empty text is one row of 64 zero samples; repeated rows give equal
 results; extra columns are ignored.
 """
@@ -34,6 +40,7 @@ from .store import materialise, returning
 
 WIDTH, ROWS, DELAY_CS = 64, 1024, 10
 TABLE = 4096
+MOST_PIXELS = 1 << 25
 
 
 @dataclass
@@ -46,13 +53,18 @@ class Frame:
     height: int
     disposal: int
     samples: np.ndarray  # (height, width) palette indices
-    canvas: np.ndarray  # (screen height, screen width, 4) RGBA as shown
+    canvas: np.ndarray  # (screen height, screen width, 4) RGBA as shown; valid until the next frame is asked for
+    start_ms: int
 
     def histogram(self) -> np.ndarray:
+        """Opaque pixels of each of 64 colours; bin = 16 red + 4 green + blue, two bits each."""
         px = self.canvas.reshape(-1, 4)
-        px = px[px[:, 3] > 0]
-        key = (px[:, 0] >> 6).astype(np.int64) * 16 + (px[:, 1] >> 6) * 4 + (px[:, 2] >> 6)
-        return np.bincount(key, minlength=64)
+        key = (px[:, 0] >> 6) << 4 | (px[:, 1] >> 6) << 2 | px[:, 2] >> 6
+        return np.bincount(key if px[:, 3].all() else key[px[:, 3] > 0], minlength=64)
+
+    def payload(self) -> bytes:
+        """Red channel of the frame's own rows."""
+        return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width, 0].tobytes()
 
 
 def widths(least: int, n: int) -> np.ndarray:
@@ -226,7 +238,9 @@ def _palette(raw: bytes) -> np.ndarray:
 
 def _decode(data: bytes) -> Iterator[Frame]:
     w, h, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, shared = 13, None
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"a screen of {w} x {h}")
+    at, shared, clock = 13, None, 0
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         shared, at = _palette(data[at : at + n]), at + n
@@ -245,6 +259,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
             raise ValueError(f"an unknown block {kind}")
         left, top, fw, fh, bits = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if left + fw > w or top + fh > h:
+            raise ValueError(f"a frame of {fw} x {fh} at {left}, {top} leaves its screen")
         table = shared
         if bits & 0x80:
             n = 3 << ((bits & 7) + 1)
@@ -263,27 +279,31 @@ def _decode(data: bytes) -> Iterator[Frame]:
             straight = np.empty_like(samples)
             straight[_interlaced(fh)] = samples
             samples = straight
-        before = canvas.copy() if disposal == 3 else None
         region = canvas[top : top + fh, left : left + fw]
-        seen = samples[: region.shape[0], : region.shape[1]]
+        before = region.copy() if disposal == 3 else None
         if clear is None:
-            region[:] = table[seen]
+            region[:] = table[samples]
         else:
-            shown = seen != clear
-            region[shown] = table[seen[shown]]
-        yield Frame(number, delay * 10, left, top, fw, fh, disposal, samples, canvas.copy())
+            shown = samples != clear
+            region[shown] = table[samples[shown]]
+        yield Frame(number, delay * 10, left, top, fw, fh, disposal, samples, canvas, clock)
         if disposal == 2:
             region[:] = 0
         elif before is not None:
-            canvas = before
+            region[:] = before
+        clock += delay * 10
         number, delay, disposal, clear = number + 1, 0, 0, None
 
 
-FRAMES = "frame_no int, delay_ms int, width int, height int, disposal int, samples binary, histogram array<bigint>, error string"
+FRAMES = "frame_no int, start_ms int, delay_ms int, left int, top int, width int, height int, disposal int, histogram array<bigint>, error string"
+
+
+def _frame_values(f: Frame) -> tuple:
+    return f.number, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.histogram().tolist(), None
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each frame of each GIF; a damaged file ends with a row that has only ``error``."""
+def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", samples: bool = True) -> DataFrame:
+    """One row for each frame of each GIF, with its palette indices where ``samples``; a damaged file ends with a row that has only ``error``."""
 
     def run(batches):
         for whole in batches:
@@ -295,14 +315,16 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                         continue
                     try:
                         for f in decode(data):
-                            rows.append((key, f.number, f.delay_ms, f.width, f.height, f.disposal, f.samples.tobytes(), f.histogram().tolist(), None))
+                            rows.append((key, *_frame_values(f), f.samples.tobytes()))
                     except ValueError as e:
-                        rows.append((key, None, None, None, None, None, None, None, str(e)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, [b.schema.types[0], *types])], names)
+                        rows.append((key, *[None] * 9, str(e), None))
+                columns = zip(zip(*rows) if rows else [[]] * 12, [b.schema.types[0], *types])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns][: 12 if samples else 11], names)
 
-    types = [pa.int32()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.string()]
-    names = [id_col, "frame_no", "delay_ms", "width", "height", "disposal", "samples", "histogram", "error"]
-    return media.select(id_col, media_col).mapInArrow(returning(run), f"`{id_col}` {dict(media.dtypes)[id_col]}, {FRAMES}")
+    types = [pa.int32()] * 8 + [pa.list_(pa.int64()), pa.string(), pa.binary()]
+    schema = f"`{id_col}` {dict(media.dtypes)[id_col]}, {FRAMES}" + (", samples binary" if samples else "")
+    names = [id_col, *(c.split()[0] for c in FRAMES.split(", ")), *(["samples"] if samples else [])]
+    return media.select(id_col, media_col).mapInArrow(returning(run), schema)
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -312,7 +334,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) of every text, as a table in the shared folder."""
+    """(row, doc_id, n_bytes, media) of every text, as a table in the shared folder; ``row`` numbers the rows in no order."""
 
     def run(batches):
         for whole in batches:
@@ -323,32 +345,60 @@ def stored(docs: DataFrame) -> DataFrame:
                     [b.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([store_payload(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(returning(run), "doc_id bigint, n_bytes bigint, media binary"))
+    made = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(returning(run), "doc_id bigint, n_bytes bigint, media binary")
+    return materialise(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "media"))
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Digests of the payload that the stored bytes hold, of the bytes, and the summed colour histogram as text.
+_DIGESTS = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
 
-    The payload is what the frames show: the red channel of each frame's own rows.
+
+def stored_frames(media: DataFrame) -> DataFrame:
+    """The frame table of ``stored`` images, in the shared folder: one decoding pass over the stored bytes.
+
+    (row, doc_id, n_bytes, the columns of ``frames`` but the samples, and on the image's last row
+    the digests of its payload and of its bytes).  The samples stay in the image.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
+    types = [pa.int32()] * 8 + [pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["row", "doc_id", "n_bytes", *(c.split()[0] for c in f"{FRAMES}, {_DIGESTS}".split(", "))]
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                out = []
-                for data in b.column(2).to_pylist():
-                    sha, tail, size, total, shown = hashlib.sha256(), b"", 0, np.zeros(64, np.int64), 0
-                    for f in decode(data):
-                        part = np.ascontiguousarray(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0]).tobytes()
-                        sha.update(part)
-                        tail, size, shown = (tail + part)[-64:], size + len(part), shown + 1
-                        total += f.histogram()
-                    hist = ",".join(f"{i}:{n}" for i, n in enumerate(total.tolist()) if n)
-                    out.append((size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"frames={shown};colours={hist}", shown))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types))], names)
-
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames int"
-    return media.mapInArrow(returning(run), schema)
+                at, rows = [], []
+                for i, data in enumerate(b.column(3).to_pylist()):
+                    sha, tail, size, own = hashlib.sha256(), b"", 0, []
+                    if data is not None:
+                        try:
+                            for f in decode(data):
+                                part = f.payload()
+                                sha.update(part)
+                                tail, size = (tail + part)[-64:], size + len(part)
+                                own.append((*_frame_values(f), *[None] * 5))
+                        except ValueError as e:
+                            own.append((*[None] * 9, str(e), *[None] * 5))
+                    if not own:
+                        own.append((None,) * 15)
+                    if data is not None:
+                        own[-1] = (*own[-1][:10], size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest())
+                    at += [i] * len(own)
+                    rows += own
+                keys = b.select(["row", "doc_id", "n_bytes"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 15, types))], names)
+
+    return materialise(media.select("row", "doc_id", "n_bytes", "media").mapInArrow(returning(run), f"row bigint, doc_id bigint, n_bytes bigint, {FRAMES}, {_DIGESTS}"))
+
+
+def features(timed: DataFrame) -> DataFrame:
+    """Of a ``stored_frames`` table per image: its digests, and as text its frames, duration and summed colour histogram.
+
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, duration_ms)
+    """
+    bins = [F.sum(F.get("histogram", k)).alias(f"_{k}") for k in range(64)]
+    digests = [F.max(c.split()[0]).alias(c.split()[0]) for c in _DIGESTS.split(", ")]
+    per = timed.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), *digests, F.count("frame_no").cast("int").alias("n_frames"), F.coalesce(F.sum("delay_ms"), F.lit(0)).alias("duration_ms"), *bins
+    )
+    colours = F.concat_ws(",", *[F.when(F.col(f"_{k}") > 0, F.concat(F.lit(f"{k}:"), F.col(f"_{k}"))) for k in range(64)])
+    feature = F.when(F.col("media_bytes").isNotNull(), F.concat(F.lit("frames="), "n_frames", F.lit(";ms="), "duration_ms", F.lit(";colours="), colours))
+    return per.select("doc_id", "n_bytes", *[c.split()[0] for c in _DIGESTS.split(", ")], feature.alias("feature"), "n_frames", "duration_ms")

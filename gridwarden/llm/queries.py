@@ -65,9 +65,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .gif import features, stored
+    from .gif import features, stored, stored_frames
 
-    return features(stored(table(spark, sf_dir, "documents")))
+    return features(stored_frames(stored(table(spark, sf_dir, "documents"))))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,32 +93,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _licence_sql() -> str:
-    """The canonical digest and its look-up as DuckDB SQL, from the operator's constants."""
-    from .licences import COPYRIGHT_LINE, NOTICES, SPELLINGS, TEXTS
+    """Words of the lines that state no copyright, one space between, hashed and looked up: the method said once more in DuckDB's functions."""
+    from .licences import _ARTICLES, _PHRASES, DIGESTS, TEXTS, _names
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-
-    def canonical(text: str) -> str:
-        out = f"regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '', 'g')"
-        for given, one in SPELLINGS:
-            out = f"replace({out}, {quoted(given)}, {quoted(one)})"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-
-    rows = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
-    return f"""
-WITH known AS (
-  SELECT min(license_id) AS license_id, sha256({canonical("t")}) AS digest FROM (VALUES {rows(TEXTS + NOTICES)}) v(license_id, t) GROUP BY 2
-), notice AS (
-  SELECT DISTINCT name, sha256({canonical("t")}) AS digest FROM (VALUES {rows(NOTICES)}) v(name, t)
-), d AS (SELECT doc_id, text, sha256({canonical("text")}) AS canonical_sha256 FROM documents
-), l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
-), f AS (
-  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
-  FROM (SELECT doc_id, sha256({canonical("line")}) AS digest FROM l WHERE regexp_matches(lower(line), 'licen[sc]e')) JOIN notice USING (digest) GROUP BY doc_id
-)
-SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices
-FROM d LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN f USING (doc_id)
+    rows = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in dict.fromkeys(pairs))
+    one = lambda items: ", ".join(f"({quoted(x)})" for x in items)
+    return rf"""
+WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), named(name, spelled) AS (VALUES {rows(_names())}), phrase(p) AS (VALUES {one(_PHRASES)}), article(a) AS (VALUES {one(_ARTICLES)}
+), unit AS (
+  SELECT 'text' AS kind, license_id AS id, string_split(t, chr(10)) AS lines FROM (VALUES {rows(TEXTS)}) v(license_id, t)
+  UNION ALL SELECT 'notice', name, [p || ' ' || a || ' ' || spelled] FROM named, phrase, article
+  UNION ALL SELECT DISTINCT 'notice', name, ['SPDX-License-Identifier: ' || name || e] FROM named, (VALUES (''), ('-only'), ('-or-later')) s(e)
+  UNION ALL SELECT 'whole', doc_id::VARCHAR, lines FROM doc
+  UNION ALL SELECT 'line', doc_id::VARCHAR, [x] FROM (SELECT doc_id, unnest(lines) AS x FROM doc) WHERE regexp_matches(lower(x), 'licen[cs]e|under')
+), said AS (
+  SELECT kind, id, lower(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '^[ \t#*/;-]*((copyright[ \t]*(\(c\)|:|©|by |\d\d\d\d|\[yyyy|<year>))|((©|\(c\))[ \t]*\d\d\d\d)|all rights reserved)', 'i')), chr(10))) AS t FROM unit
+), spelt AS (
+  SELECT kind, id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'licence', 'license'), 'favour', 'favor'), 'honour', 'honor'), 'organisation', 'organization'), 'judgement', 'judgment'),
+    'merchantibility', 'merchantability'), 'non-commercial', 'noncommercial'), 'sub-license', 'sublicense'), 'copyright holder', 'copyright owner'), 'https:', 'http:') AS t FROM said
+), hashed AS (SELECT kind, id, sha256(array_to_string(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+'), ' ')) AS digest FROM spelt
+), known AS (SELECT digest, min(id) AS license_id FROM (SELECT digest, id FROM hashed WHERE kind = 'text' UNION ALL SELECT digest, id FROM (VALUES {rows(DIGESTS)}) v(id, digest)) GROUP BY digest
+), notice AS (SELECT digest, min(id) AS name FROM hashed WHERE kind = 'notice' GROUP BY digest
+), f AS (SELECT h.id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM hashed h JOIN notice USING (digest) WHERE kind = 'line' GROUP BY h.id)
+SELECT doc_id, digest AS canonical_sha256, license_id, coalesce(notices, '') AS notices
+FROM doc JOIN (SELECT id, digest FROM hashed WHERE kind = 'whole') w ON w.id = doc_id::VARCHAR LEFT JOIN known USING (digest) LEFT JOIN f ON f.id = doc_id::VARCHAR
 """
 
 

@@ -128,6 +128,35 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_notices_follow_a_rule(spark):
+    """Names and phrases that no list holds together; what names no known licence, or says more, is no notice."""
+    given = {
+        "This software is licensed under the terms of the Mozilla Public Licence, v2.0": "MPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "Available under the Boost Software License 1.0.": "BSL-1.0",
+        "Published under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0", "Distributed under the GNU LGPL v3": "LGPL-3.0", "Licensed under the Secret License": "",
+        "We do not know what is licensed under the MIT License.": "", "MIT License": "", "Released under the BSD 3-Clause License": "BSD-3-Clause",
+    }
+    got = {r.doc_id: r.notices for r in licences.scan(docs(spark, [f"a b\n  {x}  \nc" for x in given])).collect()}
+    assert [got[i] for i in range(len(given))] == list(given.values())
+    ours = spark.createDataFrame([(0, "some terms, of ours"), (1, "Under our licence")], "doc_id int, text string")
+    own = licences.scan(ours, texts=[("own", "Some TERMS of ours")], digests=[], lines=[("own-line", "under our license")]).collect()
+    assert {r.doc_id: (r.license_id, r.notices) for r in own} == {0: ("own", ""), 1: (None, "own-line")}
+
+
+def test_whole_long_licences(spark):
+    """Published texts that this machine has, in other case and layout, with another holder's line and after the end of their terms."""
+    folder, given = "/usr/share/common-licenses", []
+    for name, key in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                text = f.read()
+            given += [(key, text), (key, "Copyright 2031 Somebody Else\n" + text.upper()), (key, text.replace("\n\n", "\n\n\n").replace("\n", "\r\n    ").replace('"', "\u201d").replace("license", "licence")), (None, text + "\nand more")]
+            end = text.find("END OF TERMS AND CONDITIONS")
+            given += [(key, text[:end])] * (end > 0)
+    rows = [(i, t) for i, (_, t) in enumerate(given)]
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(len(given))] == [k for k, _ in given]
+
+
 def test_licence_titles_and_lists(spark):
     plain = dict(licences._PLAIN)
     bsd = plain["BSD-3-Clause"]

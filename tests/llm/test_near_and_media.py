@@ -115,22 +115,39 @@ def test_disposal_and_transparency():
         (0, 2, None, (1, 1, 1, 1), 2, literal([1]), 0),
         (1, 0, 1, (0, 0, 1, 1), 2, literal([1]), 0),
     ]
-    a, b, c, d = gif.decode(simple(frames, red_green, (2, 2)))
     colour = lambda f: ["".join("-" if p[3] == 0 else "R" if p[0] else "G" for p in row) for row in f.canvas]
-    assert colour(a) == ["RR", "RR"] and colour(b) == ["GR", "RR"] and colour(c) == ["RR", "RG"] and colour(d) == ["RR", "R-"]
-    assert (a.delay_ms, b.delay_ms) == (50, 70) and d.histogram().sum() == 3
+    shown = [(colour(f), f.start_ms, f.delay_ms, int(f.histogram().sum())) for f in gif.decode(simple(frames, red_green, (2, 2)))]
+    assert shown == [(["RR", "RR"], 0, 50, 4), (["GR", "RR"], 50, 70, 4), (["RR", "RG"], 120, 0, 4), (["RR", "R-"], 120, 10, 3)]
     rows = next(gif.decode(simple([(0, 0, None, (0, 0, 1, 8), 2, literal([0, 0, 0, 0, 1, 1, 1, 1]), 1)], red_green, (1, 8))))
     assert rows.samples[:, 0].tolist() == [0, 1, 0, 1, 0, 1, 0, 1]
 
 
+def test_damaged_headers_take_no_memory():
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    outside = simple([(0, 0, None, (0, 0, 60000, 60000), 2, literal([0]), 0)], bytes(6), (2, 2))
+    for data in (huge, outside, b"", b"GIF89a", gif.store_payload(bytes(64))[:700]):
+        with pytest.raises(ValueError):
+            list(gif.decode(data))
+
+
 def test_media_columns(spark):
     good = gif.store_payload(bytes(range(64)) * 3)
     df = spark.createDataFrame([(1, good, "x"), (2, None, "x"), (3, good[:-30], "x"), (4, b"no gif", "x")], "doc_id bigint, media binary, error string")
     rows = gif.frames(df).collect()
     assert sorted({r.doc_id for r in rows if r.error}) == [3, 4] and [r.samples for r in rows if r.doc_id == 1] == [bytes(range(64)) * 3]
-    df = docs(spark, [*TEXTS, "long " * 40000])
-    for r in gif.features(gif.stored(df)).collect():
-        n, want = gif.payload(([*TEXTS, "long " * 40000])[r.doc_id])
+    assert "samples" not in gif.frames(df, samples=False).columns
+    damaged = df.selectExpr("doc_id as row", "doc_id", "1L as n_bytes", "media")
+    got = {r.doc_id: r for r in gif.features(gif.stored_frames(damaged)).collect()}
+    assert got[2].media_sha256 is None and got[2].feature is None and got[4].n_frames == 0 and got[4].media_bytes == 6 and got[1].feature == "frames=1;ms=100;colours=0:192"
+    texts = [*TEXTS, "long " * 40000]
+    made = gif.stored_frames(gif.stored(docs(spark, texts)))
+    timed = made.filter("frame_no is not null").orderBy("row", "frame_no").collect()
+    long = [r for r in timed if r.doc_id == len(TEXTS)]
+    assert [(r.frame_no, r.start_ms, r.delay_ms) for r in long] == [(i, 100 * i, 100) for i in range(len(long))] and len(long) == 4
+    for r in gif.features(made).collect():
+        n, want = gif.payload(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
-        assert r.n_frames == -(-len(want) // (64 * 1024))
-    assert gif.features(gif.stored(empty(spark))).count() == 0
+        assert r.n_frames == -(-len(want) // (64 * 1024)) and r.duration_ms == 100 * r.n_frames
+        # the screen is as high as the first frame, so a shorter last frame shows older rows below it
+        assert r.media_sha256 == hashlib.sha256(gif.store_payload(want)).hexdigest()
+    assert gif.features(gif.stored_frames(gif.stored(empty(spark)))).count() == 0
