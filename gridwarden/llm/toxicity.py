@@ -1,30 +1,28 @@
 """Toxicity by a classifier chain of linear models.
 
-Labelled documents say only whether they are toxic, so the categories before the
-last are derived from the labelled sample itself: words and word prefixes that speak for
-toxic texts more than chance allows among so many are its markers; a stem is a
-prefix that is not mostly one marker word's.  The chain predicts, in this order,
-
-1. ``lexical``   the text has a marker word that stands for itself,
-2. ``inflected`` the text has a marker that is one of a stem's many forms,
-3. ``repeated``  the text has more than one marker,
-4. ``toxic``     the label.
-
-Each model is logistic regression on the damped counts of markers, the text's length,
-and the probabilities of all earlier categories.  Near copies in the sample count once.  Those inputs are out-of-fold: for training,
-an earlier category's probability of a document comes from a model that was fitted
-without its fold; a last model, fitted on all, serves prediction.  The verdict's
-threshold is where out-of-fold F0.5 of the last category is largest.
+Labels say whether a document is toxic; with the documents' language they also say what
+kind of toxicity it is, and kinds are the chain's categories: "toxic, in language l" for each
+language with at least ``LEAST_KIND`` toxic sampled texts, the most frequent one first, and
+``toxic`` itself last.  Words that mark one kind say nothing about another, so each
+category has its own linear model, and the later ones get the probabilities of all earlier ones.
+
+Features are words and word prefixes (the markers) that speak for toxic texts more than
+chance allows among so many.  Each model is logistic regression on the damped counts of markers, the text's length,
+and the probabilities of all earlier categories.  Those inputs are out-of-fold: for training,
+an earlier category's probability of a document comes from a model whose markers were chosen and whose
+weights were fitted without its fold; a last model, on all folds, serves prediction.  Near copies in the
+sample count once.  The verdict's threshold is where out-of-fold F0.5 of the last category is
+largest, each class weighted as it is among all labelled documents.
 
 The sample is bounded (``SAMPLE`` documents, half of them toxic where there are so
-many; documented); features are the markers, at most ``FEATURES`` of them.
-Training and prediction read every whole text: executors turn each sampled text into its
-distinct terms, Spark counts these, and the driver gets only MinHash keys, numbers of words
+many; documented).  Training and prediction read every whole text: executors turn each sampled text into its
+distinct terms, Spark counts these by fold, and the driver gets only MinHash keys, numbers of words
 and the counts of the markers, so its memory depends on documents and markers, not on lengths.
 Prediction makes one look-up for each distinct word of a batch.
 
 Cases: a null or empty text has probability 0 in all categories and is not toxic; with
-no labelled row, or only one class, nothing is toxic; repeated rows get equal results;
+no labelled row, or only one class, nothing is toxic; without languages there is one
+category; repeated rows get equal results and of rows with one doc_id one is sampled (that with the smallest digest);
 labels whose doc_id repeats count once, toxic if any is; extra columns are ignored.
 """
 
@@ -44,9 +42,9 @@ from pyspark.sql import types as T
 from .minhash import bands, shingle_sets, sketch
 from .store import materialise, returning
 
-CATEGORIES = ("lexical", "inflected", "repeated", "toxic")
-#: Bounds of the fit: documents, features; folds; shortest and longest prefix; documents that make a feature at least.
-SAMPLE, FEATURES, FOLDS, PREFIXES, SUPPORT = 4000, 4096, 3, (4, 7), 3
+LAST = "toxic"
+#: Bound of the fit in documents; folds; shortest and longest prefix; texts that make a feature, and a kind, at least.
+SAMPLE, FOLDS, PREFIXES, SUPPORT, LEAST_KIND = 4000, 3, (4, 7), 3, 6
 RIDGE = 1e-3
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -81,6 +79,11 @@ class Counts:
         inside = keep[self.rows]
         return Counts(at[self.rows[inside]], self.columns[inside], self.values[inside])
 
+    def only(self, columns: np.ndarray) -> Counts:
+        """Zero in all other columns."""
+        inside = columns[self.columns]
+        return Counts(self.rows[inside], self.columns[inside], self.values[inside])
+
 
 @dataclass
 class Linear:
@@ -96,6 +99,7 @@ class Linear:
 @dataclass
 class Chain:
     features: dict[str, int] = field(default_factory=dict)
+    categories: list[str] = field(default_factory=list)
     models: list[Linear] = field(default_factory=list)
     threshold: float = 0.5
 
@@ -124,11 +128,12 @@ def _fit(x: Counts, n: int, width: int, earlier: np.ndarray, y: np.ndarray, step
     return Linear(params[0], params[1], float(params[2][0]))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where out-of-fold F0.5 (precision counts twice) is largest, half-way between the scores on both sides."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """Where F0.5 (precision counts twice) is largest, half-way between the scores on both sides."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-p)
-    tp = np.cumsum(y[order])
-    f = 1.25 * tp / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    tp = np.cumsum((y * weight)[order])
+    f = 1.25 * tp / (np.cumsum(weight[order]) + 0.25 * (y * weight).sum())
     k = int(f.argmax())
     below = p[order[k + 1]] if k + 1 < len(y) else 0.0
     return float((p[order[k]] + below) / 2)
@@ -156,57 +161,77 @@ def evidence(in_pos: np.ndarray, in_neg: np.ndarray, pos: float, neg: float) ->
     return np.where(in_pos * neg > in_neg * pos, out, 0)
 
 
-def train(texts: DataFrame) -> Chain:
-    """Fit the chain on labelled texts, given by ``described``."""
+def chain_of(x: Counts, words: int, targets: list[np.ndarray], fold: np.ndarray, masks: np.ndarray) -> tuple[list[Linear], np.ndarray]:
+    """Models of the targets in turn, fitted on all texts, and the out-of-fold probabilities (texts x targets).
+
+    ``masks`` (FOLDS + 1, columns): the columns that may be used without each fold, and with all.
+    """
+    n = len(fold)
+    earlier, models = np.zeros((n, 0)), []
+    for target in targets:
+        models.append(_fit(x.only(masks[-1]), n, words, earlier, target))
+        out = np.zeros(n)
+        for k in range(len(masks) - 1):
+            kept, own = fold != k, x.only(masks[k])
+            m = _fit(own.take(kept), int(kept.sum()), words, earlier[kept], target[kept])
+            out[~kept] = m.probability(own, n, earlier)[~kept]
+        earlier = np.column_stack([earlier, out])
+    return models, earlier
+
+
+def train(texts: DataFrame, counts: dict[int, int], chained: bool = True) -> Chain:
+    """Fit the chain on labelled texts, given by ``described``; ``counts`` are the labels' classes, 0 and 1.
+
+    Without ``chained`` it is the last category's model alone, for comparison.
+    """
     spark = texts.sparkSession
-    rows = sorted(texts.select("row", "doc_id", "digest", "toxic", "keys", "words").collect(), key=lambda r: (r["doc_id"], r["digest"]))
+    first = texts.groupBy("doc_id").agg(F.min(F.struct("digest", "row")).alias("f")).select("f.row")
+    rows = texts.join(first, "row", "left_semi").select("row", "doc_id", "digest", "toxic", "kind", "keys", "words").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["digest"]))
     rows = [rows[i] for i in distinct([r["keys"] for r in rows])]
     y, words = np.array([r["toxic"] for r in rows], float), np.array([r["words"] for r in rows], np.int64)
     n = len(rows)
     if not n or y.sum() in (0, n):
         return Chain()
-    place = spark.createDataFrame([(r["row"], i) for i, r in enumerate(rows)], "row bigint, i int")
-    cells = texts.join(F.broadcast(place), "row").select("i", "toxic", F.explode(F.arrays_zip("terms", "chunks")).alias("c")).select("i", "toxic", "c.terms", "c.chunks")
-    # texts that show each feature: toxic ones and others
-    shown = materialise(cells.groupBy("terms").agg(F.sum("toxic").cast("bigint").alias("in_pos"), F.sum(1 - F.col("toxic")).cast("bigint").alias("in_neg")))
-    pairs = shown.groupBy("in_pos", "in_neg").agg(F.count("*").alias("n")).toArrow()
-    in_pos, in_neg = (pairs.column(c).to_numpy().astype(float) for c in ("in_pos", "in_neg"))
-    g = evidence(in_pos, in_neg, y.sum(), n - y.sum())
+    fold = np.arange(n) % FOLDS
+    place = spark.createDataFrame([(r["row"], i, i % FOLDS) for i, r in enumerate(rows)], "row bigint, i int, fold int")
+    cells = texts.join(F.broadcast(place), "row").select("i", "fold", "toxic", F.explode(F.arrays_zip("terms", "chunks")).alias("c")).select("i", "fold", "toxic", "c.terms", "c.chunks")
+    # texts that show each feature, by fold: toxic ones and others
+    tallies = [f"{c}{k}" for c in "pn" for k in range(FOLDS)]
+    made = [F.count(F.when((F.col("fold") == k) & (F.col("toxic") == int(c == "p")), 1)).alias(f"{c}{k}") for c in "pn" for k in range(FOLDS)]
+    shown = materialise(cells.groupBy("terms").agg(*made))
+    kinds = shown.groupBy(*tallies).agg(F.count("*").alias("terms")).toArrow()
+    seen = np.array([kinds.column(t).to_numpy() for t in tallies], float).reshape(2, FOLDS, -1)
+    many = kinds.column("terms").to_numpy().astype(float)
     # what chance would give the best of so many features is no evidence
-    good = np.flatnonzero((in_pos >= SUPPORT) & (g > 2 * np.log(max(2, int(pairs.column("n").to_numpy().sum())))))
-    if not len(good):
+    use = np.zeros((FOLDS + 1, len(many)), bool)
+    for k in range(FOLDS + 1):
+        kept, texts_in = np.arange(FOLDS) != k, fold != k
+        in_pos, in_neg, pos, neg = seen[0, kept].sum(0), seen[1, kept].sum(0), y[texts_in].sum(), (1 - y[texts_in]).sum()
+        if pos and neg:
+            use[k] = (in_pos >= SUPPORT) & (evidence(in_pos, in_neg, pos, neg) > 2 * np.log(max(2.0, many[in_pos + in_neg > 0].sum())))
+    good = np.flatnonzero(use.any(0))
+    if not use[-1].any():
         return Chain()
-    wanted = spark.createDataFrame([(int(in_pos[k]), int(in_neg[k]), float(g[k])) for k in good], "in_pos bigint, in_neg bigint, g double")
-    chosen = shown.join(F.broadcast(wanted), ["in_pos", "in_neg"]).orderBy(F.desc("g"), "terms").limit(FEATURES).select("terms", "in_pos").collect()
-    label, in_pos = np.array([r["terms"] for r in chosen]), np.array([r["in_pos"] for r in chosen], float)
-    features = {str(t): i + 1 for i, t in enumerate(label)}
+    values = [(*map(int, seen[:, :, g].ravel()), [bool(u) for u in use[:, g]]) for g in good]
+    wanted = spark.createDataFrame(values, ", ".join(f"{t} bigint" for t in tallies) + ", use array<boolean>")
+    chosen = sorted(shown.join(F.broadcast(wanted), tallies).select("terms", "use").collect())
+    features = {r["terms"]: i + 1 for i, r in enumerate(chosen)}
+    masks = np.column_stack([np.ones(FOLDS + 1, bool), np.array([r["use"] for r in chosen]).T])
     marked = cells.join(F.broadcast(spark.createDataFrame(list(features.items()), "terms string, at int")), "terms").select("i", "at", "chunks").toArrow()
     at, column, chunks = (marked.column(c).to_numpy().astype(np.int64) for c in ("i", "at", "chunks"))
     x = Counts.of(np.repeat(at, chunks), np.repeat(column, chunks), words)
-    prefix = np.char.endswith(label, "|")
-    markers = [w for w, p in zip(label, prefix) if not p]
-    # a prefix that is mostly one marker word's says nothing more than the word
-    lone = {w: in_pos[i] for i, w in enumerate(label) if not prefix[i]}
-    stem = np.array([bool(p) and all(lone[w] < 0.5 * in_pos[i] for w in markers if w.startswith(x[:-1])) for i, (x, p) in enumerate(zip(label, prefix))], bool)
-    marks = x.columns > 0
-    count = lambda mask: np.bincount(x.rows[marks], mask[x.columns[marks] - 1] * x.values[marks], n)
-    targets = [(count(~prefix) > 0) * 1.0, (count(stem) > 0) * 1.0, (count(~prefix | stem) > 1.5) * 1.0, y]
-    fold, width = np.arange(n) % FOLDS, len(label) + 1
-    earlier = np.zeros((n, 0))
-    models = []
-    for target in targets:
-        models.append(_fit(x, n, width, earlier, target))
-        out = np.zeros(n)
-        for k in range(FOLDS):
-            kept = fold != k
-            m = _fit(x.take(kept), int(kept.sum()), width, earlier[kept], target[kept])
-            out[~kept] = m.probability(x, n, earlier)[~kept]
-        earlier = np.column_stack([earlier, out])
-    return Chain(features, models, best_threshold(earlier[:, -1], y))
+    kind = np.array([r["kind"] or "" for r in rows])
+    found = Counter(kind[(y > 0) & (kind != "")].tolist())
+    categories = [k for k, c in sorted(found.items(), key=lambda kc: (-kc[1], kc[0])) if c >= LEAST_KIND] if chained else []
+    targets = [y * (kind == k) for k in categories] + [y]
+    models, out = chain_of(x, len(features) + 1, targets, fold, masks)
+    weight = np.where(y > 0, counts[1] / y.sum(), counts[0] / (n - y.sum()))
+    return Chain(features, [*categories, LAST], models, best_threshold(out[:, -1], y, weight))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame | None:
-    """(doc_id, text, toxic) of at most ``size`` labelled documents, up to half of them toxic, by a hash of doc_id; None if a class is missing."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dict[int, int]] | None:
+    """(doc_id, text, toxic, kind) of at most ``size`` labelled documents, up to half of them toxic, by a hash of doc_id, and the labels by class; None if a class is missing."""
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).filter("toxic in (0, 1)").collect()}
     if len(counts) < 2:
@@ -214,27 +239,28 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     bound = F.when(F.col("toxic") == 1, min(1.0, size / 2 / counts[1])).otherwise(min(1.0, size / 2 / counts[0]))
     picked = truth.filter("toxic in (0, 1)").filter(place < bound).orderBy(place, "doc_id").limit(size)  # bounded, so broadcast
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    kind = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.alias("kind")).filter(F.col("text").isNotNull())
+    return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", "kind"), counts
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """What training needs of (doc_id, text, toxic), written once: MinHash keys, different words, and each term of the whole text with the words that show it."""
-    fields = "digest string, toxic int, keys array<bigint>, words bigint, terms array<string>, chunks array<bigint>"
-    source = texts.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "toxic", "text")
+    """What training needs of (doc_id, text, toxic, kind), written once: MinHash keys, different words, and each term of the whole text with the words that show it."""
+    fields = "digest string, toxic int, kind string, keys array<bigint>, words bigint, terms array<string>, chunks array<bigint>"
+    source = texts.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "toxic", "kind", "text")
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 50):
                 b = whole.slice(lo, 50)
-                keys = [bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(b.column(3))]
+                keys = [bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(b.column(4))]
                 words, found = [], []
-                for text in b.column(3).to_pylist():
+                for text in b.column(4).to_pylist():
                     chunks = set(text.split())
                     words.append(len(chunks))
                     found.append(Counter(t for chunk in chunks for t in set(terms(chunk))))
                 made = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], names)
 
     schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(fields).fields])
     names = schema.names
@@ -243,7 +269,7 @@ def described(texts: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
     found = sample(docs, labels, size)
-    return Chain() if found is None else train(described(found))
+    return Chain() if found is None else train(described(found[0]), found[1])
 
 
 class _Columns(dict):
@@ -262,21 +288,22 @@ class _Columns(dict):
 
 
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with p_<category> for each category and ``toxic`` (boolean)."""
-    added = [f"p_{c}" for c in CATEGORIES]
-    kept = [c for c in docs.columns if c not in (*added, "toxic")]
-    source = docs.select(*kept)
+    """``docs`` with ``kinds`` (map of each earlier category to its probability), ``p_toxic`` and ``toxic``; columns of these names are replaced."""
+    added = ["kinds", "p_toxic", "toxic"]
+    kept = [c for c in docs.columns if c not in added]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept])
     text_at = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         model = shared.value
         memo = _Columns(model)
+        width = max(1, len(model.models))
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
                 n = b.num_rows
-                p = np.zeros((n, len(CATEGORIES)))
+                p = np.zeros((n, width))
                 if model.models:
                     texts = pc.fill_null(b.column(text_at), "").cast(pa.large_string())
                     split = pc.ascii_split_whitespace(texts)
@@ -293,13 +320,15 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                     flat = np.array([c for w in which.tolist() for c in found[w]], np.int64)
                     p = model.probabilities(Counts.of(np.repeat(docs_, sizes[which]), flat, different), n)
                     p[np.asarray(pc.utf8_length(texts)) == 0] = 0
-                toxic = pa.array((p[:, -1] >= model.threshold).tolist(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES))), toxic], [*b.schema.names, *added, "toxic"])
+                toxic = pa.array(((p[:, -1] >= model.threshold) & (p[:, -1] > 0)).tolist(), pa.bool_())
+                kinds = model.categories[:-1]
+                per_kind = pa.MapArray.from_arrays(pa.array(np.arange(n + 1) * len(kinds), pa.int32()), pa.array(kinds * n, pa.string()), pa.array(p[:, : len(kinds)].ravel(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*b.columns, per_kind, pa.array(p[:, -1]), toxic], [*b.schema.names, *added])
 
-    fields = [*(T.StructField(a, T.DoubleType()) for a in added), T.StructField("toxic", T.BooleanType())]
+    fields = [T.StructField("kinds", T.MapType(T.StringType(), T.DoubleType())), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
     return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, *fields]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_lexical, p_inflected, p_repeated, p_toxic, toxic) of every document."""
+    """(doc_id, kinds, p_toxic, toxic) of every document."""
     return predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels)).drop("text")

@@ -242,18 +242,84 @@ def test_language(spark, sf):
 def test_toxicity(spark, sf):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held, seen = labels.filter("doc_id % 3 = 0"), labels.filter("doc_id % 3 <> 0")
-    judged = toxicity.classify(d, seen)
-    assert judged.columns == ["doc_id", "p_lexical", "p_inflected", "p_repeated", "p_toxic", "toxic"]
-    rows = judged.join(held.select("doc_id", labels.toxic.alias("truth")), "doc_id").collect()
-    caught = sum(r.toxic and r.truth for r in rows)
-    assert caught >= 0.88 * sum(r.truth for r in rows) and sum(r.toxic and not r.truth for r in rows) <= 0.005 * len(rows)
-    odd = toxicity.classify(docs(spark), seen.limit(0)).collect()
+    texts, counts = toxicity.sample(d, seen)
+    told = toxicity.described(texts)
+    loss = {}
+    for chained in (True, False):
+        chain = toxicity.train(told, counts, chained)
+        assert chain.categories[-1] == "toxic" and len(chain.categories) == (5 if chained else 1)
+        rows = toxicity.predict(d, chain).join(held.select("doc_id", labels.toxic.alias("truth")), "doc_id").collect()
+        y, p = np.array([r.truth for r in rows]), np.array([r.p_toxic for r in rows])
+        loss[chained] = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
+        if chained:
+            caught = sum(r.toxic and r.truth for r in rows)
+            assert caught >= 0.88 * y.sum() and sum(r.toxic and not r.truth for r in rows) <= 0.005 * len(rows)
+            assert all(set(r.kinds) == set(chain.categories[:-1]) for r in rows)
+    assert loss[True] < loss[False], "the chain beats its last model alone"
+    judged = toxicity.classify(docs(spark), seen.limit(0))
+    assert judged.columns == ["doc_id", "kinds", "p_toxic", "toxic"]
+    odd = judged.collect()
     assert len(odd) == 13 and not any(r.toxic for r in odd)
     one = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
     assert toxicity.classify(docs(spark), one).count() == 13
     assert toxicity.classify(empty(spark), seen).count() == 0
 
 
+def test_chain_against_a_dense_version():
+    """Sparse counts, masks, out-of-fold inputs and the threshold against full matrices and plain loops."""
+    rng = np.random.default_rng(8)
+    n, width = 90, 7
+    pairs = [(i, c) for i in range(n) for c in rng.integers(1, width, rng.integers(0, 6))]
+    words = rng.integers(3, 60, n)
+    x = toxicity.Counts.of(np.array([i for i, _ in pairs]), np.array([c for _, c in pairs]), words)
+    dense = np.zeros((n, width))
+    dense[:, 0] = np.log1p(words) / 4
+    for i in range(n):
+        for c in range(1, width):
+            dense[i, c] = np.log2(1 + sum(p == (i, c) for p in pairs))
+    y = (dense[:, 1] + dense[:, 2] + rng.random(n) > 1.5) * 1.0
+    kind = y * (dense[:, 1] > 0)
+    fold = np.arange(n) % 3
+    masks = np.ones((4, width), bool)
+    masks[0, 2] = masks[1, 3] = False
+
+    def fit(m, earlier, target):
+        w, c, b = np.zeros(width), np.zeros(earlier.shape[1]), np.zeros(1)
+        weight = np.where(target > 0, 0.5 / target.sum(), 0.5 / (len(target) - target.sum()))
+        memory = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, c, b)]
+        for t in range(1, 201):
+            d = (1 / (1 + np.exp(-(m @ w + earlier @ c + b))) - target) * weight
+            for v, g, (a, s) in zip((w, c, b), (m.T @ d + 1e-3 * w, earlier.T @ d + 1e-3 * c, d.sum()), memory):
+                a[:] = 0.9 * a + 0.1 * g
+                s[:] = 0.99 * s + 0.01 * g * g
+                v -= 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+        return lambda m, e: 1 / (1 + np.exp(-(m @ w + e @ c + b)))
+
+    want, served = np.zeros((n, 0)), np.zeros((n, 0))
+    for target in (kind, y):
+        out, final = np.zeros(n), fit(dense * masks[3], want, target)
+        for k in range(3):
+            kept = fold != k
+            out[~kept] = fit((dense * masks[k])[kept], want[kept], target[kept])((dense * masks[k])[~kept], want[~kept])
+        served = np.column_stack([served, final(dense, served)])
+        want = np.column_stack([want, out])
+    models, got = toxicity.chain_of(x, width, [kind, y], fold, masks)
+    assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose(toxicity.Chain({}, ["k", "toxic"], models).probabilities(x, n), served, atol=1e-6)
+    weight = np.where(y > 0, 2.0, 7.0)
+    f = lambda t: 1.25 * ((got[:, -1] >= t) * y * weight).sum() / (((got[:, -1] >= t) * weight).sum() + 0.25 * (y * weight).sum())
+    assert f(toxicity.best_threshold(got[:, -1], y, weight)) == max(f(t) for t in got[:, -1])
+
+
+def test_markers_are_chosen_without_the_fold(spark):
+    """Labels that no word explains: out-of-fold probabilities must not know them."""
+    random.seed(9)
+    rows = [(i, " ".join("".join(random.choice("abcdefgh") for _ in range(3)) for _ in range(60))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    judged = toxicity.classify(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).filter("toxic").collect()
+    assert len(judged) <= 24
+
+
 def test_toxicity_learns_whole_texts(spark):
     """Markers that stand after 20,000 characters only."""
     random.seed(5)
