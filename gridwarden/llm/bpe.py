@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import returning
-from .tokens import PIECES, SPACE, WordEncoder, byte_alphabet, slices
+from .tokens import WordEncoder, byte_alphabet, slices
 
 END = "</w>"
 #: Pairs remembered in the compatibility table before it starts afresh.
@@ -121,6 +120,11 @@ class BacktrackingEncoder(WordEncoder):
         super().__init__()
         self.vocabulary = Vocabulary(path)
         self.compatible: dict[tuple[int, int], bool] = {}
+        from tokenizers import Tokenizer
+
+        # what a letter is depends on the version of Unicode: the library's own normaliser and splitter say it for words with rare characters
+        frame = Tokenizer.from_file(path)
+        self.normal, self.cut = frame.normalizer, frame.pre_tokenizer
         marks = "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True)))
         self.marks = regex.compile(f"({marks})") if marks else None
 
@@ -172,9 +176,9 @@ class BacktrackingEncoder(WordEncoder):
             if part in self.vocabulary.special:
                 out.append(np.array([self.vocabulary.special[part]], np.uint32).tobytes())
                 continue
-            # lower() of a whole word would apply the final-sigma rule, which is not per character
-            plain = regex.sub(f"[{SPACE}]+", " ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-            for p in PIECES.findall(plain):
+            plain = self.normal.normalize_str(part)
+            for _, (lo, hi) in self.cut.pre_tokenize_str(plain):
+                p = plain[lo:hi]
                 got = self.pieces.get(p)
                 if got is None:
                     got = self.pieces[p] = self.piece(p)
