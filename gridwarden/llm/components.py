@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a groupBy and a join on tables in the shared folder; nothing of the graph
-comes to the driver but one row of counts a step.
+comes to the driver but one row of counts a step.  The stars grow around few nodes, so a
+star's centre is one key with many rows: centres with a large part of all edges are
+broadcast to their edges, at most ``skew.SHARES`` of them.  Tables of past steps are deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .skew import join_counted
+from .store import discard, materialise
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the smallest neighbour of each node and its number of edges, in the shared folder."""
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,19 +28,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest neighbour, small-star the smaller ones and the node itself; the edges
     become stars around the smallest nodes after a logarithmic number of rounds.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = materialise(e)
+    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        low = _least(both)
+        upper = join_counted(both, low, "u").filter("v > u")
+        large = materialise(upper.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct())
+        least = _least(large)
+        small = join_counted(large, least, "u")
         hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialise(hung)
+        discard(e, low, large, least)
         state = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+        e = new
         if (state["n"], state["s"]) == mark or state["n"] == 0:
             break
-        e, mark = new, (state["n"], state["s"])
-    return materialise(new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+        mark = (state["n"], state["s"])
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+    discard(e)
+    return out

@@ -22,6 +22,11 @@ spanning forest.  No candidate is dropped or capped, and no bucket's pairs becom
 Components come from alternating large-star and small-star steps on tables in the
 shared folder.
 
+Crowds.  A class of copies, a bucket or a pivot may hold a large part of all rows.  Tables
+with one row for each key carry the key's number of rows, and those of the few heavy keys are
+broadcast (``skew.join_counted``); a heavy pivot's set goes to several tasks, each with a
+share of its candidates (``skew.salted``); blocks are bounded in members and in shingles.
+
 Cases: a null or empty text, or one of white space, has no shingle, is linked with
 nothing and kept; fewer than five words make one shingle; rows with equal doc_id are
 one document (candidates are sought for each text, links confirmed on their united
@@ -39,13 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise, returning
+from .skew import join_counted, salted
+from .store import discard, materialise, returning
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 40
 T = ROWS * BANDS
-#: Buckets up to this many representatives are paired row by row; larger ones in blocks of BLOCK.
-SMALL, BLOCK = 24, 1024
+#: Buckets up to this many representatives are paired row by row; larger ones in blocks of BLOCK members and HELD shingles.
+SMALL, BLOCK, HELD = 24, 1024, 1 << 20
 MEMORY = 200_000
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -198,17 +204,20 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= 75 * union."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # a document is few pairs' b, one of each band at most, but a pivot may be all others' a
+    return salted(pairs, of("a"), "a", "b").join(of("b"), "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _block_edges(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links of a spanning forest among the members (doc_id, cluster, comp), compared block against block.
 
-    A cluster of m members has ceil(m / BLOCK) blocks; each block meets each other block
-    of its cluster in one task, so a task holds two blocks at most.
+    A cluster has as many blocks as its members and their shingles need; each block meets
+    each other block of its cluster in one task, so a task holds two blocks.
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spread = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sized = members.join(sets.select("doc_id", F.size("shingles").alias("size")), "doc_id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / HELD)).cast("int")
+    sizes = materialise(members.groupBy("cluster").agg(F.count("*").alias("n")).join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"))
+    spread = join_counted(members, sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = spread.select(
         "cluster", "comp", "doc_id", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
@@ -255,21 +264,22 @@ def _block_edges(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per document: doc_id, n_shingles, rep), (links between representatives that join all components), (rep -> component)."""
+    """(per document: doc_id, n_shingles, rep, component), (links between representatives that join all components), (rep -> component)."""
     drawn = materialise(sketches(docs))
     filled = drawn.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(filled.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = materialise(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
-    crowd = materialise(reps.join(shared, "key").select("key", "doc_id", "pivot"))
+    shared = materialise(reps.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"))
+    crowd = materialise(join_counted(reps, shared, "key").select("key", "doc_id", "pivot"))
     asked = crowd.select("doc_id").distinct()
     sets = _sets_of(docs, asked)
-    star = crowd.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = materialise(crowd.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = materialise(_similar(star, sets))
     first = components(links)
-    placed = crowd.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("key", "m")
-    open_ = materialise(placed.join(split, "key"))
+    placed = materialise(crowd.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"))
+    split = materialise(split.filter("c0 < c1").select("key", "m", F.col("m").alias("n")))
+    open_ = materialise(join_counted(placed, split, "key"))
     few = open_.filter(F.col("m") <= SMALL)
     one, two = few.alias("x"), few.alias("y")
     pairs = (
@@ -280,16 +290,19 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     )
     many = open_.filter(F.col("m") > SMALL)
     clusters = components(many.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    members = clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(many.select("doc_id", "comp").distinct(), "doc_id")
+    members = materialise(clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(many.select("doc_id", "comp").distinct(), "doc_id"))
+    pairs = materialise(pairs)
     later = materialise(_similar(pairs, sets).unionByName(_block_edges(sets, members)))
+    discard(shared, crowd, sets, star, first, placed, split, open_, clusters, members, pairs)
     final = components(later.unionByName(links))
-    per_doc = drawn.join(classes, "fp", "left")
+    # classes meet their components first, so documents meet one table whose heavy keys are known
+    named = materialise(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left"))
+    per_doc = join_counted(drawn.drop("bands"), named, "fp", "left")
     return per_doc, links.unionByName(later), final
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    per_doc, _, final = links_and_classes(docs)
-    named = per_doc.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    named, _, _ = links_and_classes(docs)
     component = F.coalesce("component", "rep", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import shared_dir, returning
+from .skew import heavy
+from .store import returning, shared_dir
 
 #: Chunk sizes in ids: at least, on average about LEAST + 2 ** BITS, at most.
 LEAST, BITS, MOST = 128, 10, 4096
@@ -203,7 +204,15 @@ def _assembled(spark: SparkSession, path: str, wide: bool, with_ids: bool) -> Da
     """Per index row the checked chunks in order; a missing one keeps its row with nulls."""
     index = spark.read.parquet(f"{path}/index")
     refs = index.select("key", F.posexplode("chunks").alias("pos", "chunk")).select("key", "pos", F.col("chunk.digest").alias("digest"))
-    found = refs.join(_checked(path, spark, wide, with_ids), "digest", "left")
+    checked = _checked(path, spark, wide, with_ids)
+    # a passage that very many documents share is one key: its chunk, of at most MOST ids, goes to the references instead
+    hot = heavy(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    if hot is None:
+        found = refs.join(checked, "digest", "left")
+    else:
+        keys = F.broadcast(hot[0].select("digest"))
+        often = refs.join(keys, "digest", "left_semi").join(F.broadcast(checked.join(keys, "digest", "left_semi")), "digest", "left")
+        found = often.unionByName(refs.join(keys, "digest", "left_anti").join(checked, "digest", "left"))
     fields = ["pos", "digest", "n", "crc", *(["ids"] if with_ids else [])]
     per_doc = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
     return index.drop("chunks", "part").join(per_doc, "key")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, os.path.dirname(__file__))
 from helpers import TEXTS, docs, empty, near_components, shingles  # noqa: E402
 
-from gridwarden.llm import components, gif, minhash  # noqa: E402
+from gridwarden.llm import components, gif, minhash, skew  # noqa: E402
 
 
 def test_sketch_estimates_similarity():
@@ -151,3 +151,22 @@ def test_media_columns(spark):
         # the screen is as high as the first frame, so a shorter last frame shows older rows below it
         assert r.media_sha256 == hashlib.sha256(gif.store_payload(want)).hexdigest()
     assert gif.features(gif.stored_frames(gif.stored(empty(spark)))).count() == 0
+
+
+def test_joins_on_heavy_keys(spark, monkeypatch):
+    """A key with half of all rows, with few and with many keys that count as heavy."""
+    random.seed(6)
+    left = [(0 if random.random() < 0.5 else random.randrange(1, 60), i) for i in range(800)] + [(None, 900), (77, 901)]
+    counts = {}
+    for k, _ in left:
+        counts[k] = counts.get(k, 0) + 1
+    right = [(k, f"r{k}", n) for k, n in counts.items() if k is not None and k != 77]
+    a, b = spark.createDataFrame(left, "k int, i int"), spark.createDataFrame(right, "k int, name string, n bigint")
+    for shares in (1, 3, 1000):
+        monkeypatch.setattr(skew, "SHARES", shares)
+        inner = sorted((k, i, f"r{k}") for k, i in left if k is not None and k != 77)
+        assert sorted(map(tuple, skew.join_counted(a, b, "k").select("k", "i", "name").collect())) == inner
+        outer = {r.i: r.name for r in skew.join_counted(a, b, "k", "left").collect()}
+        assert len(outer) == len(left) and outer[900] is None and outer[901] is None and all(outer[i] == f"r{k}" for k, i, _ in inner)
+        assert sorted(map(tuple, skew.salted(a, b.drop("n"), "k", "i").select("k", "i", "name").collect())) == inner
+    assert skew.join_counted(a.limit(0), b.limit(0), "k").count() == 0
