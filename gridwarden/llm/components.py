@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a groupBy and a join on tables in the shared folder; nothing of the graph
-comes to the driver but one row of counts a step.  The stars grow around few nodes, so a
+comes to the driver but one row of counts a step.  Stars grow around few nodes, so a
 star's centre is one key with many rows: centres with a large part of all edges are
 broadcast to their edges, at most ``skew.SHARES`` of them.  Tables of past steps are deleted.
 """
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import join_counted
+from .skew import SHARES
 from .store import discard, materialise
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m, n): the smallest neighbour of each node and its number of edges, in the shared folder."""
-    return materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return row["n"], row["s"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,22 +29,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     become stars around the smallest nodes after a logarithmic number of rounds.
     """
     e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    mark = None
-    while True:
+    state = _state(e)
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _least(both)
-        upper = join_counted(both, low, "u").filter("v > u")
-        large = materialise(upper.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct())
-        least = _least(large)
-        small = join_counted(large, least, "u")
-        hung = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = materialise(hung)
-        discard(e, low, large, least)
-        state = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        e = new
-        if (state["n"], state["s"]) == mark or state["n"] == 0:
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # each edge counts at both ends, so at most SHARES nodes have more of them than this
+        many = 2 * state[0] // SHARES
+        centres = F.broadcast(low.filter(F.col("n") > many).select(F.col("u").alias("c"), "m"))
+        upper = both.filter("v > u")
+        at_centres = upper.join(centres, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        elsewhere = upper.join(centres.select("c"), F.col("u") == F.col("c"), "left_anti").join(low.filter(F.col("n") <= many).select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = at_centres.unionByName(elsewhere).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        new = materialise(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(e)
+        e, before, state = new, state, _state(new)
+        if state == before:
             break
-        mark = (state["n"], state["s"])
     out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
     discard(e)
     return out

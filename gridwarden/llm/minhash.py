@@ -216,8 +216,7 @@ def _block_edges(sets: DataFrame, members: DataFrame) -> DataFrame:
     """
     sized = members.join(sets.select("doc_id", F.size("shingles").alias("size")), "doc_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / HELD)).cast("int")
-    sizes = materialise(members.groupBy("cluster").agg(F.count("*").alias("n")).join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"))
-    spread = join_counted(members, sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = members.join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = spread.select(
         "cluster", "comp", "doc_id", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
@@ -276,10 +275,9 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     star = materialise(crowd.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = materialise(_similar(star, sets))
     first = components(links)
-    placed = materialise(crowd.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"))
-    split = materialise(split.filter("c0 < c1").select("key", "m", F.col("m").alias("n")))
-    open_ = materialise(join_counted(placed, split, "key"))
+    placed = crowd.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("key", "m")
+    open_ = materialise(placed.join(split, "key"))
     few = open_.filter(F.col("m") <= SMALL)
     one, two = few.alias("x"), few.alias("y")
     pairs = (
@@ -290,10 +288,10 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     )
     many = open_.filter(F.col("m") > SMALL)
     clusters = components(many.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    members = materialise(clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(many.select("doc_id", "comp").distinct(), "doc_id"))
+    members = clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(many.select("doc_id", "comp").distinct(), "doc_id")
     pairs = materialise(pairs)
     later = materialise(_similar(pairs, sets).unionByName(_block_edges(sets, members)))
-    discard(shared, crowd, sets, star, first, placed, split, open_, clusters, members, pairs)
+    discard(shared, crowd, sets, star, first, open_, clusters, pairs)
     final = components(later.unionByName(links))
     # classes meet their components first, so documents meet one table whose heavy keys are known
     named = materialise(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left"))
