@@ -103,11 +103,16 @@ def _host(host_col: str):
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(host, frequent array<bigint>): hashes of the normalised lines above the limit, one row for each host that has any."""
-    rows = docs.select(F.col("doc_id"), _host(host_col).alias("host"), F.array_distinct(F.transform(_lines(F.col("text").cast("string")), lambda x: x["key"])).alias("keys"))
+    return _frequent(docs.select("doc_id", _host(host_col).alias("_host"), _lines(F.col("text").cast("string")).alias("_lines")), share, least)
+
+
+def _frequent(rows: DataFrame, share: int, least: int) -> DataFrame:
+    """The same from (doc_id, _host, _lines)."""
     # rows of a doc_id lie together, so that distinct lines of a document need no further shuffle
-    held = rows.repartition("doc_id").select("doc_id", "host", F.explode("keys").alias("key")).distinct()
+    keys = rows.select("doc_id", F.col("_host").alias("host"), F.array_distinct(F.transform("_lines", lambda x: x["key"])).alias("keys"))
+    held = keys.repartition("doc_id").select("doc_id", "host", F.explode("keys").alias("key")).distinct()
     counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > least)
-    sizes = docs.select("doc_id", _host(host_col).alias("host")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    sizes = rows.select("doc_id", F.col("_host").alias("host")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     over = counts.join(sizes, "host").filter(100 * F.col("documents") > share * F.col("size"))
     return materialise(over.groupBy("host").agg(F.collect_set("key").alias("frequent")))
 
@@ -134,10 +139,10 @@ def clean(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, le
 def judge(docs: DataFrame, host_col: str = "source", share: int = LINE_SHARE, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), _host(host_col).alias("_host"))
-    # the text ends here: what meets the frequent lines are numbers
-    measured = base_metrics(rows.withColumn("_lines", _lines(F.col("text")))).drop("text")
+    # one pass over the texts: what is counted, and what meets the frequent lines, are the numbers written here
+    measured = materialise(base_metrics(rows.withColumn("_lines", _lines(F.col("text")))).drop("text"))
     words = F.aggregate("_gone", F.lit(0).cast("bigint"), lambda s, x: s + x["words"])
-    marked = _gone(measured, frequent_lines(docs, host_col, share, least)).withColumn("removed_words", words)
+    marked = _gone(measured, _frequent(measured, share, least)).withColumn("removed_words", words)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < LEAST_SHARE * F.col("n_words")
     return marked.select(
