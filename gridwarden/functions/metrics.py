@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import student
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
@@ -76,40 +78,32 @@ def average_precision(df: DataFrame, score: str, attack: Column, digits: int = 6
     Scores are aggregated first, so the ordered pass sees one row for each distinct score.
     """
     steps = df.groupBy(F.col(score).alias("s")).agg(count_if(attack).alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("p").over(Window.partitionBy())
-    return (
-        steps.withColumns({"cp": F.sum("p").over(down), "cn": F.sum("n").over(down), "all_p": total})
-        .agg(F.round(F.sum(F.col("p") / F.col("all_p") * F.col("cp") / F.col("cn")), digits).alias("average_precision"))
-    )
-
-
-#: Two-sided 95 % quantiles of Student's t by degrees of freedom.
-T975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262}
+    # scores lie in ranges of about equal size; what stands above a range comes from one row for each
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranges = steps.repartitionByRange(int(parts), F.desc("s")).withColumn("part", F.spark_partition_id())
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
+    bases = totals.select("part", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("tn").over(above), F.lit(0)).alias("bn"), F.sum("tp").over(Window.partitionBy()).alias("all_p"))
+    down = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.withColumns({"ip": F.sum("p").over(down), "in_": F.sum("n").over(down)}).join(F.broadcast(bases), "part")
+    step = F.col("p") / F.col("all_p") * (F.col("bp") + F.col("ip")) / (F.col("bn") + F.col("in_"))
+    return placed.agg(F.round(F.sum(step), digits).alias("average_precision"))
 
 
 def mean_ci95(df: DataFrame, value: str, *by: str, digits: int = 6) -> DataFrame:
-    """Mean and half-width of its 95 % interval (t with n - 1 degrees of freedom; 1.96 from 11 values on)."""
-    t = F.coalesce(F.create_map(*[F.lit(x) for kv in T975.items() for x in kv])[(F.col("n") - 1).cast("int")], F.lit(1.96))
+    """Mean and half-width of its 95 % interval (Student's t with n - 1 degrees of freedom, for every n; 0 for one value)."""
     return (
         df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
-        .select(*by, "n", F.round("m", digits).alias("mean"), F.round(F.coalesce(t * F.col("s") / F.sqrt("n"), F.lit(0.0)), digits).alias("ci95"))
+        .withColumn("t", student.quantile_udf()(F.col("n") - 1))  # one row for each group
+        .select(*by, "n", F.round("m", digits).alias("mean"), F.round(F.coalesce(F.col("t") * F.col("s") / F.sqrt("n"), F.lit(0.0)), digits).alias("ci95"))
     )
 
 
-def t_test_p4(t: Column) -> Column:
-    """Two-sided p-value of Student's t with 4 degrees of freedom, in closed form."""
-    t = F.abs(t)
-    # the textbook form 2 (1 - cdf) loses digits for large t; this one is its exact complement
-    x = t / F.sqrt(4 + t * t)
-    return (1 - x) * (1 - x) * (2 + x) / 2
-
-
 def paired_t(df: DataFrame, difference: str, *by: str) -> DataFrame:
-    """One-sample test on five paired differences: effect, t, p_raw."""
+    """One-sample test on paired differences, any number of them: effect, t, p_raw (null for fewer than two, or if all are equal)."""
     stats = df.groupBy(*by).agg(F.avg(difference).alias("effect"), F.stddev_samp(difference).alias("s"), F.count(difference).alias("n"))
-    t = F.col("effect") / (F.col("s") / F.sqrt("n"))
-    return stats.select(*by, "effect", t.alias("t"), t_test_p4(t).alias("p_raw"))
+    t = F.try_divide(F.col("effect"), F.col("s") / F.sqrt("n"))
+    return stats.withColumn("t", t).select(*by, "effect", "t", student.two_sided_udf()(F.col("t"), F.col("n") - 1).alias("p_raw"))
 
 
 def holm(df: DataFrame, p: str = "p_raw", name: str = "contrast") -> DataFrame:
@@ -131,6 +125,20 @@ def percentiles(df: DataFrame, value: str, *by: str, digits: int = 6) -> DataFra
     )
 
 
+def view_overlap(votes: DataFrame, views: list[int], fired: str = "fired") -> DataFrame:
+    """(n_intersection, n_union, n_majority, jaccard) of the rows on which any number of views fire, from one aggregation."""
+    on = F.size(F.filter(F.array(*[F.get(fired, F.lit(v)) for v in views]), lambda x: x))
+    counted = votes.agg(count_if(on == len(views)).alias("n_intersection"), count_if(on > 0).alias("n_union"), count_if(on > len(views) // 2).alias("n_majority"))
+    return counted.withColumn("jaccard", F.round(ratio(F.col("n_intersection"), F.col("n_union")), 6))
+
+
+def check_variant(variant: str, allowed: tuple[str, ...]) -> str:
+    """A variant's name; an unknown one is an error, not a silent default."""
+    if variant not in allowed:
+        raise ValueError(f"unknown variant {variant}; there are {', '.join(allowed)}")
+    return variant
+
+
 def metric_deltas(a: DataFrame, b: DataFrame, on: list[str], metrics: list[str]) -> DataFrame:
     """a - b of each metric, in percentage points."""
     right = b.select(*on, *(F.col(m).alias(f"_{m}") for m in metrics))

@@ -19,7 +19,7 @@ def digest_bytes(n: Column, signed: bool = False) -> Column:
 def bitmap_hex(members: Column, n: int) -> Column:
     """Members of 0..n-1 as a bitmap: bit i in byte i // 8 at place i % 8, as upper-case hex of ceil(n / 8) bytes."""
     byte = lambda k: F.aggregate(
-        F.filter(members, lambda i: F.floor(i / 8) == k), F.lit(0), lambda s, i: s.bitwiseOR(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), i % 8).cast("int"))
+        F.filter(members, lambda i: F.floor(i / 8) == k), F.lit(0), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1), (i % 8).cast("int")))
     )
     return F.concat(*[F.lpad(F.hex(byte(k)), 2, "0") for k in range((n + 7) // 8)])
 

@@ -90,12 +90,12 @@ def gossip_round(pool: DataFrame, trained: DataFrame, edges: DataFrame, round_:
     the first by order.
     """
     head_ = active[(round_ - 1) % len(active)]
-    shift = F.lit(1_000_000)
-    own = pool.unionByName(trained.select("node", (F.col("ord") + shift).alias("ord"), "sha256"))
+    at = lambda source, ord_="ord": F.struct(source.cast("int").alias("source"), F.col(ord_).cast("bigint").alias("ord"))
+    own = pool.select("node", at(F.lit(0)).alias("ord"), "sha256").unionByName(trained.select("node", at(F.lit(1)).alias("ord"), "sha256"))
     own = _numbered(own)
     near = edges.filter((F.col("src") == head_) & F.col("dst").isin(*active)).select(F.col("dst").alias("node"), "pos")
-    taken = own.join(F.broadcast(near), "node").select(F.lit(head_).alias("node"), ((F.col("pos") + 1) * shift + F.col("ord")).alias("ord"), "sha256")
-    return _numbered(own.unionByName(taken))
+    taken = own.join(F.broadcast(near), "node").select(F.lit(head_).alias("node"), at(F.col("pos") + 1).alias("ord"), "sha256")
+    return _numbered(own.select("node", at(F.lit(0)).alias("ord"), "sha256").unionByName(taken))
 
 
 def _numbered(pool: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ranked, shuffle_order
+from ..functions.ordering import ranked
 
 
 def project(df: DataFrame, features: list[int], keep: tuple[str, ...] = ("row_id", "y")) -> DataFrame:
@@ -21,6 +21,17 @@ def numeric_only(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[c for c, t in df.dtypes if c in keep or t in numeric or t.startswith("decimal")])
 
 
+#: Parts of the names of columns that hold absolute time.
+CLOCKS = ("timestamp", "datetime", "date", "time_epoch", "epoch", "frametime", "utctime")
+
+
+def drop_absolute_time(df: DataFrame, keep: tuple[str, ...] = (), clocks: tuple[str, ...] = CLOCKS) -> DataFrame:
+    """Without columns of a time type and those whose names say absolute time: they tell when a row was recorded, not what it is."""
+    plain = lambda c: c.lower().replace(" ", "").replace("_", "")
+    when = {k.replace("_", "") for k in clocks}
+    return df.select(*[F.col(f"`{c}`") for c, t in df.dtypes if c in keep or not (t.startswith(("timestamp", "date")) or plain(c) in when or any(plain(c).endswith(k) and len(k) > 4 for k in when))])
+
+
 def drop_invalid(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in which every column is a finite number."""
     for c in columns:
@@ -58,11 +69,9 @@ def relabel_rare(df: DataFrame, label: str, least: int, out: str = "class_idx")
 def benign_cap(df: DataFrame, label: str, normal: str, cap: int, seed: int, key: str) -> DataFrame:
     """At most ``cap`` normal rows, the first of a seeded order; all others.
 
-    The cut is found as the cap-th smallest sort key by an ordered limit, so no
-    window gathers the normal rows in one task.
+    Ranks come bucket by bucket, so no task sees all normal rows or all that are kept.
     """
-    order = shuffle_order(seed, key, "cap")
-    kept = df.filter(F.col(label) == normal).orderBy(*order).limit(cap)
+    kept = ranked(df.filter(F.col(label) == normal), seed, key, "cap").filter(F.col("_r") <= cap).drop("_r", "_n")
     return kept.unionByName(df.filter(F.col(label) != normal))
 
 

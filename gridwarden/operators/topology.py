@@ -17,6 +17,18 @@ def neighbours(kind: str, n: int, adjacency: dict[int, list[int]] | None = None)
     return [[(i - 1) % n, (i + 1) % n] if n > 1 else [] for i in range(n)]
 
 
+def resolve(name: str | None, n: int, given: dict | None = None) -> tuple[str, dict[int, list[int]] | None]:
+    """(kind, adjacency) of a run: a given adjacency wins over a name, no name means a ring; neighbours outside 0..n-1 and loops are an error."""
+    if not given:
+        kind = (name or "ring").lower()
+        return (kind if kind in ("star", "ring", "chain") else "ring"), None
+    adjacency = {int(i): [int(j) for j in row] for i, row in given.items()}
+    bad = [(i, j) for i, row in adjacency.items() for j in row if not (0 <= i < n and 0 <= j < n) or i == j]
+    if bad:
+        raise ValueError(f"edges outside the graph of {n} nodes: {bad}")
+    return name or "graph", adjacency
+
+
 def edges(spark: SparkSession, kind: str, n: int, adjacency: dict[int, list[int]] | None = None) -> DataFrame:
     """(src, dst, pos)."""
     node = F.col("id").cast("int")

@@ -435,7 +435,7 @@ def months(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p"), (F.month("o_orderdate") % 5).alias("seed")).agg(F.avg("o_totalprice").alias("v"))
 
 
-@query(f"WITH {_MONTHS} SELECT p, count(v) AS n, round(avg(v), 4) AS mean, round(2.776 * stddev_samp(v) / sqrt(count(v)), 4) AS ci95 FROM m GROUP BY p")
+@query(f"WITH {_MONTHS} SELECT p, count(v) AS n, round(avg(v), 4) AS mean, round(2.7764451051977934 * stddev_samp(v) / sqrt(count(v)), 4) AS ci95 FROM m GROUP BY p")
 def mean_ci95(spark, d):
     return M.mean_ci95(months(spark, d), "v", "p", digits=4)
 
@@ -590,7 +590,7 @@ SELECT (max(r) - 1)::INT AS rounds FROM s"""
 )
 def vote_diffusion_native(spark, d):
     """N = 14 as one fold over a sequence of rounds, with a bit set for each node."""
-    start = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.expr("shiftleft(1L, cast(0 as int))") * F.pow(F.lit(2), i).cast("bigint"))
+    start = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
     done = lambda v: ~F.exists(v, lambda x: F.bit_count(x) < 8)
     at = lambda v, i: F.get(v, F.pmod(i, F.lit(14)).cast("int"))
 

@@ -68,7 +68,7 @@ def grasp_nb(spark: SparkSession, d: str) -> DataFrame:
 def classifier_cv(spark: SparkSession, d: str) -> DataFrame:
     """Cross-validated counts and rates of all registered classifiers over 5 folds."""
     rows = partition.kfold(features(spark, d).withColumn("y", attack().cast("int")), 5, SEED, KEY, LABEL)
-    return models.cross_validate(rows, FEATURES, models.REGISTRY, 5)
+    return M.fold_average(models.cross_validate(rows, FEATURES, models.REGISTRY, 5), "classifier")
 
 
 def decentralised_switches(spark: SparkSession, d: str) -> DataFrame:

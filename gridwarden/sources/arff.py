@@ -1,6 +1,6 @@
 """ARFF as a source and a sink.
 
-The header is read on the driver (a few hundred lines at most); rows are a distributed text
+The header is read on the driver, line by line up to ``@data``; rows are a distributed text
 scan.  Attributes with ``{`` in their type are nominal, all others numeric; the last one
 is the class.  Rows of the wrong arity, with a number that cannot be parsed or with an
 unknown class are dropped.
@@ -21,21 +21,27 @@ class Header:
     classes: list[str]
 
 
-def header(spark: SparkSession, path: str, most: int = 10_000) -> Header:
-    """Attributes and classes, from the lines before ``@data``."""
+def header(spark: SparkSession, path: str) -> Header:
+    """Attributes and classes, from the lines before ``@data``; a file without that line is an error."""
     names, nominal, classes = [], [], []
-    for row in spark.read.option("encoding", "ISO-8859-1").text(path).limit(most).toLocalIterator():
+    for row in spark.read.option("encoding", "ISO-8859-1").text(path).toLocalIterator():
         line = row[0].strip()
         low = line.lower()
         if low.startswith("@data"):
-            break
+            return Header(names, nominal, classes)
         if low.startswith("@attribute"):
             name, _, kind = line[len("@attribute") :].strip().partition(" ")
             names.append(name)
             nominal.append("{" in kind)
             if "{" in kind:
                 classes = [c.strip() for c in kind[kind.index("{") + 1 : kind.rindex("}")].split(",")]
-    return Header(names, nominal, classes)
+    raise ValueError(f"{path} has no @data line")
+
+
+def class_name(idx, classes: list[str]):
+    """Column with the name of a class index; an index outside the list keeps a name of its own, ``class_<idx>``."""
+    names = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
+    return F.coalesce(F.get(names, idx.cast("int")), F.concat(F.lit("class_"), idx.cast("string")))
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
