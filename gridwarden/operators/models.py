@@ -104,12 +104,14 @@ class Boosted:
     rate: float
     trees: list = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
+    #: each tree's own rate, where models of several nodes were summed; else ``rate`` for all
+    rates: list[float] | None = None
 
     def margin(self, df: DataFrame) -> DataFrame:
         """``df`` (with ``features``) and its margin."""
         out = df.withColumn("margin", F.lit(self.intercept))
-        for t in self.trees:
-            out = t.setPredictionCol("_t").transform(out).withColumn("margin", F.col("margin") + self.rate * F.col("_t")).drop("_t")
+        for t, rate in zip(self.trees, self.rates or [self.rate] * len(self.trees)):
+            out = t.setPredictionCol("_t").transform(out).withColumn("margin", F.col("margin") + rate * F.col("_t")).drop("_t")
         return out
 
 
@@ -135,7 +137,9 @@ def boost(df: DataFrame, columns: list[str], rounds: int, depth: int = 4, rate:
         import math
 
         start = Boosted(math.log(share / (1 - share)), rate)
+    rates = None if start.rates is None else [*start.rates, *[start.rate] * rounds]
     model = Boosted(start.intercept, start.rate, list(start.trees), list(start.losses))
+    model.rates = None if start.rates is None else list(start.rates)
     state = saved(model.margin(data))
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-F.col("margin")))
@@ -145,6 +149,7 @@ def boost(df: DataFrame, columns: list[str], rounds: int, depth: int = 4, rate:
         y = F.col("y").cast("double")
         loss = state.agg(F.avg(F.log1p(F.exp(F.col("margin"))) - y * F.col("margin"))).first()[0]
         model.losses.append(float(loss))
+    model.rates = rates
     return model
 
 

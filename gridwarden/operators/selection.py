@@ -234,6 +234,35 @@ METHODS = {
 }
 
 
+#: Start lists by name; each maps (gains by feature number, how many) to the restricted candidates of the search.
+RCL: dict[str, Callable[[dict[int, float], int], list[int]]] = {
+    "all": lambda gains, n: sorted(gains),
+    "top": lambda gains, n: sorted(sorted(gains, key=lambda i: (-gains[i], i))[:n]),
+    "positive": lambda gains, n: sorted(i for i, g in gains.items() if g > 0),
+    "above_mean": lambda gains, n: sorted(i for i, g in gains.items() if g >= sum(gains.values()) / max(1, len(gains))),
+}
+
+
+def candidates(name: str, gains: dict[int, float], n: int = 20) -> list[int]:
+    """The pool of a named start list; an unknown name is an error."""
+    if name not in RCL:
+        raise ValueError(f"unknown start list {name}; there are {', '.join(RCL)}")
+    return RCL[name](gains, n)
+
+
+def search_per_attack(df: DataFrame, features: list[str], label: str, normal: str, key: str, folds: int = 3, seed: int = 42, least: int = 1, **more) -> tuple[dict[str, Found], dict[str, int], list[int]]:
+    """(found by attack, rows of attacks that were skipped for having fewer than ``least``, sorted union of the features).
+
+    Each attack is searched against the normal class with an evaluator of its own.
+    """
+    sizes = {r[0]: r[1] for r in df.filter(F.col(label) != normal).groupBy(label).agg(F.count("*")).collect()}  # one row for each class
+    found, skipped = {}, {a: n for a, n in sizes.items() if n < least}
+    for a in sorted(set(sizes) - set(skipped)):
+        evaluate = evaluator(df.filter(F.col(label).isin(a, normal)), features, label, normal, folds, seed, key)
+        found[a] = grasp(evaluate, more.pop("pool", None) or list(range(1, len(features) + 1)), seed=seed, **more)
+    return found, skipped, sorted({i for f in found.values() for i in f.features})
+
+
 def grasp(evaluate: Evaluator, pool: list[int], method: str = "vnd", iterations: int = 5, start: int = 5, penalty: float = 0.0, patience: int = 3, most: int = 5000, seed: int = 42) -> Found:
     """Greedy randomised search: a random start of ``start`` features, then descent; stops on iterations, evaluations or no gain."""
     names, random_order = METHODS[method]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import control, federation, models, partition, selection, topology
+from ..operators import control, experiment, federation, models, partition, selection, topology
 from ..session import table
 from .catalogue import KEY, LABEL, NORMAL, SEED, attack, events, scenario_rounds
 
@@ -96,9 +96,44 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return replay_windows(spark, f"{d}/events.parquet", NORMAL)
 
 
+def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Training rows with client and y, and test rows."""
+    train, test = experiment.split_given(features(spark, d).withColumn("y", attack().cast("int")), None, SEED, KEY, 0.2, LABEL)
+    return partition.iid(train, n, SEED, KEY), test
+
+
+def round_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts on the test rows after each round: federated, two gossip rounds without node 1, federated again."""
+    train, test = _nodes(spark, d, 3)
+    on_round, rows = experiment.round_rows(spark, test, FEATURES)
+    experiment.train_rounds(train, FEATURES, "client_id", 3, ["federated", "gossip", "gossip", "federated"], active=lambda r: [0, 2] if r in (2, 3) else [0, 1, 2], on_round=on_round)
+    return rows()
+
+
+def cyclic_boosting(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after each round of a model that goes round the clients."""
+    train, test = _nodes(spark, d, 2)
+    on_round, rows = experiment.round_rows(spark, test, FEATURES)
+    experiment.cyclic(train, FEATURES, "client_id", 3, on_round=on_round)
+    return rows()
+
+
+def client_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each node's own model finds after two gossip rounds."""
+    train, test = _nodes(spark, d, 3)
+    _, held = experiment.train_rounds(train, FEATURES, "client_id", 3, ["gossip", "gossip"])
+    return experiment.client_report(held, test, FEATURES)
+
+
+def central_vs_distributed(spark: SparkSession, d: str) -> DataFrame:
+    """One model on all rows against a federation with the same number of trees."""
+    train, test = _nodes(spark, d, 2)
+    return experiment.central_vs_distributed(train, test, FEATURES, "client_id", 2, 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (gbt_specialists, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts)
+    for f in (gbt_specialists, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
 }
 SQL: dict[str, str] = {
     "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type AS attack, count(*) AS n_flags FROM events WHERE event_type <> 'view' GROUP BY ALL",

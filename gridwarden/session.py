@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,16 @@ def session(master: str | None = None, app: str = "gridwarden", **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/gridwarden"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -42,18 +42,18 @@ def tail(trail: DataFrame, n: int = 10_000) -> DataFrame:
     return trail.orderBy(F.desc("seq")).limit(n)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append(trail_path: str, events: DataFrame, order: list[str]) -> None:
     """Number events on from the largest sequence number of the trail and append them.
 
-    ``events`` is what one control plane emits at a time: few rows.
+    ``events`` is what one control plane emits at a time: few rows.  A trail has one writer, the control plane's driver.
     """
     spark = events.sparkSession
-    try:
-        last = read(spark, trail_path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    except Exception as e:  # no trail yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = 0
+    last = read(spark, trail_path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if exists(spark, trail_path) else 0
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA if f.name not in events.columns and f.name not in ("seq", "ts")]
     ts = F.col("ts") if "ts" in events.columns else F.current_timestamp()
     numbered = events.withColumn("seq", F.lit(last) + F.row_number().over(Window.orderBy(*order))).withColumn("ts", ts).select("*", *missing)

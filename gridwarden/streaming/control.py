@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.control import COMMITS, Settings, begin, bits, step
+from ..session import shared_root
 
 
 def commits(reports: DataFrame, settings: Settings) -> DataFrame:
@@ -45,8 +45,7 @@ def commits(reports: DataFrame, settings: Settings) -> DataFrame:
 def replay(observations: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
     """Run recorded observations through the stream, round by round in a few batches, and return the commits."""
     spark = observations.sparkSession
-    root = folder or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    root = f"{folder.rstrip('/')}/{uuid.uuid4().hex}" if folder else shared_root(spark)
     source = observations.select("scenario", "dwell", "round", "reported")
     source.repartition(1).sortWithinPartitions("round").write.parquet(f"{root}/in")  # a federation's reports: a row a round
     stream = spark.readStream.schema(source.schema).parquet(f"{root}/in")
