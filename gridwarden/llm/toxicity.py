@@ -12,7 +12,7 @@ and the probabilities of all earlier categories.  Those inputs are out-of-fold:
 an earlier category's probability of a document comes from a model whose markers were chosen and whose
 weights were fitted without its fold; a last model, on all folds, serves prediction.  Near copies in the
 sample count once.  The verdict's threshold is where out-of-fold F0.5 of the last category is
-largest, each class weighted as it is among all labelled documents.
+largest, each class weighted as it is among all labelled documents, and a half at least.
 
 The sample is bounded (``SAMPLE`` documents, half of them toxic where there are so
 many; documented).  Training and prediction read every whole text: executors turn each sampled text into its
@@ -46,6 +46,8 @@ LAST = "toxic"
 #: Bound of the fit in documents; folds; shortest and longest prefix; texts that make a feature, and a kind, at least.
 SAMPLE, FOLDS, PREFIXES, SUPPORT, LEAST_KIND = 4000, 3, (4, 7), 3, 6
 RIDGE = 1e-3
+#: Models weigh the classes alike, so below a half a text is rather clean, however few labels say so.
+LEAST_THRESHOLD = 0.5
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -227,7 +229,7 @@ def train(texts: DataFrame, counts: dict[int, int], chained: bool = True) -> Cha
     targets = [y * (kind == k) for k in categories] + [y]
     models, out = chain_of(x, len(features) + 1, targets, fold, masks)
     weight = np.where(y > 0, counts[1] / y.sum(), counts[0] / (n - y.sum()))
-    return Chain(features, [*categories, LAST], models, best_threshold(out[:, -1], y, weight))
+    return Chain(features, [*categories, LAST], models, max(LEAST_THRESHOLD, best_threshold(out[:, -1], y, weight)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dict[int, int]] | None:
