@@ -25,6 +25,7 @@ def test_entry(spark):
 def test_all_classifiers_are_validated(spark, sf, monkeypatch):
     asked = {}
     monkeypatch.setattr(models, "cross_validate", lambda rows, columns, names, folds: asked.update(names=names, folds=folds, dealt=rows.select("fold").distinct().count()))
+    monkeypatch.setattr(learned.M, "fold_average", lambda counts, *by: counts)
     learned.classifier_cv(spark, sf)
     assert asked == {"names": models.REGISTRY, "folds": 5, "dealt": 5}
     assert all(models.classifier(n).getMaxDepth() == 30 for n in ("random_tree", "j48", "rep_tree", "random_forest"))
