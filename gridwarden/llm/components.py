@@ -15,9 +15,10 @@ from .skew import SHARES
 from .store import discard, materialise
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return row["n"], row["s"]
+def _neighbours(e: DataFrame) -> DataFrame:
+    """(u, m, n, parents) of every node: its smallest neighbour or itself, how many neighbours it has and how many of them are smaller."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("u")).alias("parents"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,17 +27,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges with a null end and loops join nothing.  Every edge (u, v) with u > v is kept
     as "v is a parent of u".  Large-star hangs the larger neighbours of a node to its
     smallest neighbour, small-star the smaller ones and the node itself; the edges
-    become stars around the smallest nodes after a logarithmic number of rounds.
+    become stars around the smallest nodes after a logarithmic number of rounds, which
+    each node's neighbours show; they are then the result.
     """
     e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    state = _state(e)
-    while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    while True:
+        low = _neighbours(e)
+        # stars: a node hangs to one smaller node and nothing hangs to it, or it has no smaller one
+        ends, open_ = low.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("n") > F.col("parents"))))).first()
+        if not open_:
+            out = materialise(low.select(F.col("u").alias("node"), F.col("m").alias("component")))
+            discard(e)
+            return out
         # each edge counts at both ends, so at most SHARES nodes have more of them than this
-        many = 2 * state[0] // SHARES
+        many = ends // SHARES
         centres = F.broadcast(low.filter(F.col("n") > many).select(F.col("u").alias("c"), "m"))
-        upper = both.filter("v > u")
+        upper = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
         at_centres = upper.join(centres, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         elsewhere = upper.join(centres.select("c"), F.col("u") == F.col("c"), "left_anti").join(low.filter(F.col("n") <= many).select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = at_centres.unionByName(elsewhere).filter("u <> v").distinct()
@@ -44,9 +50,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u")
         new = materialise(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(e)
-        e, before, state = new, state, _state(new)
-        if state == before:
-            break
-    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
-    discard(e)
-    return out
+        e = new

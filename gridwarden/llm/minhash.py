@@ -291,8 +291,9 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     members = clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(many.select("doc_id", "comp").distinct(), "doc_id")
     pairs = materialise(pairs)
     later = materialise(_similar(pairs, sets).unionByName(_block_edges(sets, members)))
+    # the stars of the first links stand for them
+    final = components(later.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     discard(shared, crowd, sets, star, first, open_, clusters, pairs)
-    final = components(later.unionByName(links))
     # classes meet their components first, so documents meet one table whose heavy keys are known
     named = materialise(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left"))
     per_doc = join_counted(drawn.drop("bands"), named, "fp", "left")
