@@ -32,12 +32,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while True:
-        low = _neighbours(e)
+        low = materialise(_neighbours(e))
         # stars: a node hangs to one smaller node and nothing hangs to it, or it has no smaller one
         ends, open_ = low.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("n") > F.col("parents"))))).first()
         if not open_:
-            out = materialise(low.select(F.col("u").alias("node"), F.col("m").alias("component")))
             discard(e)
+            out = low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+            out.stored_at = low.stored_at
             return out
         # each edge counts at both ends, so at most SHARES nodes have more of them than this
         many = ends // SHARES
@@ -49,5 +50,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         new = materialise(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(e)
+        discard(e, low)
         e = new

@@ -29,8 +29,8 @@ share of its candidates (``skew.salted``); blocks are bounded in members and in
 
 Cases: a null or empty text, or one of white space, has no shingle, is linked with
 nothing and kept; fewer than five words make one shingle; rows with equal doc_id are
-one document (candidates are sought for each text, links confirmed on their united
-set); a row with a null doc_id is linked with nothing and kept; extra columns are ignored.
+one document (candidates are sought for each text whose smallest doc_id it is, links
+confirmed on their united set); a row with a null doc_id is linked with nothing and kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -266,8 +266,9 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """(per document: doc_id, n_shingles, rep, component), (links between representatives that join all components), (rep -> component)."""
     drawn = materialise(sketches(docs))
     filled = drawn.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    # equal sets have equal bands, so those of any row are its class's and travel once
+    classes = materialise(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    reps = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = materialise(reps.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last").drop("last"))
     crowd = materialise(join_counted(reps, shared, "key").select("key", "doc_id", "pivot"))
     asked = crowd.select("doc_id").distinct()
@@ -295,7 +296,7 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     final = components(later.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     discard(shared, crowd, sets, star, first, open_, clusters, pairs)
     # classes meet their components first, so documents meet one table whose heavy keys are known
-    named = materialise(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left"))
+    named = materialise(classes.drop("bands").join(final.withColumnRenamed("node", "rep"), "rep", "left"))
     per_doc = join_counted(drawn.drop("bands"), named, "fp", "left")
     return per_doc, links.unionByName(later), final
 
