@@ -173,8 +173,8 @@ def _write_index(spark: SparkSession, path: str) -> None:
     )
 
 
-def _checked(path: str, spark: SparkSession, wide: bool, with_ids: bool) -> DataFrame:
-    """(digest, n, crc[, ids]) of every stored chunk, from its bytes; raises if they are not what the address says."""
+def _checked(stored: DataFrame, wide: bool, with_ids: bool) -> DataFrame:
+    """(digest, n, crc[, ids]) of the ``stored`` chunks (key, n, payload), from their bytes; raises if they are not what the address says."""
     unit = "<u4" if wide else "<u2"
     ids_type = ", ids array<int>" if with_ids else ""
 
@@ -197,22 +197,25 @@ def _checked(path: str, spark: SparkSession, wide: bool, with_ids: bool) -> Data
             columns = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), ["digest", "n", "crc", "ids"][: 3 + with_ids])
 
-    return _parts(spark, path, 0).select("key", "n", "payload").mapInArrow(returning(run), "digest binary, n bigint, crc bigint" + ids_type)
+    return stored.mapInArrow(returning(run), "digest binary, n bigint, crc bigint" + ids_type)
 
 
 def _assembled(spark: SparkSession, path: str, wide: bool, with_ids: bool) -> DataFrame:
     """Per index row the checked chunks in order; a missing one keeps its row with nulls."""
     index = spark.read.parquet(f"{path}/index")
     refs = index.select("key", F.posexplode("chunks").alias("pos", "chunk")).select("key", "pos", F.col("chunk.digest").alias("digest"))
-    checked = _checked(path, spark, wide, with_ids)
+    stored = _parts(spark, path, 0).select("key", "n", "payload")
+    checked = lambda some: _checked(some, wide, with_ids)
     # a passage that very many documents share is one key: its chunk, of at most MOST ids, goes to the references instead
     hot = heavy(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
     if hot is None:
-        found = refs.join(checked, "digest", "left")
+        found = refs.join(checked(stored), "digest", "left")
     else:
         keys = F.broadcast(hot[0].select("digest"))
-        often = refs.join(keys, "digest", "left_semi").join(F.broadcast(checked.join(keys, "digest", "left_semi")), "digest", "left")
-        found = often.unionByName(refs.join(keys, "digest", "left_anti").join(checked, "digest", "left"))
+        # parted before their bytes are read, so that each chunk is checked once
+        of = F.col("key") == F.col("digest")
+        often = refs.join(keys, "digest", "left_semi").join(F.broadcast(checked(stored.join(keys, of, "left_semi"))), "digest", "left")
+        found = often.unionByName(refs.join(keys, "digest", "left_anti").join(checked(stored.join(keys, of, "left_anti")), "digest", "left"))
     fields = ["pos", "digest", "n", "crc", *(["ids"] if with_ids else [])]
     per_doc = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
     return index.drop("chunks", "part").join(per_doc, "key")
