@@ -25,7 +25,7 @@ PIECES_OR_GAP = regex.compile(PIECE + "| ")
 #: Words the library would change only by lower-casing: printable ASCII, Latin letters.
 PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u017e]+$"
 #: Distinct words, and distinct pre-tokens, that one Python worker remembers before it starts afresh.
-MEMORY, PIECE_MEMORY = 400_000, 150_000
+MEMORY, PIECE_MEMORY = 1_000_000, 400_000
 
 
 @functools.cache
