@@ -82,6 +82,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assignment
+
+    return assignment(table(spark, sf_dir, "documents"), shards=16)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op4_language_id, op5_minhash, op6_toxicity, op7_packing, op8_gif, op9_quality_rules, op10_licences, pipeline)
+    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op4_language_id, op5_minhash, op6_toxicity, op7_packing, op8_gif, op9_quality_rules, op10_licences, op11_fill_in_middle, op12_sharding, pipeline)
 }
 
 def _licence_sql() -> str:
@@ -145,7 +157,26 @@ WITH w AS (
 SELECT *, NOT base_failed AND 2 * removed_words <= n_words AS kept FROM b
 """
 
+#: Lines, their draws, the three pieces and both written forms; the digest of the rebuilt text is that of the text.
+_FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls, sha256('7:' || doc_id::VARCHAR) AS h FROM documents
+), r AS (
+  SELECT *, len(ls) AS n, [('0x' || substr(h, 1 + 8 * k, 8))::BIGINT for k in range(4)] AS q FROM d
+), c AS (
+  SELECT *, least(q[1] % (n + 1), q[2] % (n + 1)) AS a, greatest(q[1] % (n + 1), q[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR q[3] % 100 >= 100 THEN 'plain' WHEN q[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r
+), p AS (
+  SELECT *, array_to_string(ls[1:a], '') AS pre, array_to_string(ls[a + 1:b], '') AS mid, array_to_string(ls[b + 1:n], '') AS suf FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
 SQL: dict[str, str] = {
+    "op11_fill_in_middle": _FIM_SQL,
     "op3_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
