@@ -94,6 +94,14 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import aligned_documents
+
+    return aligned_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op4_language_id, op5_minhash, op6_toxicity, op7_packing, op8_gif, op9_quality_rules, op10_licences, op11_fill_in_middle, op12_sharding, pipeline)
+    f.__name__: f for f in (op1_token_store, op2_bpe, op3_url_filter, op4_language_id, op5_minhash, op6_toxicity, op7_packing, op8_gif, op9_quality_rules, op10_licences, op11_fill_in_middle, op12_sharding, op13_alignment, pipeline)
 }
 
 def _licence_sql() -> str:

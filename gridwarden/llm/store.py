@@ -7,6 +7,7 @@ executor costs the tasks it ran, never a recomputation of earlier steps.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -43,14 +44,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+#: Spark's setting by which the shuffle files of a query go when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting that makes joins shuffle even where the rows lie together by some of the keys.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """These settings of the session for queries that run inside; then those of before."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None, tidy: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table read back; with ``tidy`` the shuffle files of this step go at its end."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with settings(spark, {TIDY: "true"} if tidy else {}):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
