@@ -227,7 +227,10 @@ def scan(
     # known notices as one constant map; only lines that can be one are looked up: each says what work is under, or names a licence
     table = "\n".join(f"{r['digest']}\t{r['license_id']}" for r in known(spark, lines).orderBy("digest").collect())
     of_line = F.str_to_map(F.lit(table or "\t"), F.lit("\n"), F.lit("\t"))
-    naming = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(LOOKED_UP))
+    # the filter saves look-ups; a caller's notice that says neither is looked for on every line
+    every = all(re.search(LOOKED_UP, line.lower()) for _, line in lines)
+    each = F.split(text, "\n")
+    naming = F.filter(each, lambda x: F.lower(x).rlike(LOOKED_UP)) if every else each
     found = F.array_sort(F.array_distinct(F.filter(F.transform(naming, lambda x: of_line[digest(x)]), lambda x: x.isNotNull())))
     rows = docs.select(F.col(id_col), digest(text).alias("canonical_sha256"), F.array_join(found, ",").alias("notices"))
     whole = known(spark, texts, digests).withColumnRenamed("digest", "canonical_sha256")
