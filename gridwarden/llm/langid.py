@@ -239,8 +239,9 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes,
     # one row for each language, and as many weights in the network, so this table is as small as the model
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     share = max(LEAST_SHARE, sample // max(1, counts.count()))
-    # a row's place in [0, 1) by hash; about `share` rows of each language lie below its bound
-    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # a text's place in [0, 1) by its own hash, so rows without a doc_id, or of one, are drawn apart; about `share` rows of
+    # each language lie below its bound, and copies of a drawn text count once
+    place = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.join(F.broadcast(counts.select("lang", (F.lit(float(share)) / F.col("n")).alias("bound"))), "lang").filter(place < F.col("bound"))
 
     def run(batches):
@@ -255,7 +256,7 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes,
                         found.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "part"])
 
-    rows = picked.select("lang", "text").mapInArrow(returning(run), "lang string, part binary").toArrow()
+    rows = picked.select("lang", "text").distinct().mapInArrow(returning(run), "lang string, part binary").toArrow()
     # an order that does not depend on partitions
     return sorted(zip(rows.column(1).to_pylist(), rows.column(0).to_pylist()))
 
@@ -264,7 +265,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
     names = net.labels if net else []
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*kept)
+    # plain names for the way through Arrow, where a dot would be read as a field
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     shared = docs.sparkSession.sparkContext.broadcast(net)
     text_at = kept.index("text")
 
@@ -282,7 +284,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                         labels[i], scores[i] = names[k], min(1.0, s)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])).toDF(*kept, "lang_pred", "score")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
