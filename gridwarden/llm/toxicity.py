@@ -60,6 +60,20 @@ def terms(word: str) -> list[str]:
     return out
 
 
+def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks without white space, (text, chunk) of each different chunk of each text): the one way in which texts are split here."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    coded = split.values.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    which = coded.indices.to_numpy()
+    texts_ = np.repeat(np.arange(len(texts)), np.diff(np.asarray(split.offsets)))
+    if "" in names:  # what stands before a leading blank is no chunk
+        real = which != names.index("")
+        which, texts_ = which[real], texts_[real]
+    each = np.unique(texts_ * (1 << 32) + which)
+    return names, each >> 32, each & 0xFFFFFFFF
+
+
 @dataclass
 class Counts:
     """Sparse matrix: how many different words of a text show a feature, damped; column 0 is the text's length."""
@@ -256,11 +270,12 @@ def described(texts: DataFrame) -> DataFrame:
             for lo in range(0, whole.num_rows, 50):
                 b = whole.slice(lo, 50)
                 keys = [bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(b.column(4))]
-                words, found = [], []
-                for text in b.column(4).to_pylist():
-                    chunks = set(text.split())
-                    words.append(len(chunks))
-                    found.append(Counter(t for chunk in chunks for t in set(terms(chunk))))
+                names_, text, chunk = chunks_of(b.column(4))
+                words = np.bincount(text, minlength=b.num_rows)
+                shown = [set(terms(c)) for c in names_]
+                found = [Counter() for _ in range(b.num_rows)]
+                for i, c in zip(text.tolist(), chunk.tolist()):
+                    found[i].update(shown[c])
                 made = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], names)
 
@@ -293,7 +308,8 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` with ``kinds`` (map of each earlier category to its probability), ``p_toxic`` and ``toxic``; columns of these names are replaced."""
     added = ["kinds", "p_toxic", "toxic"]
     kept = [c for c in docs.columns if c not in added]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
+    # plain names for the way through Arrow, where a dot would be read as a field
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     text_at = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -308,15 +324,10 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 p = np.zeros((n, width))
                 if model.models:
                     texts = pc.fill_null(b.column(text_at), "").cast(pa.large_string())
-                    split = pc.ascii_split_whitespace(texts)
-                    coded = split.values.dictionary_encode()
-                    found = [memo[w] for w in coded.dictionary.to_pylist()]
+                    names, docs_, which = chunks_of(texts)
+                    found = [memo[w] for w in names]
                     sizes = np.fromiter(map(len, found), np.int64, len(found))
-                    which = coded.indices.to_numpy()
-                    docs_ = np.repeat(np.arange(n), np.diff(np.asarray(split.offsets)))
-                    each = np.unique(docs_ * (1 << 32) + which)
-                    different = np.bincount(each >> 32, minlength=n)
-                    docs_, which = each >> 32, each & 0xFFFFFFFF
+                    different = np.bincount(docs_, minlength=n)
                     some = sizes[which] > 0 if len(which) else np.zeros(0, bool)
                     which, docs_ = which[some], docs_[some]
                     flat = np.array([c for w in which.tolist() for c in found[w]], np.int64)
@@ -328,7 +339,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, per_kind, pa.array(p[:, -1]), toxic], [*b.schema.names, *added])
 
     fields = [T.StructField("kinds", T.MapType(T.StringType(), T.DoubleType())), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
-    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, *fields]))
+    return source.mapInArrow(returning(run), T.StructType([*source.schema.fields, *fields])).toDF(*kept, *added)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
