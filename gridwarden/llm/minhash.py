@@ -29,8 +29,7 @@ share of its candidates (``skew.salted``); blocks are bounded in members and in
 
 Cases: a null or empty text, or one of white space, has no shingle, is linked with
 nothing and kept; fewer than five words make one shingle; rows with equal doc_id are
-one document (candidates are sought for each text whose smallest doc_id it is, links
-confirmed on their united set); a row with a null doc_id is linked with nothing and kept; extra columns are ignored.
+one document, whose set is the union of theirs, and each of them gets its result; a row with a null doc_id is linked with nothing and kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -262,9 +261,34 @@ def _block_edges(sets: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.join(sets, "doc_id").groupBy("cluster", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
 
 
+def _united(drawn: DataFrame, docs: DataFrame) -> DataFrame:
+    """``drawn`` where rows of one doc_id with different texts have the sketch of their united set; the same table if there are none."""
+    several = drawn.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("fp", F.lit(""))).alias("a"), F.max(F.coalesce("fp", F.lit(""))).alias("b"))
+    several = materialise(several.filter("a < b").select("doc_id"))
+    if several.isEmpty():
+        return drawn
+    each = _sets(_texts(docs).join(several, "doc_id", "left_semi")).select("doc_id", F.explode("shingles").alias("x")).distinct()
+    whole = each.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("shingles"))
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            # the order of unsigned numbers, as in ``shingle_sets``
+            sets = [np.sort(np.asarray(x.values).view(np.uint64)) for x in b.column(1)]
+            fps = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
+            keys = pa.array([bands(sketch(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.string()), keys], ["doc_id", "n_shingles", "fp", "bands"])
+
+    made = whole.mapInArrow(returning(run), "doc_id bigint, n_shingles bigint, fp string, bands array<bigint>")
+    again = drawn.select("doc_id").join(several, "doc_id", "left_semi").join(made, "doc_id")
+    rest = drawn.join(several, "doc_id", "left_anti")
+    return materialise(rest.unionByName(again))
+
+
 def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per document: doc_id, n_shingles, rep, component), (links between representatives that join all components), (rep -> component)."""
-    drawn = materialise(sketches(docs))
+    drawn = _united(materialise(sketches(docs)), docs)
     filled = drawn.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets have equal bands, so those of any row are its class's and travel once
     classes = materialise(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
@@ -304,5 +328,5 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     named, _, _ = links_and_classes(docs)
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
