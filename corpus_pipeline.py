@@ -5,7 +5,7 @@ Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``documents``; rejected documents are gone from then on.
 
 Null texts have no language and go in the first stage; of rows with one doc_id near-duplicates
-leaves the first by its columns in the table's order (text before the others), on any partitioning; an empty table passes through
+leaves the first by its text, then by its other columns as JSON, on any partitioning; an empty table passes through
 all stages.  Columns of documents pass as they are, whatever their names: what a stage
 adds is taken away again.
 """
@@ -50,9 +50,11 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-        first = rows.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("_row"))
-        rows = first.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+        # columns of any type pass, but maps and the like have no order, so the others' order is that of their text as JSON
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+        first = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text"), rest)).alias("_row"))
+        rows = first.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
