@@ -24,7 +24,7 @@ PIECES = regex.compile(PIECE)
 PIECES_OR_GAP = regex.compile(PIECE + "| ")
 #: Words the library would change only by lower-casing: printable ASCII, Latin letters.
 PLAIN = "^[\x21-\x7e\u00c0-\u012f\u0131-\u017e]+$"
-#: Distinct words, and distinct pre-tokens, that one Python worker remembers before it starts afresh.
+#: Distinct words, and distinct pre-tokens, that one Python worker remembers before it forgets those that it met once.
 MEMORY, PIECE_MEMORY = 1_000_000, 400_000
 
 
@@ -57,6 +57,17 @@ class WordEncoder:
         self.words = pa.array([""], pa.large_string())
         self.flat = np.zeros(0, np.uint32)
         self.sizes = np.zeros(1, np.int32)
+        self.used = np.zeros(1, np.int32)
+
+    def keep(self, most: int) -> None:
+        """Forget the words that one slice alone has used since the last time; all if too many remain."""
+        keep = self.used > 1
+        keep[0] = True  # the empty string
+        if np.count_nonzero(keep) > most:
+            return self.forget()
+        self.words = self.words.filter(pa.array(keep))
+        self.flat, self.sizes = self.flat[np.repeat(keep, self.sizes)], self.sizes[keep]
+        self.used = np.zeros(len(self.words), np.int32)
 
     def piece(self, piece: str) -> bytes:
         """Ids of one lower-cased pre-token, as little-endian 32-bit numbers."""
@@ -68,8 +79,6 @@ class WordEncoder:
 
     def learn(self, words: pa.Array) -> None:
         """Add distinct unknown words to the table."""
-        if len(self.words) > MEMORY:
-            self.forget()
         if len(self.pieces) > PIECE_MEMORY:
             self.pieces.clear()
         names = words.to_pylist()
@@ -93,6 +102,7 @@ class WordEncoder:
         self.words = pa.concat_arrays([self.words, words])
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
         self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int32, len(ids)) // 4])
+        self.used = np.concatenate([self.used, np.zeros(len(ids), np.int32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in one uint32 array, and each text's offsets in it (nulls: empty)."""
@@ -102,19 +112,19 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         words = split.values
         which = pc.index_in(words, self.words)
+        if which.null_count and len(self.words) > MEMORY:
+            self.keep(MEMORY // 2)
+            which = pc.index_in(words, self.words)
         if which.null_count:
-            new = pc.unique(words.filter(which.is_null()))
-            before = len(self.words)
+            unknown = which.is_null()
+            late = words.filter(unknown)
+            new, before = pc.unique(late), len(self.words)
             self.learn(new)
-            if len(self.words) == before + len(new):
-                late = pc.index_in(words.filter(which.is_null()), new)
-                which = pc.replace_with_mask(which, which.is_null(), pc.add(late, pa.scalar(before, pa.int32())))
-            else:  # the table was begun afresh: what this slice needs is learned again
-                again = pc.unique(words)
-                self.forget()
-                self.learn(again.filter(pc.not_equal(again, "")))
-                which = pc.index_in(words, self.words)
+            which = pc.replace_with_mask(which, unknown, pc.add(pc.index_in(late, new), pa.scalar(before, pa.int32())))
         which = which.to_numpy()
+        seen = np.zeros(len(self.words), bool)
+        seen[which] = True
+        self.used += seen
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         each = self.sizes[which]
         upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
@@ -155,7 +165,7 @@ def library(path: str) -> LibraryEncoder:
 
 
 #: Bytes of text that are worked on together (a longer text is a slice of its own).
-SLICE = 4_000_000
+SLICE = 8_000_000
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE):
