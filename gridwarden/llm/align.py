@@ -40,14 +40,16 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .skew import join_counted
-from .store import ALL_KEYS, discard, materialise, returning, settings
+from .store import ALL_KEYS, discard, give_back, materialise, returning, settings
 
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Bits of a place: code within the block, block within the input part; input parts whose units are gathered together (a power of two).
 CODE_BITS, BLOCK_BITS, REGION_BITS = 28, 13, 10
 #: Width in bytes of the bins of the range join: no token of either vocabulary is longer.
 BIN = 512
+#: Fixed value: A's pre-tokens (its own splitter, said as a pattern).
+_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space (of any kind) of three bytes, and the mark of a space, by their first two bytes: no cut behind these.
 _BARRED = np.array([0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE296, 0xE380, 0xEFBB], np.uint16)
 
@@ -75,7 +77,10 @@ def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     safe |= tail & (two > 0xC2) & (two < 0xE0)
     safe |= tail & (three >= 0xE0) & (three < 0xF0) & ~np.isin(three.astype(np.uint16) << 8 | two, _BARRED)
     safe |= tail & (four >= 0xF0)
-    starts = np.unique(np.concatenate([at[safe], offsets[:-1][np.diff(offsets) > 0]]))
+    begins = np.zeros(len(raw), bool)
+    begins[at[safe]] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
     bounds = np.append(starts, len(raw)) if len(starts) else np.zeros(1, np.int64)
     units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
     return units, np.searchsorted(starts, offsets)
@@ -131,6 +136,7 @@ class Pair:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -152,18 +158,56 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space behind another character: texts can't be cut at spaces")
         self.space = self.b.piece_to_id("▁")
-
-    def encode(self, units: list[str]) -> list[tuple[bool, list[int], list[int]]]:
-        """(do both give back the unit's bytes?, A ids, B ids) of each unit; no ids if not."""
-        of_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        of_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        out = []
-        for u, a, b in zip(units, of_a, of_b):
-            b = b or [self.space]
-            raw = u.encode()
-            ok = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out.append((True, a, b) if ok else (False, [], []))
-        return out
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # where the order of merges is the order of ids, the same vocabulary read as ranks gives the same ids, several times faster
+        with open(a_path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        self.ranks = None
+        if all(vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) == 256 + i for i, m in enumerate(merges)):
+            import tiktoken
+
+            self.ranks = tiktoken.Encoding("own", pat_str=_PRE_TOKEN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes)}, special_tokens={})
+
+    def of_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has)."""
+        # a unit that ends in white space would lend it to the next one; very long ones are merged in better time by the library
+        together = [self.ranks is not None and len(u) < 1000 and not u[-1].isspace() for u in units]
+        if all(together) and units:
+            ids = np.array(self.ranks.encode_ordinary("".join(units)), np.int32)
+            ends = np.cumsum(self.a_sizes[ids])
+            wanted = np.cumsum([len(u.encode()) for u in units])
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and at[-1] < len(ends) and (ends[at] == wanted).all():
+                return ids, np.diff(at, prepend=-1)
+        if len(units) > 1:
+            plain = self.of_a([u for u, t in zip(units, together) if t]) if any(together) and not all(together) else None
+            if plain is None:
+                each = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+            else:
+                found = iter(np.split(plain[0], np.cumsum(plain[1])[:-1]))
+                each = [next(found) if t else self.a.encode(u, add_special_tokens=False).ids for u, t in zip(units, together)]
+        else:
+            each = [self.a.encode(u, add_special_tokens=False).ids for u in units]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+    def of_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [x or [self.space] for x in self.b.encode([u[1:] for u in units], num_threads=1)]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(do both sides give back the unit's bytes?, A's ids and how many each unit has, B's); no ids if not."""
+        raw = [u.encode() for u in units]
+        sides, ok = [self.of_a(units), self.of_b(units)], np.ones(len(units), bool)
+        for (ids, n), table in zip(sides, (self.a_bytes, self.b_bytes)):
+            if b"".join([table[i] for i in ids.tolist()]) != b"".join(raw):
+                ends = np.cumsum(n).tolist()
+                ok &= [b"".join([table[i] for i in ids[lo:hi].tolist()]) == r for r, lo, hi in zip(raw, [0, *ends], ends)]
+            else:
+                size = np.concatenate([[0], np.cumsum((self.a_sizes if table is self.a_bytes else self.b_sizes)[ids])])[np.concatenate([[0], np.cumsum(n)])]
+                ok &= np.diff(size) == [len(r) for r in raw]
+        if not ok.all():
+            sides = [(ids[np.repeat(ok, n)], n * ok) for ids, n in sides]
+        return ok, *sides
 
 
 @functools.cache
@@ -171,11 +215,14 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def _tokens(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
+def _tokens(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """array<struct<id, n>>: ids and their bytes."""
-    flat = np.array([i for x in ids for i in x], np.int32)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat].astype(np.int32))], ["id", "n"]))
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids.astype(np.int32)), pa.array(sizes[ids].astype(np.int32))], ["id", "n"]))
+
+
+#: Units that are encoded together.
+TOGETHER = 2000
 
 
 def encoded(dictionaries: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -188,14 +235,14 @@ def encoded(dictionaries: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         two = pair(a_path, b_path)
-        sizes = [np.array([len(x) for x in side], np.int64) for side in (two.a_bytes, two.b_bytes)]
-        if max(map(max, sizes)) > BIN:
+        if max(two.a_sizes.max(), two.b_sizes.max()) > BIN:
             raise ValueError("a token is longer than a bin of the range join")
         for whole in batches:
-            for b in tokens.slices(whole, 0):
-                rows = two.encode(b.column(0).to_pylist())
-                ok, a, bb = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ok), _tokens(a, sizes[0]), _tokens(bb, sizes[1]), b.column(1)], ["ok", "a", "b", "places"])
+            for slice_ in tokens.slices(whole, 0):
+                for lo in range(0, slice_.num_rows, TOGETHER):
+                    b = slice_.slice(lo, TOGETHER)
+                    ok, a, bb = two.encode(b.column(0).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array(ok), _tokens(*a, two.a_sizes), _tokens(*bb, two.b_sizes), b.column(1)], ["ok", "a", "b", "places"])
 
     schema = "ok boolean, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>, places array<bigint>"
     return distinct.select("unit", "places").mapInArrow(returning(run), schema).select(F.monotonically_increasing_id().alias("uid"), "*")
@@ -271,6 +318,12 @@ class _Units:
         return upto[self.at[1:]] - upto[self.at[:-1]]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted; ``x`` is sorted in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _per_document(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return upto[at[1:]] - upto[at[:-1]]
@@ -298,7 +351,7 @@ def _texts(units: _Units) -> list[str]:
                     a, b = [], []
             text = ";".join(groups)
             if len(key) < 400:
-                if len(_TEXTS) > 300_000:
+                if len(_TEXTS) > 100_000:
                     _TEXTS.clear()
                 _TEXTS[key] = text
         out.append(text)
@@ -311,6 +364,19 @@ def _codes(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*each, np.zeros(0, "<u4")]).astype(np.int64), at
 
 
+def _lean(run):
+    """``run`` for applyInArrow; memory that a group has freed goes back to the system."""
+
+    @functools.wraps(run)
+    def inner(key, left, right):
+        out = run(key, left, right)
+        del left, right
+        give_back()
+        return out
+
+    return inner
+
+
 _DOCUMENTS = "kind int, block bigint, row int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pair bigint, n bigint"
 
 
@@ -323,6 +389,7 @@ def documents(units: DataFrame, docs: DataFrame) -> DataFrame:
         [("kind", pa.int32()), ("block", pa.int64()), ("row", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("n", pa.int64())]
     )
 
+    @_lean
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         block, u = key[0].as_py(), _Units(left)
         codes, at = _codes(right)
@@ -334,14 +401,15 @@ def documents(units: DataFrame, docs: DataFrame) -> DataFrame:
         for ok, lo, hi in zip(good.tolist(), starts, starts[1:]):
             digests.append(hashlib.sha256(";".join([texts[c] for c in codes[lo:hi].tolist()]).encode()).hexdigest() if ok else "")
         # distinct units of each good document, then its distinct pairs
-        pairs, number = np.unique(u.links >> _B_SHIFT, return_inverse=True)
+        pairs = _distinct(u.links >> _B_SHIFT)
+        number = np.searchsorted(pairs, u.links >> _B_SHIFT)
         owner = np.repeat(np.arange(len(good)), np.diff(at))
         keep = good[owner]
-        own = np.unique(owner[keep] * (len(u.n) + 1) + codes[keep])
+        own = _distinct(owner[keep] * (len(u.n) + 1) + codes[keep])
         doc, code = own // (len(u.n) + 1), own % (len(u.n) + 1)
         each = u.n[code]
         place = np.arange(each.sum()) + np.repeat(u.at[code] - np.cumsum(each) + each, each)
-        held = np.unique(np.repeat(doc, each) * (len(pairs) + 1) + number[place])
+        held = _distinct(np.repeat(doc, each) * (len(pairs) + 1) + number[place])
         n = np.bincount(held % (len(pairs) + 1), minlength=len(pairs))[: len(pairs)]
         some, d, p = np.flatnonzero(n), len(good), np.count_nonzero(n)
         null = lambda k, kind: pa.nulls(k, kind)
@@ -371,6 +439,7 @@ def document_sums(units: DataFrame, docs: DataFrame) -> DataFrame:
     """(block, row, n_best, count_sum): a document's sums over its units (block, code, n_best, count_sum)."""
     schema = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 
+    @_lean
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("code")
         codes, at = _codes(right)

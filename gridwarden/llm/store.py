@@ -17,15 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def returning(run):
     """``run`` for mapInArrow, which at its end gives freed memory back to the system: Python workers live on between tasks."""
 
     def inner(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return inner
 

@@ -3,6 +3,7 @@ import os
 import sys
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -84,10 +85,12 @@ def test_units_give_the_tokens_of_the_whole_text(text):
     units, at = align.cut_units(pa.array([text]))
     names = units.to_pylist()
     assert at.tolist() == [0, len(names)] and "".join(names) == (" " + text if text else "")
-    coded = two.encode(names)
-    if all(ok for ok, _, _ in coded) and text:
-        (a, _), (b, _) = whole(text)
-        assert [i for _, x, _ in coded for i in x] == a and [i for _, _, x in coded for i in x] == b
+    ok, a, b = two.encode(names)
+    if ok.all() and text:
+        for (ids, n), (want, ends) in zip((a, b), whole(text)):
+            assert ids.tolist() == want and n.sum() == len(ids)
+            size, cut = (two.a_sizes if ids is a[0] else two.b_sizes)[ids], np.cumsum(n)
+            assert np.cumsum(size)[cut - 1].tolist() == np.cumsum([len(x.encode()) for x in names]).tolist()
     else:
         assert whole(text) is None
 
