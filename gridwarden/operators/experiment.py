@@ -58,6 +58,19 @@ def bagged(model: Boosted, added: list[list]) -> Boosted:
     return Boosted(model.intercept, model.rate, [*model.trees, *grown], list(model.losses), [*old, *rates])
 
 
+def united(several: list[Boosted]) -> Boosted:
+    """One model with every tree of all of them, each once, in the order in which they are met."""
+    first, trees, rates = several[0], [], []
+    seen: set[int] = set()
+    for m in several:
+        for t, rate in zip(m.trees, m.rates or [m.rate] * len(m.trees)):
+            if id(t) not in seen:
+                seen.add(id(t))
+                trees.append(t)
+                rates.append(rate)
+    return Boosted(first.intercept, first.rate, trees, list(first.losses), rates)
+
+
 def counts(model: Boosted, df: DataFrame, columns: list[str], threshold: float = 0.5) -> dict[str, int]:
     """tp, fp, fn, tn of the model on rows with y."""
     fired = 1 / (1 + F.exp(-F.col("margin"))) >= threshold
@@ -84,7 +97,8 @@ def train_rounds(
 
     ``modes`` names each round's: in a federated round all active nodes train on one model, which all get;
     in a gossip round the elected head is server and client at once: it and its active neighbours train,
-    it sums their trees, and only it has the result.  Going back to federated, the model with the most trees goes on.
+    it unites its group's models and sums their new trees, and only it has the result.  Going back to federated, the union of
+    all active nodes' models goes on, so no tree is lost.
     """
     near = topology.neighbours(kind, n)
     model = start(df, columns, p)
@@ -93,13 +107,13 @@ def train_rounds(
     for r, mode in enumerate(modes, 1):
         up = active(r) if active else list(range(n))
         if mode == "federated":
-            model = max((held[i] for i in up), key=lambda m: len(m.trees))
+            model = united([held[i] for i in up])
             model = bagged(model, [local(rows[i], columns, model, p) for i in up])
             held |= dict.fromkeys(up, model)
         elif mode == "gossip":
             head = up[(r - 1) % len(up)]
             group = [head, *[j for j in near[head] if j in up]]
-            base = max((held[i] for i in group), key=lambda m: len(m.trees))
+            base = united([held[i] for i in group])
             model = held[head] = bagged(base, [local(rows[i], columns, base, p) for i in group])
         else:
             raise ValueError(f"unknown mode {mode}")

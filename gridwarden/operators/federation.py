@@ -103,6 +103,12 @@ def _numbered(pool: DataFrame) -> DataFrame:
     return first.select("node", (F.row_number().over(Window.partitionBy("node").orderBy("ord", "sha256")) - 1).cast("bigint").alias("ord"), "sha256")
 
 
+def union_of(pool: DataFrame) -> DataFrame:
+    """(ord, sha256): all nodes' models, each once, in the order of nodes and of their pools."""
+    first = pool.groupBy("sha256").agg(F.min(F.struct("node", "ord")).alias("f"))
+    return first.select(F.col("f.node").cast("bigint").alias("ord"), "sha256")
+
+
 def seed_all(nodes: DataFrame, models: DataFrame) -> DataFrame:
     """Every node starts with every retained model (federated to gossip)."""
     return nodes.select("node").crossJoin(F.broadcast(models.select("ord", "sha256")))

@@ -3,11 +3,12 @@
 The search is a driver loop by nature, each step depending on the last; what is heavy,
 the evaluation, is not: Gaussian moments per fold, class and feature are aggregated
 once by Spark, and a job over all rows then counts the confusions of many candidate
-subsets together.  Only counts reach the driver.
+subsets together; boosted trees of many subsets are grown in the same passes (``TreeEvaluator``).  Only counts and trees reach the driver.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -128,6 +129,56 @@ class Evaluator:
         return [200 * r["tp"] / max(2 * r["tp"] + r["fp"] + r["fn"], 1) if key and (r := found.get(k)) else 0.0 for k, key in enumerate(keys)]
 
 
+@dataclass
+class TreeEvaluator(Evaluator):
+    """F1 (percent) of feature subsets by cross-validated boosted trees: all subsets of a batch, and all their folds, are grown level by level in the same passes.
+
+    ``rows`` are bins (``trees.Binned``) whose memberships are the folds that a row trains; it tests the fold that it is held out for.
+    """
+
+    growth: object = None
+    folds: int = 0
+
+    def _f1(self, keys: list[tuple[int, ...]]) -> list[float]:
+        from . import trees
+
+        number = {(s, k): s * self.folds + k for s, key in enumerate(keys) if key for k in range(self.folds)}
+        variants = {v: k for (_, k), v in number.items()}
+        allowed = {v: [i - 1 for i in keys[s]] for (s, _), v in number.items()}
+        grown = trees.grow(self.rows, self.growth, variants=variants, allowed=allowed, balanced=True, final_loss=False)
+        seen = {r["model"]: r for r in trees.confusion(self.rows, grown, {v: k for v, k in variants.items() if v in grown}).collect()}
+        out = []
+        for s, key in enumerate(keys):
+            cells = [seen[number[s, k]] for k in range(self.folds) if key and number[s, k] in seen]
+            tp, fp, fn = (sum(c[x] for c in cells) for x in ("tp", "fp", "fn"))
+            out.append(200 * tp / max(2 * tp + fp + fn, 1))
+        return out
+
+
+def tree_evaluator(df: DataFrame, features: list[str], label: str, normal: str, folds: int, seed: int, key: str, growth=None, bins: int = 32) -> TreeEvaluator:
+    """The search's wrapper around boosted trees: all rows are binned once, in ``folds`` stratified folds; attacks are all classes but ``normal``."""
+    from . import trees
+    from .partition import kfold
+
+    rows = kfold(df.select(key, label, *features), folds, seed, key, label)
+    members = F.filter(F.array(*[F.lit(k) for k in range(folds)]), lambda k: k != F.col("fold"))
+    data = trees.binned(rows, features, (F.col(label) != normal).cast("int"), key, members, bins, held=F.col("fold"))
+    return TreeEvaluator(data, np.zeros(0), np.zeros(0), np.zeros(0), growth=growth or trees.Growth(rounds=3, depth=3), folds=folds)
+
+
+def ladder(evaluate: Evaluator, order: list[int]) -> list[tuple[int, list[int], float]]:
+    """(size, features, F1) of the first feature, the first two, and so on, in one batch: the ladder of a ranking."""
+    steps = [order[: k + 1] for k in range(len(order))]
+    return [(len(s), s, f) for s, f in zip(steps, evaluate(steps))]
+
+
+def ablation(evaluate: Evaluator, features: list[int]) -> list[tuple[int | None, float, float]]:
+    """(left out, F1, F1 less that of all features) of the whole set (None) and of the set without each of its features, in one batch."""
+    tried = [features, *[[i for i in features if i != out] for out in features]]
+    got = evaluate(tried)
+    return [(out, f, f - got[0]) for out, f in zip([None, *features], got)]
+
+
 def evaluator(df: DataFrame, features: list[str], label: str, normal: str, folds: int, seed: int, key: str, sample: int | None = None) -> Evaluator:
     """Moments by one aggregation over all rows; subsets are tested on all rows, or with ``sample`` on a stratified sample of so many."""
     from .models import saved
@@ -173,14 +224,34 @@ def _best(evaluate: Evaluator, subsets: list[list[int]], penalty: float) -> Foun
     return top
 
 
+#: Moves of one bit-flip search, and moves without gain after which it ends.
+FLIPS, IDLE_FLIPS = 50, 20
+
+
 def bit_flips(current: Found, pool: list[int], evaluate: Evaluator, penalty: float, rng) -> Found | None:
-    """The best subset that swaps one feature for one outside; a random dozen of swaps at once."""
-    outside = [i for i in pool if i not in current.features]
-    if not outside or not current.features:
-        return None
-    swaps = {(int(rng.integers(len(current.features))), int(rng.integers(len(outside)))) for _ in range(12)}
-    tried = [[*current.features[:a], *current.features[a + 1 :], outside[b]] for a, b in sorted(swaps)]
-    return _best(evaluate, tried, penalty)
+    """FLIPS moves that each swap a random feature for a random one outside, kept if better; ends early after IDLE_FLIPS moves without gain.
+
+    Moves are drawn ahead: as long as none is kept they all start from the same subset, so one job evaluates them together;
+    after one is kept the rest are drawn anew.
+    """
+    best, idle, done = current, 0, 0
+    while done < FLIPS and idle < IDLE_FLIPS:
+        outside = [i for i in pool if i not in best.features]
+        if not outside or not best.features:
+            break
+        ahead = []
+        for _ in range(min(FLIPS - done, IDLE_FLIPS - idle)):
+            a, b = int(rng.integers(len(best.features))), int(rng.integers(len(outside)))
+            ahead.append([*best.features[:a], *best.features[a + 1 :], outside[b]])
+        evaluate.ahead([[t] for t in ahead])
+        for t in ahead:
+            done += 1
+            got = Found(t, evaluate([t])[0])
+            if got.beats(best, penalty):
+                best, idle = got, 0
+                break
+            idle += 1
+    return best if best is not current else None
 
 
 def additions(current: Found, pool: list[int], evaluate: Evaluator, penalty: float, rng, replacing: bool = False) -> Found | None:
@@ -229,6 +300,8 @@ def descend(start: Found, pool: list[int], evaluate: Evaluator, penalty: float,
 #: method -> (neighbourhoods, random order)
 METHODS = {
     "bit_flip": (["bit_flip"], False),
+    "iwss": (["add"], False),
+    "iwssr": (["add_or_replace"], False),
     "vnd": (["add_or_replace", "add", "bit_flip"], False),
     "rvnd": (["add_or_replace", "add", "bit_flip"], True),
 }
@@ -250,26 +323,46 @@ def candidates(name: str, gains: dict[int, float], n: int = 20) -> list[int]:
     return RCL[name](gains, n)
 
 
+def dispatch(name: str, gains: dict[int, float], evaluate: Evaluator, n: int = 20, seed: int = 42) -> tuple[str, list[int]]:
+    """(search, start list) of a run's method, named list-G-search: list F is all features, GR the ``n`` with the largest gains, I what an
+    incremental search with replacement keeps of all features; search VND or RVND.  Any other name is the bit-flip search on the ranked list.
+    """
+    start, _, search = name.upper().partition("-G-")
+    if search not in ("VND", "RVND") or start not in ("F", "GR", "I"):
+        return "bit_flip", candidates("top", gains, n)
+    if start == "I":
+        kept = additions(Found([], 0.0), sorted(gains, key=lambda i: (gains[i], -i)), evaluate, 0.0, np.random.default_rng(seed), replacing=True)
+        return search.lower(), sorted(kept.features) if kept else sorted(gains)
+    return search.lower(), candidates("all" if start == "F" else "top", gains, n)
+
+
 def search_per_attack(df: DataFrame, features: list[str], label: str, normal: str, key: str, folds: int = 3, seed: int = 42, least: int = 1, **more) -> tuple[dict[str, Found], dict[str, int], list[int]]:
     """(found by attack, rows of attacks that were skipped for having fewer than ``least``, sorted union of the features).
 
     Each attack is searched against the normal class with an evaluator of its own.
     """
     sizes = {r[0]: r[1] for r in df.filter(F.col(label) != normal).groupBy(label).agg(F.count("*")).collect()}  # one row for each class
+    pool = more.pop("pool", None) or list(range(1, len(features) + 1))  # the same for every attack
     found, skipped = {}, {a: n for a, n in sizes.items() if n < least}
     for a in sorted(set(sizes) - set(skipped)):
         evaluate = evaluator(df.filter(F.col(label).isin(a, normal)), features, label, normal, folds, seed, key)
-        found[a] = grasp(evaluate, more.pop("pool", None) or list(range(1, len(features) + 1)), seed=seed, **more)
+        found[a] = grasp(evaluate, pool, seed=seed, **more)
     return found, skipped, sorted({i for f in found.values() for i in f.features})
 
 
-def grasp(evaluate: Evaluator, pool: list[int], method: str = "vnd", iterations: int = 5, start: int = 5, penalty: float = 0.0, patience: int = 3, most: int = 5000, seed: int = 42) -> Found:
-    """Greedy randomised search: a random start of ``start`` features, then descent; stops on iterations, evaluations or no gain."""
+def grasp(
+    evaluate: Evaluator, pool: list[int], method: str = "vnd", iterations: int = 5, start: int = 5, penalty: float = 0.0, patience: int = 3, most: int = 5000, seed: int = 42,
+    seconds: float | None = None, clock: Callable[[], float] = time.monotonic,
+) -> Found:
+    """Greedy randomised search: a random start of ``start`` features, then descent; stops on iterations, evaluations, ``seconds`` or no gain."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
     names, random_order = METHODS[method]
+    began = clock()
     rng = np.random.default_rng(seed)
     best, idle = Found([], 0.0), 0
     for _ in range(iterations):
-        if idle >= patience or len(evaluate.log) >= most:
+        if idle >= patience or len(evaluate.log) >= most or seconds is not None and clock() - began >= seconds:
             break
         first = [int(x) for x in rng.choice(pool, min(start, len(pool)), replace=False)]
         got = descend(Found(first, evaluate([first])[0]), pool, evaluate, penalty, rng, names, random_order)

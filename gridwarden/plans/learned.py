@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import control, experiment, federation, models, partition, selection, topology
+from ..operators import control, experiment, federation, models, partition, pools, selection, topology, trees, voting
 from ..session import table
 from .catalogue import KEY, LABEL, NORMAL, SEED, attack, events, scenario_rounds
 
@@ -25,13 +25,20 @@ def gbt_specialists(spark: SparkSession, d: str) -> DataFrame:
     split = partition.holdout(features(spark, d), SEED, KEY, 0.2, LABEL)
     train = partition.attack(split.filter("split = 'train'"), 4, SEED, KEY, LABEL, NORMAL)
     test = split.filter("split = 'val'")
-    fitted = models.fit_specialists(train.withColumn("y", attack().cast("int")), FEATURES, "client_id", rounds=5, depth=3)
-    scored = models.score_specialists(test, fitted, FEATURES, [KEY, LABEL])
-    from ..operators import voting
-
+    data = trees.binned(train, FEATURES, attack().cast("int"), KEY, F.array("client_id"), bins=64)
+    grown = trees.rows_of(spark, trees.grow(data, trees.Growth(rounds=5, depth=3, rate=0.1), balanced=True, final_loss=False))
+    scored = pools.votes(test, grown, FEATURES, [KEY, LABEL]).withColumn("votes", F.size(F.filter("fired", lambda x: x)))
     return voting.fuse(scored, attack(), [1, 2, 3])
 
 
+def softmax_boosting(spark: SparkSession, d: str) -> DataFrame:
+    """(round, loss) of boosting over all five classes at once: one tree a class a round, from 80 % of the rows and of the features."""
+    kinds = F.array(*[F.lit(c) for c in ("click", "error", "purchase", "signup", NORMAL)])
+    data = trees.binned(features(spark, d), FEATURES, F.array_position(kinds, F.col(LABEL)) - 1, KEY, F.array(F.lit(0)))
+    model = trees.grow(data, trees.Growth(rounds=10, depth=4, rows=0.8, features=0.8), classes=5)[0]
+    return spark.createDataFrame([(k + 1, round(x, 6)) for k, x in enumerate(model.losses)], "round int, loss double")
+
+
 def boosting_continued(spark: SparkSession, d: str) -> DataFrame:
     """Training loss after each boosting round: 3 rounds, then 3 more from the model received."""
     train = features(spark, d).withColumn("y", attack().cast("int"))
@@ -103,6 +110,73 @@ def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     return partition.iid(train, n, SEED, KEY), test
 
 
+#: Nodes of the pools' queries, and how their trees are grown.
+POOLED, SHALLOW = 4, trees.Growth(rounds=2, depth=3)
+
+
+def _pooled(spark: SparkSession, d: str) -> tuple[trees.Binned, DataFrame]:
+    """Training rows of POOLED nodes in bins, and test rows with client and y."""
+    train, test = _nodes(spark, d, POOLED)
+    return trees.binned(train, FEATURES, F.col("y"), KEY, F.array("client_id"), bins=32), test
+
+
+def _vote_patterns(test: DataFrame, made: DataFrame) -> DataFrame:
+    return models.saved(pools.patterns(pools.votes(test, made, FEATURES, ["y"]), "y"))
+
+
+def gossip_pool_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """(node, models, n, differ): models in each node's pool after enough gossip rounds, and test rows on which any of them firing differs from any of the federation's."""
+    data, test = _pooled(spark, d)
+    federated = pools.run(spark, data, POOLED, ["federated"], SHALLOW, adopt=False)
+    gossip = pools.run(spark, data, POOLED, ["gossip"] * (2 * POOLED), SHALLOW, adopt=False)
+    pattern, last = _vote_patterns(test, gossip.models), gossip.pools.filter(F.col("round") == 2 * POOLED)
+    reference = pools.decisions(pattern, federated.pools.filter("node = 0"), gossip.models)
+    same = pools.agreement(pools.decisions(pattern, last, gossip.models), reference, "node")
+    return same.join(last.groupBy("node").agg(F.count("*").alias("models")), "node").select("node", "models", "n", "differ")
+
+
+def recall_by_node_round(spark: SparkSession, d: str) -> DataFrame:
+    """(round, mode, node, recall, fpr, models) after each round of federated, gossip without node 1, and federated training; nodes that hold one model go on from it."""
+    data, test = _pooled(spark, d)
+    modes = ["gossip", "gossip", "federated", "gossip", "gossip", "federated"]
+    made = pools.run(spark, data, POOLED, modes, SHALLOW, active=lambda r: [0, 2, 3] if r in (4, 5) else [0, 1, 2, 3])
+    found = pools.counted(pools.decisions(_vote_patterns(test, made.models), made.pools, made.models), F.col("y") == 1, "round", "mode", "node")
+    held = made.pools.groupBy("round", "node").agg(F.count("*").alias("models"))
+    return found.join(held, ["round", "node"]).select("round", "mode", "node", "recall", "fpr", "models")
+
+
+def models_as_nodes_drop(spark: SparkSession, d: str) -> DataFrame:
+    """(gone, models, tp, fp, fn, tn, recall, fpr): the federation's models aggregated again as its nodes drop out one by one."""
+    data, test = _pooled(spark, d)
+    grown = trees.grow(data, SHALLOW, balanced=True)
+    made = trees.rows_of(spark, grown)
+    pool = made.select(F.lit("federated").alias("mode"), F.lit(0).alias("head"), F.lit(0).alias("node"), F.col("model").cast("bigint").alias("ord"), "sha256")
+    gone = spark.createDataFrame([(k, i) for k in range(POOLED) for i in [-1, *range(k)]], "step int, node int")
+    left = pools.without(pool, gone, made.select("sha256", F.col("model").alias("node")))
+    found = pools.counted(pools.decisions(_vote_patterns(test, made), left, made), F.col("y") == 1, "round")
+    return found.join(left.groupBy("round").agg(F.count("*").alias("models")), "round").select(F.col("round").alias("gone"), "models", "tp", "fp", "fn", "tn", "recall", "fpr")
+
+
+def head_and_validators(spark: SparkSession, d: str) -> DataFrame:
+    """(round, node, role, n, accuracy): in each round the head trains and all other nodes score the model that they hold, each on its own test rows."""
+    data, test = _pooled(spark, d)
+    made = pools.roles(spark, data, POOLED, POOLED, SHALLOW)
+    own = partition.iid(test.drop("client_id") if "client_id" in test.columns else test, POOLED, SEED, KEY)
+    return pools.role_accuracy(pools.role_predictions(own, made, FEATURES, "client_id", KEY, "y"), "y")
+
+
+def grasp_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Search with boosted trees as the wrapper, over 12 positions of the embedding; the ladder of the subset found and the loss of leaving each feature out follow in the same table."""
+    names = [f"f{i + 1}" for i in range(12)]
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") % 3 == 0, "c0").otherwise("c1").alias("cls"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(names)])
+    evaluate = selection.tree_evaluator(e, names, "cls", "c0", 3, SEED, "vec_id", trees.Growth(rounds=3, depth=3))
+    found = selection.grasp(evaluate, list(range(1, 13)), "vnd", iterations=3, penalty=0.05, patience=2)
+    rows = [("found", len(found.features), found.features, round(found.f1, 6))]
+    rows += [("ladder", k, s, round(f, 6)) for k, s, f in selection.ladder(evaluate, found.features)]
+    rows += [("without", out, [i for i in found.features if i != out], round(f, 6)) for out, f, _ in selection.ablation(evaluate, found.features) if out is not None]
+    return spark.createDataFrame(rows, "step string, k int, features array<int>, f1 double")
+
+
 def round_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Counts on the test rows after each round: federated, two gossip rounds without node 1, federated again."""
     train, test = _nodes(spark, d, 3)
@@ -134,9 +208,10 @@ def central_vs_distributed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (gbt_specialists, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
+    for f in (gbt_specialists, softmax_boosting, gossip_pool_decisions, recall_by_node_round, models_as_nodes_drop, head_and_validators, grasp_trees, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
 }
 SQL: dict[str, str] = {
+    "gossip_pool_decisions": f"SELECT n::INT AS node, {POOLED}::BIGINT AS models, (SELECT sum(ceil(0.2 * c))::BIGINT FROM (SELECT count(*) AS c FROM events GROUP BY event_type)) AS n, 0::BIGINT AS differ FROM range({POOLED}) t(n)",
     "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type AS attack, count(*) AS n_flags FROM events WHERE event_type <> 'view' GROUP BY ALL",
     "gossip_equals_federated": "SELECT n::INT AS node, (SELECT count(DISTINCT sha256(text)) FROM documents) AS models, true AS equal FROM range(6) t(n)",
     "stream_control": """SELECT * FROM (VALUES ('A_clean', 3, 10, 'gossip', 'node_failure', [3]), ('A_clean', 3, 26, 'federated', 'recovery', CAST([] AS INT[])), ('B_unstable', 3, 10, 'gossip', 'node_failure', [3])) t(scenario, dwell, round, mode, reason, nodes)""",
