@@ -324,31 +324,29 @@ def _level(data: Binned, work: list[_Work], classes: int, start: dict[int, list[
                         total[0, lo : lo + size] += np.bincount(cell - lo, g, size)
                         total[1, lo : lo + size] += np.bincount(cell - lo, h, size)
         some = np.flatnonzero(total[1])
-        extra = np.flatnonzero(losses[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - extra])), pa.array(np.concatenate([total[0, some], losses[extra, 0]])), pa.array(np.concatenate([total[1, some], losses[extra, 1]]))], ["cell", "g", "h"])
-
-    cells = data.rows.mapInArrow(run, "cell bigint, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    place = F.floor(F.col("cell") / bins)
-    split = cells.select(
-        F.floor(place / width).alias("node"), F.pmod(place, F.lit(width)).cast("int").alias("f"), F.pmod("cell", F.lit(bins)).cast("int").alias("bin"), "g", "h", (F.col("cell") < 0).alias("is_loss"), "cell"
-    )
-    upto = Window.partitionBy("node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        extra = np.flatnonzero(losses[:, 1])  # as rows of one bin of a node below 0
+        columns = [some // (bins * width), some // bins % width, some % bins, total[0, some], total[1, some]]
+        tail = [-1 - extra, np.full(len(extra), -1), np.zeros(len(extra), np.int64), losses[extra, 0], losses[extra, 1]]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(columns, tail), kinds)], ["node", "f", "bin", "g", "h"])
+
+    # a task has summed its rows, so cells go to their node's partition at once: one exchange for sums, windows and the choice
+    parts = data.rows.mapInArrow(run, "node bigint, f int, bin int, g double, h double").repartition("node")
+    cells = parts.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     whole = Window.partitionBy("node", "f")
-    sums = split.filter("not is_loss").select("node", "f", "bin", *[F.sum(x).over(w).alias(f"{x}{s}") for x in "gh" for s, w in (("l", upto), ("t", whole))])
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cells.select("node", "f", "bin", *[F.sum(x).over(w).alias(f"{x}{s}") for x in "gh" for s, w in (("l", upto), ("t", whole))])
     square = lambda g, h: g * g / (h + growth.ridge)
     g, h = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
     gain = F.round((square(F.col("gl"), F.col("hl")) + square(g, h) - square(F.col("gt"), F.col("ht"))) / 2, 9)
-    valid = (F.col("hl") >= growth.least) & (h >= growth.least) & (gain > growth.gain)
-    pick = F.struct(F.when(valid, -gain).alias("by"), "f", "bin")
-    best = sums.groupBy("node").agg(
-        F.min_by(F.struct(F.when(valid, F.col("f")).alias("f"), "bin", gain.alias("gain"), "gl", "hl", "gt", "ht"), F.struct(F.when(valid, 0).otherwise(1).alias("no"), pick.alias("pick"))).alias("b")
-    ).select("node", "b.*", F.lit(False).alias("is_loss"))
-    loss = split.filter("is_loss").select(F.col("cell").alias("node"), F.lit(None).cast("int").alias("f"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("gain"), "g", "h", *[F.lit(None).cast("double")] * 2, F.lit(True))
+    valid = (F.col("f") >= 0) & (F.col("hl") >= growth.least) & (h >= growth.least) & (gain > growth.gain)
+    order = F.struct(F.when(valid, 0).otherwise(1).alias("no"), F.when(valid, -gain).alias("by"), "f", "bin")
+    best = sums.groupBy("node").agg(F.min_by(F.struct(F.when(valid, F.col("f")).alias("f"), "bin", gain.alias("gain"), "gl", "hl", "gt", "ht"), order).alias("b")).select("node", "b.*")
     found, lost = {}, {}
     names = {(i, c, k): (w.model, c, n) for i, w in enumerate(work) for c in range(classes) for n, k in w.open[c].items()}
-    for r in best.union(loss).collect():
-        if r["is_loss"]:
-            lost[work[-1 - r["node"]].model] = (r["gl"], r["hl"])
+    for r in best.collect():
+        if r["node"] < 0:
+            lost[work[-1 - r["node"]].model] = (r["gt"], r["ht"])
         else:
             k, c, i = r["node"] % nodes, r["node"] // nodes % classes, r["node"] // nodes // classes
             found[names[i, c, k]] = r

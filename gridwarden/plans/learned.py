@@ -110,6 +110,34 @@ def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     return partition.iid(train, n, SEED, KEY), test
 
 
+def timed_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, day, n, nodes): each kind of event's rounds of a day, closed by timers on a stream that arrives out of order in several batches."""
+    from ..streaming import rounds
+
+    got = rounds.replay(events(spark, d), F.col(LABEL), F.col("user_id") % 8, 86_400_000_000)
+    day = F.floor(F.col("round_us") / 86_400_000_000).cast("int")
+    return got.select(F.col("key").alias("kind"), day.alias("day"), "n", F.array_join("nodes", ",").alias("nodes"), "late")
+
+
+def trail_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """(type, n, numbers): the events as a trail, written as a stream whose batches are then delivered again, and read as a stream by its offsets."""
+    from ..session import shared_root
+    from ..sources import trail_stream
+
+    trail_stream.register(spark)
+    root = shared_root(spark)
+    events(spark, d).select(F.col(LABEL).alias("type"), F.dayofmonth("ts").alias("round"), F.col(KEY).cast("string").alias("detail")).write.parquet(f"{root}/in")
+    source = spark.readStream.schema("type string, round int, detail string").parquet(f"{root}/in")
+    path = f"{root}/trail".removeprefix("file://") if root.startswith("file://") else f"{root}/trail"
+    for again in ("w1", "w2"):  # the second run has lost its checkpoint
+        source.writeStream.format("trail").option("path", path).option("order", "round").option("checkpointLocation", f"{root}/{again}").trigger(availableNow=True).start().awaitTermination()
+    read = spark.readStream.format("trail").load(path)
+    read.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/r").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(read.schema).parquet(f"{root}/out")
+    total = seen.agg(F.count_distinct("seq").alias("numbers"), F.max("seq").alias("last"))
+    return seen.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("detail").alias("events")).crossJoin(F.broadcast(total))
+
+
 #: Nodes of the pools' queries, and how their trees are grown.
 POOLED, SHALLOW = 4, trees.Growth(rounds=2, depth=3)
 
@@ -208,9 +236,12 @@ def central_vs_distributed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (gbt_specialists, softmax_boosting, gossip_pool_decisions, recall_by_node_round, models_as_nodes_drop, head_and_validators, grasp_trees, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
+    for f in (gbt_specialists, softmax_boosting, timed_rounds, trail_replayed, gossip_pool_decisions, recall_by_node_round, models_as_nodes_drop, head_and_validators, grasp_trees, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
 }
 SQL: dict[str, str] = {
+    "timed_rounds": """SELECT event_type AS kind, (epoch_us(date_trunc('day', ts)) // 86400000000)::INT AS day, count(*) AS n,
+  array_to_string(list_sort(list(DISTINCT (user_id % 8)::INT)), ',') AS nodes, false AS late FROM events GROUP BY ALL""",
+    "trail_replayed": """SELECT event_type AS type, count(*) AS n, count(DISTINCT event_id) AS events, (SELECT count(*) FROM events) AS numbers, (SELECT count(*) FROM events) AS last FROM events GROUP BY ALL""",
     "gossip_pool_decisions": f"SELECT n::INT AS node, {POOLED}::BIGINT AS models, (SELECT sum(ceil(0.2 * c))::BIGINT FROM (SELECT count(*) AS c FROM events GROUP BY event_type)) AS n, 0::BIGINT AS differ FROM range({POOLED}) t(n)",
     "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type AS attack, count(*) AS n_flags FROM events WHERE event_type <> 'view' GROUP BY ALL",
     "gossip_equals_federated": "SELECT n::INT AS node, (SELECT count(DISTINCT sha256(text)) FROM documents) AS models, true AS equal FROM range(6) t(n)",
