@@ -35,6 +35,8 @@ def header(spark: SparkSession, path: str) -> Header:
             nominal.append("{" in kind)
             if "{" in kind:
                 classes = [c.strip() for c in kind[kind.index("{") + 1 : kind.rindex("}")].split(",")]
+        elif line and line[0] not in "@%":  # rows begin here: no more of the file is looked at
+            break
     raise ValueError(f"{path} has no @data line")
 
 
