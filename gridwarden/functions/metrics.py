@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import student
+from .ordering import cumulative
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -78,16 +79,9 @@ def average_precision(df: DataFrame, score: str, attack: Column, digits: int = 6
     Scores are aggregated first, so the ordered pass sees one row for each distinct score.
     """
     steps = df.groupBy(F.col(score).alias("s")).agg(count_if(attack).alias("p"), F.count("*").alias("n"))
-    # scores lie in ranges of about equal size; what stands above a range comes from one row for each
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranges = steps.repartitionByRange(int(parts), F.desc("s")).withColumn("part", F.spark_partition_id())
-    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    bases = totals.select("part", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("tn").over(above), F.lit(0)).alias("bn"), F.sum("tp").over(Window.partitionBy()).alias("all_p"))
-    down = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranges.withColumns({"ip": F.sum("p").over(down), "in_": F.sum("n").over(down)}).join(F.broadcast(bases), "part")
-    step = F.col("p") / F.col("all_p") * (F.col("bp") + F.col("ip")) / (F.col("bn") + F.col("in_"))
-    return placed.agg(F.round(F.sum(step), digits).alias("average_precision"))
+    all_p = steps.agg(F.sum("p").alias("all_p"))
+    placed = cumulative(steps, {"tp": F.col("p"), "seen": F.col("n")}, [F.desc("s")]).crossJoin(F.broadcast(all_p))
+    return placed.agg(F.round(F.sum(F.col("p") / F.col("all_p") * F.col("tp") / F.col("seen")), digits).alias("average_precision"))
 
 
 def mean_ci95(df: DataFrame, value: str, *by: str, digits: int = 6) -> DataFrame:
@@ -117,12 +111,21 @@ def holm(df: DataFrame, p: str = "p_raw", name: str = "contrast") -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, *by: str, digits: int = 6) -> DataFrame:
-    """Mean, median and 95th percentile with linear interpolation."""
-    return df.groupBy(*by).agg(
-        F.round(F.avg(value), digits).alias("mean"),
-        F.round(F.percentile(value, 0.5), digits).alias("median"),
-        F.round(F.percentile(value, 0.95), digits).alias("p95"),
-    )
+    """Mean, median and 95th percentile with linear interpolation; nulls count nowhere.
+
+    Equal values are counted first, and the values on both sides of a percentile are found by running counts, so no task holds all values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    running = cumulative(counts, {"_upto": F.col("_n")}, [F.col("_v")], list(by))
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by]
+    both = running.alias("r").join(whole.alias("w"), keys).select(*[f"r.{c}" for c in by], "_v", "_upto", "_all", "_mean") if by else running.crossJoin(F.broadcast(whole))
+    at = lambda q: (F.col("_all") - 1) * F.lit(q)
+    first = lambda place, name: F.min(F.when(F.col("_upto") > place, F.col("_v"))).alias(name)
+    shares = {"median": 0.5, "p95": 0.95}
+    found = both.groupBy(*by).agg(F.first("_mean").alias("_mean"), F.first("_all").alias("_all"), *[f(at(q)) for k, q in shares.items() for f in (lambda x, k=k: first(F.floor(x), f"_lo_{k}"), lambda x, k=k: first(F.ceil(x), f"_hi_{k}"))])
+    between = lambda k, q: F.round(F.col(f"_lo_{k}") + (at(q) - F.floor(at(q))) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")), digits).alias(k)
+    return found.select(*by, F.round("_mean", digits).alias("mean"), *[between(k, q) for k, q in shares.items()])
 
 
 def view_overlap(votes: DataFrame, views: list[int], fired: str = "fired") -> DataFrame:

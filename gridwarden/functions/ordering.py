@@ -41,3 +41,37 @@ def chunk(n: int | Column, r: Column | None = None, size: Column | None = None)
     q, extra = F.floor(size / n), size % n
     long = extra * (q + 1)
     return F.when(r < long, F.floor(r / (q + 1))).otherwise(extra + F.floor((r - long) / F.greatest(q, F.lit(1)))).cast("int")
+
+
+def cumulative(df: DataFrame, sums: dict[str, Column], order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """``df`` with running sums (the row included) over all rows in this order, or over those of each key of ``by``, without a task that sees them all.
+
+    Rows are put into ranges of the order, which are written with their numbers, so that these can't change when a task runs again. Inside a
+    range a window adds up; what stands before a range comes from the totals of ranges: for keys in several ranges, two rows a range at most.
+    Rows that are equal in the order follow each other in any, but one, way.
+    """
+    from ..operators.models import saved
+
+    by = by or []
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by]
+    marked = df.withColumns({f"_s{i}": v for i, v in enumerate(sums.values())})
+    ranged = saved(marked.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    names = [f"_s{i}" for i in range(len(sums))]
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(c) for c in names])
+    if by:
+        several = totals.groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1")
+        totals = totals.alias("t").join(several.alias("k"), [F.col(f"t.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]).select("t.*")
+    along = (Window.partitionBy(*by) if by else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[F.sum(c).over(along).alias(f"_b{c}") for c in names])
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    placed = ranged.withColumns({f"_i{c}": F.sum(c).over(inside) for c in names}).join(F.broadcast(bases), on, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_i{c}") + F.coalesce(F.col(f"_b{c}"), F.lit(0))).alias(k) for k, c in zip(sums, names)])
+
+
+def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """``df`` with each row's place in the order, from 0."""
+    return cumulative(df, {name: F.lit(1).cast("bigint")}, order).withColumn(name, F.col(name) - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 
 #: Rows of a query set that may be broadcast.
 MOST_BROADCAST = 5_000
@@ -118,7 +120,8 @@ def retain(retained: DataFrame, new: DataFrame) -> DataFrame:
     """Retained union after a round: what was kept first, then what is new."""
     both = retained.select(F.lit(0).alias("age"), "ord", "sha256").unionByName(new.select(F.lit(1).alias("age"), "ord", "sha256"))
     first = both.groupBy("sha256").agg(F.min(F.struct("age", "ord")).alias("f"))
-    return first.select((F.row_number().over(Window.orderBy("f.age", "f.ord", "sha256")) - 1).cast("bigint").alias("ord"), "sha256")
+    placed = numbered(first.select("f.age", F.col("f.ord").alias("old"), "sha256"), "ord", [F.col("age"), F.col("old"), F.col("sha256")])
+    return placed.select("ord", "sha256")
 
 
 def weighted_loss(df: DataFrame, *by: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 
 def neighbours(kind: str, n: int, adjacency: dict[int, list[int]] | None = None) -> list[list[int]]:
     """Neighbour lists, in order: star (node 0 is the centre), ring, chain, or a given adjacency; unknown names give a ring."""
@@ -90,5 +92,5 @@ def node_of_client(clients: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """client -> node: a learned pair, else a numeric id below n, else the rank among the rest modulo n."""
     joined = clients.join(known, "cid", "left").withColumn("_num", F.expr("try_cast(cid as int)"))
     direct = F.coalesce("node", F.when((F.col("_num") >= 0) & (F.col("_num") < n), F.col("_num")))
-    rank = F.row_number().over(Window.orderBy("cid")) - 1
-    return joined.select("cid", F.coalesce(direct, rank % n).cast("int").alias("node"))
+    placed = numbered(joined.withColumn("_direct", direct).select("cid", "_direct"), "_rank", [F.col("cid")])
+    return placed.select("cid", F.coalesce("_direct", F.col("_rank") % n).cast("int").alias("node"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import cumulative
+
 #: The trail's fields and the kinds of event.
 _INTS = T.ArrayType(T.IntegerType())
 SCHEMA = (
@@ -63,10 +65,10 @@ def append(trail_path: str, events: DataFrame, order: list[str]) -> None:
 def switches(trail: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each architecture change with the nodes that failed since the one before; ``reason`` follows if none is given."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy("seq")
     change = (F.col("type") == "architecture_change").cast("int")
     given = F.col("reason") if "reason" in trail.columns else F.lit(None).cast("string")
-    grouped = trail.withColumns({"_given": given, "_grp": F.coalesce(F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # changes before each event: running counts, so that one long trail is many tasks
+    grouped = cumulative(trail.withColumn("_given", given), {"_upto": change}, [F.col("seq")], by).withColumn("_grp", F.col("_upto") - change)
     failed = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("type") == "node_failure", F.col("failed_nodes"))))))
     is_change = F.col("type") == "architecture_change"
     out = grouped.groupBy(*by, "_grp").agg(F.max(F.when(is_change, F.col("seq"))).alias("seq"), failed.alias("failed_nodes"), F.max(F.when(is_change, F.col("_given"))).alias("_given"))
