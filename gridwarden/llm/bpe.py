@@ -15,7 +15,8 @@ of each, and the text of any id sequence is one gather.
 
 Cases: a null text is an empty text; an empty text has no ids and decodes to an
 empty string; strings of special tokens become their ids, as in the library;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; extra columns are ignored; an empty table gives no row; a very long text is a slice of its own, and a
+very long word one pass of the automaton, in time that grows with its length.
 """
 
 from __future__ import annotations

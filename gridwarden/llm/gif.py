@@ -19,8 +19,8 @@ changes in place.
 64-pixel wide grey image, at most ``ROWS`` rows a frame, so a long payload is an animation.
 
 Cases: null media has no frame, and its features are null; a damaged file yields the frames before the damage and
-an ``error``; an empty text is one row of 64 zero samples; repeated rows give equal
-results; extra columns are ignored.
+an ``error``; an empty text is one row of 64 zero samples; a very long text is an animation of many frames; repeated rows give equal
+results; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations

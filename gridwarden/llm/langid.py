@@ -8,15 +8,16 @@ step is one gather, one small matrix product and the gates, done for all windows
 batch at once in single precision.
 
 Training is back-propagation through time in numpy with Adam on the driver.  It takes
-about ``SAMPLE`` labelled documents (documented bound: in each language the rows whose hash of
-doc_id lies below the language's share, at least one share each) and reads them whole:
+about ``SAMPLE`` labelled documents (documented bound: in each language those whose text's hash
+lies below the language's share, at least one share each; copies of a text count once) and reads them whole:
 executors cut every sampled text into windows, and every window is trained on in each
 epoch, languages weighted alike.  Its random numbers have a fixed seed.
 
 Cases: ``und`` with score 0 for a null or empty text or one without a letter; a label
 that is null is never learned; with no labelled row every text is ``und``; with one
-label every text with a letter gets it; repeated rows get equal results; extra
-columns are ignored.
+label every text with a letter gets it; of labels that tie the first in the model's order counts; repeated rows get equal results; rows
+without a doc_id, or of one, are sampled like any others and never held out; a very long text is many windows; an empty table gives no row; extra
+columns pass as they are, and columns named like the results are replaced.
 """
 
 from __future__ import annotations

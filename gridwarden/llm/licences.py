@@ -13,8 +13,8 @@ has some thousand rows at most whatever the documents are, so it is broadcast; d
 are neither shuffled nor collected.
 
 Cases: a null or empty text, or one without a letter or digit, has the digest of the
-empty text and no licence; repeated rows get equal results; extra columns are
-ignored; an empty table gives no row.
+empty text and no licence; of two known licences with one digest the first by identifier counts; a very long text is one digest; repeated rows get
+equal results; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ are not shuffled again.
 
 Cases: a null text is empty; an empty text has no ids of its own, only the end id; rows
 with equal doc_id are kept, ordered by their Merkle root; a null doc_id comes first;
-extra columns are ignored; an empty table gives an empty store.
+extra columns are ignored; an empty table gives an empty store; a very long text is a slice of its own and, like any, chunks of MOST ids at most.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ Prediction makes one look-up for each distinct word of a batch.
 Cases: a null or empty text has probability 0 in all categories and is not toxic; with
 no labelled row, or only one class, nothing is toxic; without languages there is one
 category; repeated rows get equal results and of rows with one doc_id one is sampled (that with the smallest digest);
-labels whose doc_id repeats count once, toxic if any is; extra columns are ignored.
+labels whose doc_id repeats count once, toxic if any is; a very long text counts with all its words; an empty table gives no row;
+extra columns pass as they are.
 """
 
 from __future__ import annotations
