@@ -2,7 +2,7 @@ import pytest
 from oracle import same
 
 from gridwarden.operators import models
-from gridwarden.plans import catalogue, learned, rounds  # noqa: F401
+from gridwarden.plans import catalogue, joined, learned, rounds  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
