@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import control, experiment, federation, models, partition, pools, selection, topology, trees, voting
+from ..operators import control, experiment, federation, models, partition, pools, random_trees, selection, topology, trees, voting
 from ..session import table
 from .catalogue import KEY, LABEL, NORMAL, SEED, attack, events, scenario_rounds
 
@@ -110,6 +110,14 @@ def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     return partition.iid(train, n, SEED, KEY), test
 
 
+def random_cut_trees(spark: SparkSession, d: str) -> DataFrame:
+    """(y, n, right): test rows of each class of a rule, and how many of them five trees with random thresholds predict."""
+    train, test = _nodes(spark, d, 2)
+    made = random_trees.grow(train, FEATURES, "y", 2, trees=5, depth=8, features=2, least=5)
+    scored = random_trees.predict(test, made, FEATURES)
+    return scored.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("y")).alias("right"))
+
+
 def timed_rounds(spark: SparkSession, d: str) -> DataFrame:
     """(kind, day, n, nodes): each kind of event's rounds of a day, closed by timers on a stream that arrives out of order in several batches."""
     from ..streaming import rounds
@@ -236,7 +244,7 @@ def central_vs_distributed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (gbt_specialists, softmax_boosting, timed_rounds, trail_replayed, gossip_pool_decisions, recall_by_node_round, models_as_nodes_drop, head_and_validators, grasp_trees, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
+    for f in (gbt_specialists, softmax_boosting, random_cut_trees, timed_rounds, trail_replayed, gossip_pool_decisions, recall_by_node_round, models_as_nodes_drop, head_and_validators, grasp_trees, boosting_continued, gossip_equals_federated, grasp_nb, classifier_cv, decentralised_switches, importance_by_class, stream_control, stream_window_counts, round_metrics, cyclic_boosting, client_report, central_vs_distributed)
 }
 SQL: dict[str, str] = {
     "timed_rounds": """SELECT event_type AS kind, (epoch_us(date_trunc('day', ts)) // 86400000000)::INT AS day, count(*) AS n,
