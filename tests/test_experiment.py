@@ -165,3 +165,40 @@ def test_scored_stream(spark, rows, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "scores"))
     assert got.count() == 240 and got.filter("fired = (margin >= 0)").count() == 240
     assert spark.read.parquet(str(tmp_path / "out" / "timing")).filter("us_per_row > 0").agg(F.sum("rows")).first()[0] == 240
+
+
+def by_hand(model, df):
+    """tp, fp, fn, tn of a model's own margins."""
+    out = [0, 0, 0, 0]
+    for r in model.margin(models.assemble(df, ["a", "b"])).select("y", "margin").collect():
+        out[(0 if r.y else 1) if r.margin >= 0 else (2 if r.y else 3)] += 1
+    return tuple(out)
+
+
+def test_reports_hold_the_counts_of_the_models(rows):
+    """Each node's own model, and one central model with as many trees, on the same rows."""
+    model, held = experiment.train_rounds(rows, ["a", "b"], "client", 3, ["gossip", "gossip"])
+    for r in experiment.client_report(held, rows, ["a", "b"]).collect():
+        assert (r.tp, r.fp, r.fn, r.tn) == by_hand(held[r.client], rows) and r.trees == len(held[r.client].trees)
+        assert r.recall == pytest.approx(100 * r.tp / (r.tp + r.fn), abs=1e-5)
+    got = {r.run: r for r in experiment.central_vs_distributed(rows, rows, ["a", "b"], "client", 3, 1).collect()}
+    apart, _ = experiment.train_rounds(rows, ["a", "b"], "client", 3, ["federated"])
+    central = models.boost(rows, ["a", "b"], len(apart.trees), 3, 0.3)
+    for name, m in (("distributed", apart), ("central", central)):
+        assert (got[name].tp, got[name].fp, got[name].fn, got[name].tn) == by_hand(m, rows) and got[name].trees == 3
+
+
+def test_cross_validated_counts_of_naive_bayes(spark, rows):
+    """Gaussian naive Bayes by hand on each fold; a row counts once, in the fold that it tests."""
+    df = rows.withColumn("fold", F.col("id") % 4)
+    got = {r.fold: (r.tp, r.fp, r.fn, r.tn) for r in models.cross_validate(df, ["a", "b"], ["naive_bayes"], 4).collect()}
+    data = np.array([(r.id % 4, r.a, r.b, r.y) for r in rows.collect()])
+    for k in range(4):
+        train, test = data[data[:, 0] != k], data[data[:, 0] == k]
+        score = []
+        for c in (0, 1):
+            x = train[train[:, 3] == c][:, 1:3]
+            mean, var = x.mean(0), x.var(0)
+            score.append(np.log(len(x) / len(train)) - 0.5 * (np.log(2 * np.pi * var) + (test[:, 1:3] - mean) ** 2 / var).sum(1))
+        fired, truth = score[1] > score[0], test[:, 3] == 1
+        assert got[k] == ((fired & truth).sum(), (fired & ~truth).sum(), (~fired & truth).sum(), (~fired & ~truth).sum())
