@@ -137,19 +137,15 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import json
-        import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {c: i for i, c in enumerate(tokens.byte_alphabet())}
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, merges = model["vocab"], model["merges"]
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte[c] for c in token)
@@ -160,18 +156,31 @@ class Pair:
         self.space = self.b.piece_to_id("▁")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         # where the order of merges is the order of ids, the same vocabulary read as ranks gives the same ids, several times faster
-        with open(a_path, encoding="utf-8") as f:
-            merges = json.load(f)["model"]["merges"]
         self.ranks = None
         if all(vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) == 256 + i for i, m in enumerate(merges)):
             import tiktoken
 
             self.ranks = tiktoken.Encoding("own", pat_str=_PRE_TOKEN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes)}, special_tokens={})
 
+    @functools.cached_property
+    def a(self):
+        """The tokenizers library's A; where ranks serve, most workers never load it."""
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.a_path)
+        out.encode_special_tokens = True
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def of_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units, how many each has)."""
         # a unit that ends in white space would lend it to the next one; very long ones are merged in better time by the library
-        together = [self.ranks is not None and len(u) < 1000 and not u[-1].isspace() for u in units]
+        short = [self.ranks is not None and len(u) < 1000 for u in units]
+        together = [s and not u[-1].isspace() for s, u in zip(short, units)]
         if all(together) and units:
             ids = np.array(self.ranks.encode_ordinary("".join(units)), np.int32)
             ends = np.cumsum(self.a_sizes[ids])
@@ -179,15 +188,11 @@ class Pair:
             at = np.searchsorted(ends, wanted)
             if len(ends) and at[-1] < len(ends) and (ends[at] == wanted).all():
                 return ids, np.diff(at, prepend=-1)
-        if len(units) > 1:
-            plain = self.of_a([u for u, t in zip(units, together) if t]) if any(together) and not all(together) else None
-            if plain is None:
-                each = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-            else:
-                found = iter(np.split(plain[0], np.cumsum(plain[1])[:-1]))
-                each = [next(found) if t else self.a.encode(u, add_special_tokens=False).ids for u, t in zip(units, together)]
-        else:
-            each = [self.a.encode(u, add_special_tokens=False).ids for u in units]
+            together = [False] * len(units)
+        plain = self.of_a([u for u, t in zip(units, together) if t]) if any(together) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        found = iter(np.split(plain[0], np.cumsum(plain[1])[:-1]))
+        alone = lambda u, s: self.ranks.encode_ordinary(u) if s else self.a.encode(u, add_special_tokens=False).ids
+        each = [next(found) if t else alone(u, s) for u, s, t in zip(units, short, together)]
         return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
 
     def of_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,22 +235,38 @@ def encoded(dictionaries: DataFrame, a_path: str, b_path: str) -> DataFrame:
     each = dictionaries.select("block", F.posexplode("units").alias("code", "unit"))
     place = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code"))
     # places of one list are bounded by the region's blocks
-    region = F.shiftright("block", BLOCK_BITS + REGION_BITS)
-    distinct = each.groupBy(region.alias("region"), "unit").agg(F.collect_list(place).alias("places"))
+    region = F.shiftright("block", BLOCK_BITS + REGION_BITS).cast("int")
+    lying = each.select(region.alias("region"), "unit", place.alias("place")).repartition("region", "unit").sortWithinPartitions("region", "unit", "place")
 
     def run(batches):
         two = pair(a_path, b_path)
         if max(two.a_sizes.max(), two.b_sizes.max()) > BIN:
             raise ValueError("a token is longer than a bin of the range join")
-        for whole in batches:
-            for slice_ in tokens.slices(whole, 0):
-                for lo in range(0, slice_.num_rows, TOGETHER):
-                    b = slice_.slice(lo, TOGETHER)
-                    ok, a, bb = two.encode(b.column(0).to_pylist())
-                    yield pa.RecordBatch.from_arrays([pa.array(ok), _tokens(*a, two.a_sizes), _tokens(*bb, two.b_sizes), b.column(1)], ["ok", "a", "b", "places"])
+
+        def made(units: pa.Array, places: np.ndarray, starts: np.ndarray):
+            bounds = np.append(starts, len(places))
+            for lo in range(0, len(starts), TOGETHER):
+                hi = min(lo + TOGETHER, len(starts))
+                ok, a, b = two.encode(units.take(pa.array(starts[lo:hi])).to_pylist())
+                lists = pa.ListArray.from_arrays((bounds[lo : hi + 1] - bounds[lo]).astype(np.int32), pa.array(places[bounds[lo] : bounds[hi]]))
+                yield pa.RecordBatch.from_arrays([pa.array(ok), _tokens(*a, two.a_sizes), _tokens(*b, two.b_sizes), lists], ["ok", "a", "b", "places"])
+
+        # rows are sorted, so equal units lie together; the last unit of a batch waits for the next one
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            units, regions = b.column(1), b.column(0).to_numpy()
+            new = np.ones(b.num_rows, bool)
+            new[1:] = np.asarray(pc.not_equal(units.slice(1), units.slice(0, b.num_rows - 1))) | (regions[1:] != regions[:-1])
+            starts = np.flatnonzero(new)
+            held = b.slice(starts[-1])
+            yield from made(units, b.column(2).to_numpy()[: starts[-1]], starts[:-1])
+        if held is not None:
+            yield from made(held.column(1), held.column(2).to_numpy(), np.zeros(1, np.int64))
 
     schema = "ok boolean, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>, places array<bigint>"
-    return distinct.select("unit", "places").mapInArrow(returning(run), schema).select(F.monotonically_increasing_id().alias("uid"), "*")
+    return lying.mapInArrow(returning(run), schema).select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
 # ---- alignment -----------------------------------------------------------------------------------------------
@@ -302,7 +323,7 @@ class _Units:
     """A block's units by code: their links, one after the other."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.combine_chunks().sort_by("code")
+        table = table.sort_by("code")
         code = table.column("code").to_numpy()
         assert len(code) == 0 or code[-1] == len(code) - 1
         self.ok = np.asarray(table.column("ok"), bool)
@@ -329,35 +350,52 @@ def _per_document(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return upto[at[1:]] - upto[at[:-1]]
 
 
-_TEXTS: dict[bytes, str] = {}
+#: Units whose texts are written together.
+WRITTEN = 20_000
 
 
 def _texts(units: _Units) -> list[str]:
-    """`a1,a2|b1;a3|b2`: the groups of each unit.  Words come again from block to block, so a worker remembers some."""
-    out, raw = [], units.links.tobytes()
-    at = units.at.tolist()
-    for lo, hi in zip(at, at[1:]):
-        key = raw[8 * lo : 8 * hi]
-        text = _TEXTS.get(key)
-        if text is None:
-            groups, a, b = [], [], []
-            for x in units.links[lo:hi].tolist():
-                if x & 2:
-                    a.append(x >> _A_SHIFT)
-                if x & 1:
-                    b.append(x >> _B_SHIFT & (1 << _A_SHIFT - _B_SHIFT) - 1)
-                if x & 3 == 3:
-                    groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                    a, b = [], []
-            text = ";".join(groups)
-            if len(key) < 400:
-                if len(_TEXTS) > 100_000:
-                    _TEXTS.clear()
-                _TEXTS[key] = text
-        out.append(text)
+    """`a1,a2|b1;a3|b2`: the groups of each unit."""
+    out: list[str] = []
+    for lo in range(0, len(units.n), WRITTEN):
+        n, at = units.n[lo : lo + WRITTEN], units.at[lo : lo + WRITTEN + 1]
+        out += _written(n, at - at[0], units.links[at[0] : at[-1]])
     return out
 
 
+def _written(sizes: np.ndarray, starts: np.ndarray, links: np.ndarray) -> list[str]:
+    """The groups of units with so many links, the first at ``starts``.
+
+    Tokens are put in the order in which they are written (of each group A's, then B's), each with the character before it;
+    then the characters of all tokens are one buffer, of which a unit is a slice.
+    """
+    ends_a, ends_b = (links & 2) > 0, (links & 1) > 0
+    last = ends_a & ends_b
+    group = np.cumsum(last) - last  # links of a group come one after the other
+    n = int(last.sum())
+    in_a, in_b = (np.bincount(group[e], minlength=n)[:n] for e in (ends_a, ends_b))
+    begin = np.concatenate([[0], np.cumsum(in_a + in_b)])
+    ids, before = np.zeros(begin[-1], np.int32), np.zeros(begin[-1], np.int8)
+    for e, off, value in ((ends_a, begin[:-1], links >> _A_SHIFT), (ends_b, begin[:-1] + in_a, links >> _B_SHIFT & (1 << _A_SHIFT - _B_SHIFT) - 1)):
+        g = group[e]
+        rank = np.arange(len(g)) - np.searchsorted(g, g)
+        ids[off[g] + rank] = value[e]
+    first = np.zeros(n, bool)
+    some = sizes > 0
+    first[group[starts[:-1][some]]] = True
+    before[begin[:-1]] = np.where(first, 0, 1)  # nothing at a unit's begin, a semicolon at a group's
+    before[:] = np.where(np.isin(np.arange(len(before)), begin[:-1], assume_unique=True), before, 2)
+    before[begin[:-1] + in_a] = 3
+    mark = pa.array(["", ";", ",", "|"], pa.large_string()).take(pa.array(before))
+    written = pc.binary_join_element_wise(mark, pa.array(ids).cast(pa.large_string()), pa.scalar("", pa.large_string()))
+    at = np.frombuffer(written.buffers()[1], np.int64)[written.offset : written.offset + len(written) + 1] if len(written) else np.zeros(1, np.int64)
+    own = group[np.minimum(starts[:-1], len(links) - 1)] if len(links) else np.zeros(len(sizes), np.int64)
+    token = np.append(np.where(some, begin[own], begin[-1]), begin[-1])
+    # a unit without tokens is an empty slice at the place where the next one begins
+    token = np.minimum.accumulate(token[::-1])[::-1]
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at[token].astype(np.int64).tobytes()), written.buffers()[2] or pa.py_buffer(b"")).to_pylist()
+
+
 def _codes(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     each = _unpacked(docs.column("codes").to_pylist())
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
@@ -377,6 +415,29 @@ def _lean(run):
     return inner
 
 
+#: Cells (document, pair) that are looked at together.
+CELLS = 1 << 19
+
+
+def _held(u: _Units, pairs: np.ndarray, number: np.ndarray, codes: np.ndarray, at: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """How many of the good documents hold each of a block's pairs; a few documents at a time."""
+    n, width = np.zeros(len(pairs), np.int64), len(pairs) + 1
+    upto = np.concatenate([[0], np.cumsum(u.n[codes])])[at]
+    lo = 0
+    while lo < len(good):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CELLS, "right")) - 1)
+        owner = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        keep = good[lo:hi][owner]
+        own = _distinct(owner[keep] * len(u.n) + codes[at[lo] : at[hi]][keep])  # distinct units of each document
+        doc, code = own // max(1, len(u.n)), own % max(1, len(u.n))
+        each = u.n[code]
+        place = np.arange(each.sum()) + np.repeat(u.at[code] - np.cumsum(each) + each, each)
+        held = _distinct(np.repeat(doc, each) * width + number[place])
+        n += np.bincount(held % width, minlength=width)[: len(pairs)]
+        lo = hi
+    return n
+
+
 _DOCUMENTS = "kind int, block bigint, row int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pair bigint, n bigint"
 
 
@@ -400,17 +461,9 @@ def documents(units: DataFrame, docs: DataFrame) -> DataFrame:
         texts, digests, starts = _texts(u), [], at.tolist()
         for ok, lo, hi in zip(good.tolist(), starts, starts[1:]):
             digests.append(hashlib.sha256(";".join([texts[c] for c in codes[lo:hi].tolist()]).encode()).hexdigest() if ok else "")
-        # distinct units of each good document, then its distinct pairs
         pairs = _distinct(u.links >> _B_SHIFT)
         number = np.searchsorted(pairs, u.links >> _B_SHIFT)
-        owner = np.repeat(np.arange(len(good)), np.diff(at))
-        keep = good[owner]
-        own = _distinct(owner[keep] * (len(u.n) + 1) + codes[keep])
-        doc, code = own // (len(u.n) + 1), own % (len(u.n) + 1)
-        each = u.n[code]
-        place = np.arange(each.sum()) + np.repeat(u.at[code] - np.cumsum(each) + each, each)
-        held = _distinct(np.repeat(doc, each) * (len(pairs) + 1) + number[place])
-        n = np.bincount(held % (len(pairs) + 1), minlength=len(pairs))[: len(pairs)]
+        n = _held(u, pairs, number, codes, at, good)
         some, d, p = np.flatnonzero(n), len(good), np.count_nonzero(n)
         null = lambda k, kind: pa.nulls(k, kind)
         one = [pa.array(np.zeros(d, np.int32)), pa.array(np.full(d, block)), right.column("row").combine_chunks(), right.column("doc_id").combine_chunks(), *map(pa.array, counts), pa.array(digests, pa.string()), null(d, pa.int64()), null(d, pa.int64())]
@@ -461,6 +514,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     cut = materialise(blocks(docs), partition_by=["kind"])
     texts = cut.filter("kind = 0").select("block", "row", "doc_id", "codes")
     units = materialise(encoded(cut.filter("kind = 1").select("block", "units"), a_path, b_path), tidy=True)
+    discard(cut, "kind=1")
     with settings(spark, {ALL_KEYS: "false"}):  # all joins of the alignment find their rows together by unit
         aligned = materialise(units.select("uid", "ok", "places").join(align(units), "uid", "left"), tidy=True)
     discard(units)

@@ -82,9 +82,11 @@ def materialise(df: DataFrame, path: str | None = None, partition_by: list[str]
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` made and nothing will read again."""
-    for df in tables:
+def discard(*tables: DataFrame | str) -> None:
+    """Delete tables that ``materialise`` made and nothing will read again; a text after a table names the one partition of it that goes."""
+    for df, part in zip(tables, [*tables[1:], None]):
+        if isinstance(df, str):
+            continue
         spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at + (f"/{part}" if isinstance(part, str) else ""))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

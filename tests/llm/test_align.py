@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import sys
 from collections import Counter
 
@@ -103,6 +104,34 @@ def test_offsets_of_many_texts():
     assert align.cut_units(pa.array([], pa.string()))[0].to_pylist() == []
 
 
+def test_texts_of_units(monkeypatch):
+    """Written groups against a loop over links."""
+    monkeypatch.setattr(align, "WRITTEN", 3)
+    rng = random.Random(0)
+
+    class Units:
+        def __init__(self, lists):
+            self.n = np.array([len(x) for x in lists], np.int64)
+            self.at = np.concatenate([[0], np.cumsum(self.n)])
+            self.links = np.array([y for x in lists for y in x], np.int64)
+
+    for _ in range(300):
+        lists, want = [], []
+        for _ in range(rng.randrange(6)):
+            own, groups = [], []
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                a, b = [], []
+                for flags in [*rng.choices([1, 2], k=rng.choice([0, 1, 4])), 3]:
+                    x, y = rng.randrange(50_000), rng.randrange(32_000)
+                    own.append(x << 33 | y << 2 | flags)
+                    a += [x] * (flags >> 1)
+                    b += [y] * (flags & 1)
+                groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+            lists.append(own)
+            want.append(";".join(groups))
+        assert align._texts(Units(lists)) == want
+
+
 def test_documents_against_whole_texts(spark):
     df = docs(spark, MORE).repartition(5)
     want = expected([*enumerate(MORE), (4, MORE[4])])  # the fixture repeats a row
@@ -112,6 +141,7 @@ def test_documents_against_whole_texts(spark):
 
 def test_small_blocks_bins_and_a_hot_word(spark, monkeypatch):
     monkeypatch.setattr(align, "BLOCK", 300)
+    monkeypatch.setattr(align, "CELLS", 40)
     texts = ["the " + t for t in ("same words again " * 3, "other words", "quite different ones, these")] * 20 + [None] * 5 + ["w" * 900 + "é" * 300]
     df = docs(spark, texts, clash=False).repartition(3)
     assert result(df) == expected([*enumerate(texts), (4, texts[4])])
