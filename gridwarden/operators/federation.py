@@ -112,8 +112,10 @@ def union_of(pool: DataFrame) -> DataFrame:
 
 
 def seed_all(nodes: DataFrame, models: DataFrame) -> DataFrame:
-    """Every node starts with every retained model (federated to gossip)."""
-    return nodes.select("node").crossJoin(F.broadcast(models.select("ord", "sha256")))
+    """Every node starts with every retained model (federated to gossip); nodes, as many as a topology has, are the side that is broadcast."""
+    if nodes.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} nodes")
+    return models.select("ord", "sha256").crossJoin(F.broadcast(nodes.select("node"))).select("node", "ord", "sha256")
 
 
 def retain(retained: DataFrame, new: DataFrame) -> DataFrame:

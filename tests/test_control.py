@@ -59,3 +59,21 @@ def test_cooldown_delays():
     s = C.Settings(5, dwell=1, cooldown=6)
     got, _ = commits(s, lambda s, r: s.everyone & ~1 if r in (3, 4, 6) else s.everyone, 20)
     assert [c.round for c in got] == [3, 9]
+
+
+def test_switches_by_kind_are_steps_over_days(spark, sf):
+    from gridwarden.plans import joined
+
+    seen = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").filter("value > 60").collect():
+        seen.setdefault(r.event_type, {}).setdefault(r.ts.day, set()).add(r.user_id % 14)
+    want = []
+    for kind, days in seen.items():
+        s = C.Settings(14, dwell=3, cooldown=2)
+        st = C.begin(s)
+        for day in sorted(days):
+            st, c = C.step(s, st, day, C.bits(days[day]))
+            if c:
+                want.append((kind, c.round, c.mode, c.reason, list(c.nodes)))
+    got = [(r.scenario, r["round"], r["mode"], r.reason, r.nodes) for r in joined.switches_by_kind(spark, sf).collect()]
+    assert sorted(got) == sorted(want) and want
