@@ -8,7 +8,7 @@ step is one gather, one small matrix product and the gates, done for all windows
 batch at once in single precision.
 
 Training is back-propagation through time in numpy with Adam on the driver.  It takes
-about ``SAMPLE`` labelled documents (documented bound: in each language those whose text's hash
+about ``SAMPLE`` labelled documents (documented bound: in each language the rows whose hash of doc_id and text
 lies below the language's share, at least one share each; copies of a text count once) and reads them whole:
 executors cut every sampled text into windows, and every window is trained on in each
 epoch, languages weighted alike.  Its random numbers have a fixed seed.
@@ -240,9 +240,9 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes,
     # one row for each language, and as many weights in the network, so this table is as small as the model
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     share = max(LEAST_SHARE, sample // max(1, counts.count()))
-    # a text's place in [0, 1) by its own hash, so rows without a doc_id, or of one, are drawn apart; about `share` rows of
-    # each language lie below its bound, and copies of a drawn text count once
-    place = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / float(1 << 30)
+    # a row's place in [0, 1) by hash of doc_id and text, so rows without a doc_id, or of one, are drawn apart; about `share`
+    # rows of each language lie below its bound, and copies of a drawn text count once
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.join(F.broadcast(counts.select("lang", (F.lit(float(share)) / F.col("n")).alias("bound"))), "lang").filter(place < F.col("bound"))
 
     def run(batches):
