@@ -171,8 +171,12 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
     if not 2 <= bins <= 256:
         raise ValueError("a bin's number is one byte: 2 to 256 bins")
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    values = [value(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    held = (F.lit(None) if held is None else held).cast("int").alias("held")
+    # what comes before may be dear, and is read twice from here
+    source = saved(df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), held, *values))
     shares = [k / bins for k in range(1, bins)]
-    got = df.agg(*[F.percentile_approx(value(c), F.lit(shares), F.lit(100 * bins)).alias(f"q{i}") for i, c in enumerate(columns)], *[F.max(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    got = source.agg(*[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
     edges = []
     for i in range(len(columns)):
         inner = np.unique(np.array(got[f"q{i}"] or [], float))
@@ -188,7 +192,6 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
             raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * len(columns)).tobytes()), pa.py_buffer(cells.tobytes())])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], raw, pa.nulls(n, pa.list_(pa.float64())), b.column(3)], ["key", "y", "members", "bins", "base", "held"])
 
-    source = df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), (F.lit(None) if held is None else held).cast("int").alias("held"), *[value(c) for c in columns])
     return Binned(saved(source.mapInArrow(run, _ROWS)), edges, columns)
 
 

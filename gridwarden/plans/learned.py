@@ -27,7 +27,7 @@ def gbt_specialists(spark: SparkSession, d: str) -> DataFrame:
     test = split.filter("split = 'val'")
     data = trees.binned(train, FEATURES, attack().cast("int"), KEY, F.array("client_id"), bins=64)
     grown = trees.rows_of(spark, trees.grow(data, trees.Growth(rounds=5, depth=3, rate=0.1), balanced=True, final_loss=False))
-    scored = pools.votes(test, grown, FEATURES, [KEY, LABEL]).withColumn("votes", F.size(F.filter("fired", lambda x: x)))
+    scored = pools.votes(test, grown, FEATURES, [KEY, LABEL], depth=3).withColumn("votes", F.size(F.filter("fired", lambda x: x)))
     return voting.fuse(scored, attack(), [1, 2, 3])
 
 
@@ -157,7 +157,7 @@ def _pooled(spark: SparkSession, d: str) -> tuple[trees.Binned, DataFrame]:
 
 
 def _vote_patterns(test: DataFrame, made: DataFrame) -> DataFrame:
-    return models.saved(pools.patterns(pools.votes(test, made, FEATURES, ["y"]), "y"))
+    return models.saved(pools.patterns(pools.votes(test, made, FEATURES, ["y"], depth=SHALLOW.depth), "y"))
 
 
 def gossip_pool_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def head_and_validators(spark: SparkSession, d: str) -> DataFrame:
     data, test = _pooled(spark, d)
     made = pools.roles(spark, data, POOLED, POOLED, SHALLOW)
     own = partition.iid(test.drop("client_id") if "client_id" in test.columns else test, POOLED, SEED, KEY)
-    return pools.role_accuracy(pools.role_predictions(own, made, FEATURES, "client_id", KEY, "y"), "y")
+    return pools.role_accuracy(pools.role_predictions(own, made, FEATURES, "client_id", KEY, "y", depth=SHALLOW.depth), "y")
 
 
 def grasp_trees(spark: SparkSession, d: str) -> DataFrame:
