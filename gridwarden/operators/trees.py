@@ -35,6 +35,8 @@ TREE = f"struct<cls:int,rate:double,nodes:array<{NODE}>>"
 MODEL = f"model int, sha256 string, intercepts array<double>, trees array<{TREE}>"
 #: Cells of a task's histogram; more models than fit are grown in turn.
 MOST_CELLS = 1 << 23
+#: Binned rows of a task, at least.
+ROWS_A_TASK = 50_000
 #: Rounds after which the margins so far are written, so that rows aren't sent through all earlier trees again.
 REFRESH = 8
 
@@ -176,7 +178,7 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
     # what comes before may be dear, and is read twice from here
     source = saved(df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), held, *values))
     shares = [k / bins for k in range(1, bins)]
-    got = source.agg(*[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
+    got = source.agg(F.count(F.lit(1)).alias("rows"), *[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
     edges = []
     for i in range(len(columns)):
         inner = np.unique(np.array(got[f"q{i}"] or [], float))
@@ -192,7 +194,9 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
             raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * len(columns)).tobytes()), pa.py_buffer(cells.tobytes())])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], raw, pa.nulls(n, pa.list_(pa.float64())), b.column(3)], ["key", "y", "members", "bins", "base", "held"])
 
-    return Binned(saved(source.mapInArrow(run, _ROWS)), edges, columns)
+    # each level is a pass over these small rows, so a task is worth starting for many of them only
+    few = source.coalesce(max(1, -(-got["rows"] // ROWS_A_TASK)))
+    return Binned(saved(few.mapInArrow(run, _ROWS)), edges, columns)
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
