@@ -7,6 +7,12 @@ from a table with at most two rows for each range.  So a key with a third of all
 Interval join.  A range of length n is an entry in the bins of the smallest power of two not below n that it touches, two at most;
 a point looks in one bin for each power in use.  That is an equi-join, long ranges cost no more than short ones, and about every second candidate
 is a match.
+
+Where only the first range and the number of ranges are asked for (``held``, ``first_match``), pairs are never made: a range is cut into aligned nodes of
+lengths 4^k, six of a length at most, each node keeps its first range and its count, and a point meets the one node of each length that it lies in. So the work
+follows points and ranges, however many ranges hold a point.
+
+Sides are estimated by the sizes of files, before rows are multiplied, so these joins are sorted ones: none is broadcast.
 """
 
 from __future__ import annotations
@@ -74,12 +80,34 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: str, hi
     on = (F.col("a._level") == F.col("b._level")) & (F.col("a._bin") == F.col("b._bin"))
     for k in by:
         on = on & (F.col(f"a.p.{k}") == F.col(f"b.r.{k}"))
-    hit = looked.alias("a").join(entries.alias("b"), on).filter((F.col("a._at") >= F.col("b._lo")) & (F.col("a._at") <= F.col("b._hi")))
+    hit = looked.alias("a").join(entries.alias("b").hint("merge"), on).filter((F.col("a._at") >= F.col("b._lo")) & (F.col("a._at") <= F.col("b._hi")))
     return hit.select("a.p", "b.r")
 
 
+def _cut(longest: int) -> Column:
+    """Aligned nodes (k, at), each [at * 4^k, (at + 1) * 4^k), that make up _lo to _hi exactly."""
+    # at level k whole nodes run from l to r; those outside of whole parents, which run from c to f, are taken
+    level = f"""transform(sequence(0, {longest}), k -> named_struct('k', k, 'l', -shiftright(-_lo, 2 * k), 'r', shiftright(_hi + 1L, 2 * k), 'c', 4 * -shiftright(-_lo, 2 * k + 2), 'f', 4 * shiftright(_hi + 1L, 2 * k + 2)))"""
+    left = "transform(filter(sequence(0, 2), i -> x.l + i < least(x.c, x.r)), i -> named_struct('k', x.k, 'at', x.l + i))"
+    right = "transform(filter(sequence(1, 3), i -> x.c <= x.f AND x.r - i >= x.f), i -> named_struct('k', x.k, 'at', x.r - i))"
+    return F.expr(f"flatten(transform(filter({level}, x -> x.l < x.r), x -> concat({left}, {right})))")
+
+
+def held(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, order: Column, by: list[str] | None = None) -> DataFrame:
+    """(by..., point, first, n): for each distinct point that a range holds the smallest ``order`` of the ranges that hold it, and their number."""
+    by = by or []
+    good = ranges.filter(F.col(low) <= F.col(high)).select(*by, F.col(low).cast("bigint").alias("_lo"), F.col(high).cast("bigint").alias("_hi"), order.alias("_o"))
+    once = good.groupBy(*by, "_lo", "_hi").agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_n"))
+    longest = good.agg(F.max(F.floor(F.log2((F.col("_hi") - F.col("_lo") + 1).cast("double")) / 2))).first()[0] or 0
+    nodes = once.withColumn("_x", F.explode(_cut(longest))).groupBy(*by, F.col("_x.k").alias("_k"), F.col("_x.at").alias("_at")).agg(F.min("_o").alias("_o"), F.sum("_n").alias("_n"))
+    at = points.select(*by, F.col(point).alias("_t")).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(longest)))).withColumn("_at", F.expr("shiftright(cast(_t AS bigint), 2 * _k)"))
+    met = at.join(nodes.hint("merge"), [*by, "_k", "_at"])
+    return met.groupBy(*by, F.col("_t").alias(point)).agg(F.min("_o").alias("first"), F.sum("_n").alias("n"))
+
+
 def first_match(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str, order: str, take: list[str], by: list[str] | None = None) -> DataFrame:
     """Every point (by its ``key``) with the ``take`` columns of the first range, by ``order``, that holds it; null where none does."""
-    pairs = interval_join(points.select(*dict.fromkeys([key, point, *(by or [])])), ranges, point, low, high, by)
-    first = pairs.groupBy(F.col(f"p.{key}").alias(key)).agg(F.min_by(F.struct(*[F.col(f"r.{c}").alias(c) for c in take]), F.col(f"r.{order}")).alias("_r"))
-    return points.join(first, key, "left").select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"_r.{c}").alias(c) for c in take])
+    first = held(points, ranges, point, low, high, F.struct(F.col(order).isNull(), F.col(order), F.struct(*[F.col(c) for c in take]).alias("_take")), by)
+    on = [*(by or []), point]
+    found = first.select(*on, F.col("first._take").alias("_r"))
+    return points.join(found.hint("merge"), on, "left").select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"_r.{c}").alias(c) for c in take])

@@ -61,3 +61,23 @@ def test_schedule_is_the_first_entry(spark):
     want = {r["round"]: (r["mode"], r.active_clients) for r in topology.schedule_lookup(rounds, schedule, "none").collect()}
     got = {r["round"]: (r["mode"] or "none", r.active_clients) for r in joins.first_match(rounds, schedule, "round", "round", "from", "to", "ord", ["mode", "active_clients"]).collect()}
     assert got == want
+
+
+def test_ranges_that_hold_a_point_are_counted_without_pairs(spark):
+    rng = random.Random(8)
+    spans = [(i, lo, lo + rng.choice([-1, 0, 1, 2, 3, 4, 15, 16, 17, 900, 5000])) for i, lo in enumerate(rng.randrange(-2000, 2000) for _ in range(200))]
+    spans += [(-1, -5, 5), (-2, -5, 5), (999, None, 3), (0, 10**15, 10**15 + 10**12)]
+    points = [(i, rng.choice([None, 10**15 + 77, *range(-2500, 2500)])) for i in range(400)]
+    p, r = spark.createDataFrame(points, "id int, t bigint"), spark.createDataFrame(spans, "ord int, lo bigint, hi bigint")
+    got = {x["t"]: (x["first"], x["n"]) for x in joins.held(p, r, "t", "lo", "hi", F.col("ord")).collect()}
+    inside = {t: [o for o, lo, hi in spans if lo is not None and lo <= t <= hi] for _, t in points if t is not None}
+    assert got == {t: (min(o), len(o)) for t, o in inside.items() if o}
+
+
+def test_crowds_make_no_pairs_and_nothing_is_broadcast(spark, tmp_path):
+    """20,000 points inside 20,000 ranges each would be 400 million pairs; files are small, so sizes are underestimated."""
+    spark.range(20_000).select("id", (F.col("id") + 20_000).alias("t"), F.col("id").alias("lo"), (F.col("id") + 40_000).alias("hi")).write.parquet(str(tmp_path / "x"))
+    x = spark.read.parquet(str(tmp_path / "x"))
+    found = joins.first_match(x.select("id", "t"), x.select(F.col("id").alias("ord"), "lo", "hi"), "id", "t", "lo", "hi", "ord", ["ord"])
+    assert found.agg(F.sum("ord"), F.count("*")).first() == (0, 20_000)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
