@@ -53,8 +53,8 @@ def schedule_of_orders(spark, d):
     p = table(spark, d, "part").withColumn("lo", F.col("p_partkey") * 7919 % 500_000 * 100)
     ranges = p.select("p_partkey", "p_brand", "lo", (F.col("lo") + F.col("p_size") * F.col("p_size") * 1000).alias("hi"))
     points = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    pairs = joins.interval_join(points, ranges, "cents", "lo", "hi")
-    first = pairs.groupBy("p.o_orderkey").agg(F.min_by("r.p_brand", "r.p_partkey").alias("mode"), F.count("*").alias("n"))
+    met = joins.held(points, ranges, "cents", "lo", "hi", F.struct("p_partkey", "p_brand"))
+    first = points.join(met.hint("merge"), "cents").groupBy("o_orderkey").agg(F.min("first")["p_brand"].alias("mode"), F.sum("n").alias("n"))
     return first.groupBy("mode").agg(F.count("*").alias("orders"), F.sum("n").alias("entries"))
 
 
