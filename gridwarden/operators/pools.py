@@ -17,11 +17,15 @@ evaluated by one pass over the rows and a table of vote patterns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from . import federation, topology, trees
 from .models import saved
@@ -108,11 +112,28 @@ def run(
 
 
 def votes(df: DataFrame, models: DataFrame, columns: list[str], keep: list[str], threshold: float = 0.5, depth: int = 8) -> DataFrame:
-    """(keep..., fired array<boolean>): what each model, in the order of ``positions``, says of each row."""
-    import math
+    """(keep..., fired array<boolean>): what each model, in the order of ``positions``, says of each row.
 
+    As ``trees.scored``, a tree at a time for all rows of a batch; no tree may be deeper than ``depth``.
+    """
     bar = math.log(threshold / (1 - threshold))
-    return trees.scored(df, models, columns, depth).select(*keep, F.transform("scores", lambda s: s["margins"][0] >= bar).alias("fired"))
+    made = [(m["intercepts"][0], [trees.Follow(t["rate"], t["nodes"], depth) for t in m["trees"] if t["cls"] == 0]) for m in sorted(models.collect(), key=lambda m: (m["model"], m["sha256"]))]
+    kept = df.select(*keep)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([c.to_numpy(zero_copy_only=False) for c in b.columns[len(keep) :]], float).reshape(len(columns), b.num_rows)
+            fired = np.zeros((b.num_rows, len(made)), bool)
+            for i, (intercept, grown) in enumerate(made):
+                margin = np.full(b.num_rows, intercept)
+                for t in grown:
+                    margin += t.rate * t.value(x)
+                fired[:, i] = margin >= bar
+            ends = pa.array(np.arange(b.num_rows + 1) * len(made), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(fired.ravel()))], [*keep, "fired"])
+
+    schema = StructType([*kept.schema.fields, StructField("fired", ArrayType(BooleanType()))])
+    return df.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
 
 
 def positions(models: DataFrame) -> DataFrame:

@@ -6,14 +6,15 @@ hands over its non-empty cells when its rows end; Spark sums cells and picks eac
 The driver gets one row for each node of the level.  So a level costs one job however many models there are, and
 what is shuffled depends on models and bins, not on rows.
 
-Features are cut once into bins by quantiles of all rows, and a row is one byte for each feature. A missing or not-a-number
+Features are cut once into bins by quantiles of all rows, and a row is one byte for each feature; rows with equal bins, class and models are
+one row with their number (and how many of them each round's sample holds), so passes don't grow with copies. A missing or not-a-number
 value lies in the first bin.  Trees hold thresholds (``x <= cut`` goes left), so models from different runs can be scored, continued and united.
 
 A model is a row: (model, sha256 of its content, intercepts, trees as arrays of nodes); ``scored`` evaluates all
 models of such a table for each row by folds over these arrays, without Python.
 
-Ties between splits go to the smaller feature, then the smaller cut; sums are rounded to 9 digits for this, so the
-order in which tasks end doesn't matter.
+Gradients are rounded to multiples of a power of two so small that all sums are exact: neither the cut into tasks nor the order in which these end
+can change a model. Ties between splits (gains are rounded to 9 digits for this) go to the smaller feature, then the smaller cut.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TREE = f"struct<cls:int,rate:double,nodes:array<{NODE}>>"
 MODEL = f"model int, sha256 string, intercepts array<double>, trees array<{TREE}>"
 #: Cells of a task's histogram; more models than fit are grown in turn.
 MOST_CELLS = 1 << 23
+#: Nodes of a tree whose splits are all compared for each row; larger ones are followed.
+MOST_CHOICES = 63
 #: Binned rows of a task, at least.
 ROWS_A_TASK = 50_000
 #: Rounds after which the margins so far are written, so that rows aren't sent through all earlier trees again.
@@ -153,19 +156,59 @@ def scored(df: DataFrame, models: DataFrame, columns: list[str], depth: int = 8)
     return both.withColumn("scores", each).drop("_x", "_models")
 
 
+class Follow:
+    """A tree of a table over plain values, for tasks."""
+
+    def __init__(self, rate: float, nodes: list, depth: int) -> None:
+        self.rate, self.depth = rate, depth
+        self.f, self.cut, self.l, self.r, self.v = (np.array([n[c] for n in nodes]) for c in ("f", "cut", "l", "r", "v"))
+
+    def value(self, x: np.ndarray) -> np.ndarray:
+        """Value of the leaf that each row reaches; ``x`` has a line for each feature, a missing value is not a number and goes left."""
+        at, each = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
+        for _ in range(self.depth):
+            f = self.f[at]
+            if (f < 0).all():
+                break
+            over = x[np.maximum(f, 0), each] > self.cut[at]
+            at = np.where(f < 0, at, np.where(over, self.r[at], self.l[at]))
+        return self.v[at]
+
+
 # ---- growing -------------------------------------------------------------------------------------------------
 
 
-_ROWS = "key bigint, y int, members array<int>, bins binary, base array<double>, held int"
+_ROWS = "key bigint, y int, members array<int>, bins binary, held int"
+_GROUPS = "y int, members array<int>, bins binary, held int, n array<bigint>, base array<double>"
 
 
 @dataclass
 class Binned:
-    """Rows (key, y, members array<int>, bins binary, base array<double>, held int) and the features' inner edges."""
+    """Rows (key, y, members array<int>, bins binary, held int) and the features' inner edges."""
 
     rows: DataFrame
     edges: list[np.ndarray]
     columns: list[str]
+    made: dict[tuple, DataFrame] = field(default_factory=dict)
+
+    def groups(self, share: float = 1.0, salts: tuple[int, ...] = ()) -> DataFrame:
+        """Equal rows once, written: (y, members, bins, held, n, base); n has their number, then for each salt how many of them are in its sample of this share."""
+        asked = (share, salts)
+        if asked not in self.made:
+
+            def run(batches):
+                for b in batches:
+                    key = b.column(0).to_numpy(zero_copy_only=False)
+                    flags = [pa.array((_uniform(key, s) < share).astype(np.int64)) for s in salts]
+                    yield pa.RecordBatch.from_arrays([*b.columns[1:], *flags], ["y", "members", "bins", "held", *(f"s{i}" for i in range(len(salts)))])
+
+            names = [f"s{i}" for i in range(len(salts))]
+            rows = self.rows.mapInArrow(run, ", ".join(["y int, members array<int>, bins binary, held int", *(f"{c} bigint" for c in names)])) if salts else self.rows
+            found = rows.groupBy("y", "members", "bins", "held").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in names])
+            each = saved(found.select("y", "members", "bins", "held", F.array("_n", *names).alias("n"), F.lit(None).cast("array<double>").alias("base")))
+            # each level is a pass over these small rows, so a task is worth starting for many of them only
+            self.made[asked] = each.coalesce(max(1, -(-each.count() // ROWS_A_TASK)))
+        return self.made[asked]
 
 
 def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Column, bins: int = 64, held: Column | None = None) -> Binned:
@@ -178,7 +221,7 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
     # what comes before may be dear, and is read twice from here
     source = saved(df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), held, *values))
     shares = [k / bins for k in range(1, bins)]
-    got = source.agg(F.count(F.lit(1)).alias("rows"), *[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
+    got = source.agg(*[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
     edges = []
     for i in range(len(columns)):
         inner = np.unique(np.array(got[f"q{i}"] or [], float))
@@ -192,11 +235,9 @@ def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Colu
                 v = b.column(4 + i).to_numpy(zero_copy_only=False).astype(float)
                 cells[:, i] = np.where(np.isnan(v), 0, np.searchsorted(e, v, "left"))
             raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * len(columns)).tobytes()), pa.py_buffer(cells.tobytes())])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], raw, pa.nulls(n, pa.list_(pa.float64())), b.column(3)], ["key", "y", "members", "bins", "base", "held"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], raw, b.column(3)], ["key", "y", "members", "bins", "held"])
 
-    # each level is a pass over these small rows, so a task is worth starting for many of them only
-    few = source.coalesce(max(1, -(-got["rows"] // ROWS_A_TASK)))
-    return Binned(saved(few.mapInArrow(run, _ROWS)), edges, columns)
+    return Binned(source.mapInArrow(run, _ROWS), edges, columns)
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -222,13 +263,23 @@ class _Compact:
             self.depth += 1
 
     def node(self, b: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(b), np.int64)
+        """The node that each row reaches; ``b`` has a line of bins for each feature."""
+        if len(self.f) <= MOST_CHOICES:
+            return np.broadcast_to(self._choose(b, 0), b.shape[1:])
+        at = np.zeros(b.shape[1], np.int64)
+        each = np.arange(b.shape[1])
         for _ in range(self.depth):
             f = self.f[at]
-            left = b[np.arange(len(b)), np.maximum(f, 0)] <= self.k[at]
+            left = b[np.maximum(f, 0), each] <= self.k[at]
             at = np.where(f < 0, at, np.where(left, self.l[at], self.r[at]))
         return at
 
+    def _choose(self, b: np.ndarray, n: int) -> np.ndarray:
+        """All splits of a small tree are compared at once, which is cheaper than to follow each row."""
+        if self.f[n] < 0:
+            return np.array(n, np.uint8)
+        return np.where(b[self.f[n]] <= self.k[n], self._choose(b, self.l[n]), self._choose(b, self.r[n]))
+
 
 @dataclass
 class _Work:
@@ -241,7 +292,7 @@ class _Work:
     open: list[dict[int, int]]  # for each class: node -> number among the level's nodes
     allowed: list[np.ndarray]  # for each class: features
     positive: float  # weight of y = 1
-    salt: int
+    sample: int  # which of the rows' numbers counts
 
 
 def _probabilities(margin: np.ndarray) -> np.ndarray:
@@ -259,17 +310,20 @@ def _losses(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _batch(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
-    key, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    bins = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, width)
-    lists = b.column(2)
+    """(y, a line of bins for each feature, numbers of rows, each membership's row, the memberships)."""
+    raw, rows = b.column(2), b.num_rows
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset :]
+    flat = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[rows]] if rows and width else np.zeros(0, np.uint8)
+    lists = b.column(1)
     sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-    return key, y.astype(np.int64), bins, np.repeat(np.arange(b.num_rows), sizes), np.asarray(lists.flatten())
+    numbers = b.column(4).flatten().to_numpy(zero_copy_only=False)
+    return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.ascontiguousarray(flat.reshape(rows, width).T), numbers.reshape(rows, -1), np.repeat(np.arange(rows), sizes), np.asarray(lists.flatten())
 
 
 def _base(b: pa.RecordBatch, n: int, classes: int, start: dict[int, list[float]], members: np.ndarray) -> np.ndarray:
     """(memberships, classes) margins as written, or the intercepts."""
-    if b.num_rows and b.column(4).null_count == 0:
-        return np.array(b.column(4).flatten()).reshape(n, classes)
+    if b.num_rows and b.column(5).null_count == 0:
+        return np.array(b.column(5).flatten()).reshape(n, classes)
     out = np.zeros((n, classes))
     for m, v in start.items():
         out[members == m] = v
@@ -288,48 +342,52 @@ def _margin(base: np.ndarray, past: list[_Compact], bins: np.ndarray) -> np.ndar
     return out
 
 
-def _level(data: Binned, work: list[_Work], classes: int, start: dict[int, list[float]], growth: Growth, first: bool) -> tuple[dict, dict]:
-    """Best splits of all open nodes: ({(model, class, node): row}, {model: (loss, rows)}), the losses where ``first``."""
+def _level(data: Binned, rows: DataFrame, work: list[_Work], classes: int, start: dict[int, list[float]], growth: Growth, first: bool, unit: float) -> tuple[dict, dict]:
+    """Best splits of all open nodes: ({(model, class, node): row}, {model: (loss, rows)}), the losses where ``first``; gradients are multiples of ``unit``."""
     width = len(data.columns)
     bins = max([2, *(len(e) + 1 for e in data.edges)])
     nodes = max([1, *(len(o) for w in work for o in w.open)])
     shape = (len(work), classes, nodes, width, bins)
 
     def run(batches):
-        total = np.zeros((2, math.prod(shape)))
+        total = np.zeros((2, *shape))
         losses = np.zeros((len(work), 2))
         for b in batches:
-            key, y, cells, row, member = _batch(b, width)
+            y, cells, numbers, row, member = _batch(b, width)
             base = _base(b, len(row), classes, {}, member)
-            written = b.column(4).null_count == 0
-            for i, w in enumerate(work):
-                at = np.flatnonzero(member == w.member)
+            written = b.column(5).null_count == 0
+            for shared in sorted({w.member for w in work}):
+                at = np.flatnonzero(member == shared)
                 if not len(at):
                     continue
-                own, t = cells[row[at]], y[row[at]]
-                m = _margin(_begin(w, base[at], written, start), w.past, own)
-                if first:
-                    losses[i] += _losses(m, t).sum(), len(at)
-                p = _probabilities(m)
-                seen = np.flatnonzero(_uniform(key[row[at]], w.salt) < growth.rows) if growth.rows < 1 else np.arange(len(at))
-                for c in range(classes):
-                    if not w.open[c]:
+                own, t, many, begun = cells[:, row[at]], y[row[at]], numbers[row[at]], base[at]
+                for i, w in enumerate(work):
+                    if w.member != shared:
                         continue
-                    number = np.full(len(w.now[c].f), -1)
-                    number[list(w.open[c])] = list(w.open[c].values())
-                    n = number[w.now[c].node(own[seen])]
-                    keep = seen[n >= 0]
-                    n = n[n >= 0]
-                    truth = (t[keep] == c).astype(float) if classes > 1 else t[keep].astype(float)
-                    q = p[keep, c]
-                    weight = np.where(truth > 0, w.positive, 1.0) if classes == 1 else np.ones(len(keep))
-                    g, h = weight * (q - truth), weight * np.maximum(q * (1 - q), 1e-16)
-                    for f in w.allowed[c].tolist():
-                        cell = (((i * classes + c) * nodes + n) * width + f) * bins + own[keep, f]
-                        lo = ((i * classes + c) * nodes * width) * bins
-                        size = nodes * width * bins
-                        total[0, lo : lo + size] += np.bincount(cell - lo, g, size)
-                        total[1, lo : lo + size] += np.bincount(cell - lo, h, size)
+                    m = _margin(_begin(w, begun, written, start), w.past, own)
+                    if first:
+                        losses[i] += (_losses(m, t) * many[:, 0]).sum(), many[:, 0].sum()
+                    p, seen = _probabilities(m), many[:, w.sample]
+                    for c in range(classes):
+                        if not w.open[c]:
+                            continue
+                        number = np.full(len(w.now[c].f), -1)
+                        number[list(w.open[c])] = list(w.open[c].values())
+                        n = number[w.now[c].node(own)]
+                        truth = t == c if classes > 1 else t > 0
+                        weight = np.where(truth, w.positive, 1.0) if classes == 1 else 1.0
+                        q = p[:, c]
+                        g = np.rint(weight * (q - truth) / unit) * seen
+                        h = np.maximum(np.rint(weight * (q * (1 - q)) / unit), 1) * seen
+                        which = None if (n >= 0).all() else np.flatnonzero(n >= 0)
+                        if which is not None:
+                            n, g, h = n[which], g[which], h[which]
+                        place = n * bins
+                        for f in w.allowed[c].tolist():
+                            cell = place + (own[f] if which is None else own[f][which])
+                            for k, v in ((0, g), (1, h)):
+                                total[k, i, c, :, f] += np.bincount(cell, v, nodes * bins).reshape(nodes, bins)
+        total = total.reshape(2, -1)
         some = np.flatnonzero(total[1])
         extra = np.flatnonzero(losses[:, 1])  # as rows of one bin of a node below 0
         columns = [some // (bins * width), some // bins % width, some % bins, total[0, some], total[1, some]]
@@ -338,8 +396,9 @@ def _level(data: Binned, work: list[_Work], classes: int, start: dict[int, list[
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(columns, tail), kinds)], ["node", "f", "bin", "g", "h"])
 
     # a task has summed its rows, so cells go to their node's partition at once: one exchange for sums, windows and the choice
-    parts = data.rows.mapInArrow(run, "node bigint, f int, bin int, g double, h double").repartition("node")
-    cells = parts.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    parts = rows.mapInArrow(run, "node bigint, f int, bin int, g double, h double").repartition("node")
+    size = F.when(F.col("f") < 0, 1.0).otherwise(unit)  # losses are as they are
+    cells = parts.groupBy("node", "f", "bin").agg((F.sum("g") * size).alias("g"), (F.sum("h") * size).alias("h"))
     whole = Window.partitionBy("node", "f")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = cells.select("node", "f", "bin", *[F.sum(x).over(w).alias(f"{x}{s}") for x in "gh" for s, w in (("l", upto), ("t", whole))])
@@ -360,27 +419,26 @@ def _level(data: Binned, work: list[_Work], classes: int, start: dict[int, list[
     return found, lost
 
 
-def _with_base(data: Binned, models: dict[int, Model], since: dict[int, list[_Compact]], classes: int, start: dict[int, list[float]]) -> Binned:
-    """Rows with the margins of all models so far, written."""
-    width = len(data.columns)
+def _with_base(rows: DataFrame, width: int, since: dict[int, list[_Compact]], classes: int, start: dict[int, list[float]]) -> DataFrame:
+    """Groups of rows with the margins of all models so far, written."""
 
     def run(batches):
         for b in batches:
-            _, _, cells, row, member = _batch(b, width)
+            _, cells, _, row, member = _batch(b, width)
             base = _base(b, len(row), classes, start, member)
             for m, past in since.items():
                 at = np.flatnonzero(member == m)
-                base[at] = _margin(base[at], past, cells[row[at]])
-            offsets = pa.array(np.asarray(b.column(2).offsets) * classes - int(b.column(2).offsets[0].as_py()) * classes, pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(base.ravel())), b.column(5)], b.schema.names)
+                base[at] = _margin(base[at], past, cells[:, row[at]])
+            offsets = pa.array(np.asarray(b.column(1).offsets) * classes - int(b.column(1).offsets[0].as_py()) * classes, pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.ListArray.from_arrays(offsets, pa.array(base.ravel()))], b.schema.names)
 
-    return Binned(saved(data.rows.mapInArrow(run, _ROWS)), data.edges, data.columns)
+    return saved(rows.mapInArrow(run, _GROUPS))
 
 
-def class_counts(data: Binned, classes: int) -> dict[int, np.ndarray]:
-    """Rows of each class that each model is trained on."""
+def class_counts(rows: DataFrame, classes: int) -> dict[int, np.ndarray]:
+    """Rows of each class that each model is trained on, from groups of rows."""
     out: dict[int, np.ndarray] = {}
-    for r in data.rows.select(F.explode("members").alias("m"), "y").groupBy("m", "y").agg(F.count("*").alias("n")).collect():
+    for r in rows.select(F.explode("members").alias("m"), "y", F.col("n")[0].alias("n")).groupBy("m", "y").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r["m"], np.zeros(max(2, classes)))[r["y"]] = r["n"]
     return out
 
@@ -395,10 +453,15 @@ def grow(
     each model weigh as much as its others; ``only`` names the memberships to be trained. With ``variants`` (model -> membership) several
     models, of other ``allowed`` features, are trained on the same rows. A model whose rows have one class gets no tree and an intercept that never leaves this class.
     """
+    salts: tuple[int, ...] = ()
+    if growth.rows < 1:  # one for each number of trees that a model can have when a round begins
+        had = {0, *(len(m.trees) for m in (start or {}).values())}
+        salts = tuple(sorted({_salt(growth, h + k * classes) for h in had for k in range(growth.rounds)}))
+    rows = data.groups(growth.rows, salts)
     if only is not None:
         only = sorted(set(only))
-        data = Binned(data.rows.filter(F.arrays_overlap("members", F.array(*[F.lit(int(m)) for m in only]))), data.edges, data.columns)
-    counts = {m: n for m, n in class_counts(data, classes).items() if only is None or m in only}
+        rows = rows.filter(F.arrays_overlap("members", F.array(*[F.lit(int(m)) for m in only])))
+    counts = {m: n for m, n in class_counts(rows, classes).items() if only is None or m in only}
     member = {m: m for m in counts} if variants is None else {v: m for v, m in variants.items() if m in counts}
     counts = {v: counts[m] for v, m in member.items()}
     if variants is not None and (growth.rounds >= REFRESH or start):
@@ -414,16 +477,23 @@ def grow(
         models[m], intercepts[m] = own, own.intercepts
     still = [m for m, n in sorted(counts.items()) if (n > 0).sum() > 1 and len(may[m])]
     at_once = max(1, MOST_CELLS // max(1, classes * 2 ** (growth.depth - 1) * len(every) * max([2, *(len(e) + 1 for e in data.edges)])))
+    # sums of gradients stay below twice the rows of a model, in whole multiples of the unit below 2^52
+    unit = 2.0 ** (math.ceil(math.log2(2 * max([1.0, *(n.sum() for n in counts.values())]))) - 51)
     for lo in range(0, len(still), at_once):
-        _grow(data, growth, classes, models, intercepts, still[lo : lo + at_once], may, {m: float(counts[m][0] / max(1.0, counts[m][1])) if balanced else 1.0 for m in counts}, final_loss, member)
+        _grow(data, rows, salts, unit, growth, classes, models, intercepts, still[lo : lo + at_once], may, {m: float(counts[m][0] / max(1.0, counts[m][1])) if balanced else 1.0 for m in counts}, final_loss, member)
     return models
 
 
-def _grow(data: Binned, growth: Growth, classes: int, models: dict[int, Model], intercepts: dict, names: list[int], may: dict, positive: dict, final_loss: bool, member: dict) -> None:
+def _salt(growth: Growth, had: int) -> int:
+    """What draws the sample of a round that begins with so many trees."""
+    return growth.seed * 1_000_003 + had
+
+
+def _grow(data: Binned, rows: DataFrame, salts: tuple[int, ...], unit: float, growth: Growth, classes: int, models: dict[int, Model], intercepts: dict, names: list[int], may: dict, positive: dict, final_loss: bool, member: dict) -> None:
     since = {m: [_Compact(t, data.edges) for t in models[m].trees] for m in names}
     for r in range(growth.rounds + final_loss):
         if r and r % REFRESH == 0:
-            data, since = _with_base(data, models, since, classes, intercepts), {m: [] for m in names}
+            rows, since = _with_base(rows, len(data.columns), since, classes, intercepts), {m: [] for m in names}
         last = r == growth.rounds
         trees, allowed = {}, {}
         for m in names:
@@ -434,10 +504,10 @@ def _grow(data: Binned, growth: Growth, classes: int, models: dict[int, Model],
             allowed[m] = [np.sort(rng.choice(may[m], take, replace=False)) if take < len(may[m]) else may[m] for _ in range(classes)]
         open_ = {m: [{} if last else {0: 0} for _ in range(classes)] for m in names}
         for level in range(1 if last else growth.depth):
-            work = [_Work(m, member[m], since[m], [_Compact(t, data.edges) for t in trees[m]], open_[m], allowed[m], positive[m], growth.seed * 1_000_003 + len(models[m].trees)) for m in names if last or any(open_[m])]
+            work = [_Work(m, member[m], since[m], [_Compact(t, data.edges) for t in trees[m]], open_[m], allowed[m], positive[m], 1 + salts.index(_salt(growth, len(models[m].trees))) if salts and not last else 0) for m in names if last or any(open_[m])]
             if not work:
                 break
-            found, lost = _level(data, work, classes, intercepts, growth, level == 0 and (r > 0 or last))
+            found, lost = _level(data, rows, work, classes, intercepts, growth, level == 0 and (r > 0 or last), unit)
             for m, (s, n) in lost.items():
                 models[m].losses.append(s / n)
             after = {m: [[] for _ in range(classes)] for m in names}
@@ -465,16 +535,17 @@ def confusion(data: Binned, models: dict[int, Model], variants: dict[int, int],
     def run(batches):
         total = {m: np.zeros(4, np.int64) for m in variants}
         for b in batches:
-            y, held = b.column(1).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
-            cells = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, width)
-            for m, member in variants.items():
+            held = b.column(3).to_numpy(zero_copy_only=False)
+            y, cells, numbers, _, _ = _batch(b, width)
+            for member in sorted(set(variants.values())):
                 at = np.flatnonzero(held == member)
-                intercept, past = compact[m]
-                fired = _margin(np.full((len(at), 1), intercept), past, cells[at])[:, 0] >= bar
-                truth = y[at] == 1
-                total[m] += [(fired & truth).sum(), (fired & ~truth).sum(), (~fired & truth).sum(), (~fired & ~truth).sum()]
+                own, truth, n = cells[:, at], y[at] == 1, numbers[at, 0]
+                for m in (m for m, k in variants.items() if k == member):
+                    intercept, past = compact[m]
+                    fired = _margin(np.full((len(at), 1), intercept), past, own)[:, 0] >= bar
+                    total[m] += [n[fired & truth].sum(), n[fired & ~truth].sum(), n[~fired & truth].sum(), n[~fired & ~truth].sum()]
         names = list(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([int(total[m][k]) for m in names], pa.int64()) for k in range(4))], ["model", "tp", "fp", "fn", "tn"])
 
-    parts = data.rows.filter("held is not null").mapInArrow(run, "model int, tp bigint, fp bigint, fn bigint, tn bigint")
+    parts = data.groups().filter("held is not null").mapInArrow(run, "model int, tp bigint, fp bigint, fn bigint, tn bigint")
     return parts.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])

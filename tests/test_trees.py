@@ -134,3 +134,35 @@ def test_odd_rows(spark):
     assert trees.grow(trees.binned(df.limit(0), COLUMNS, F.col("y"), "id", F.array(F.lit(0)), bins=4)) == {}
     with pytest.raises(ValueError):
         trees.binned(df, COLUMNS, F.col("y"), "id", F.array(F.lit(0)), bins=300)
+
+
+def test_models_do_not_depend_on_tasks(spark, monkeypatch):
+    """The same rows in other parts and orders give the same digests; copies are rows of their own for samples, but not for passes."""
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 2)).round(3)
+    data = [(i, float(a), float(b), int(a * b + 0.1 * e > 0.25), i % 3) for i, ((a, b), e) in enumerate(zip(x, rng.standard_normal(3000)))]
+    df = spark.createDataFrame(data, "id int, a double, b double, y int, client int")
+    monkeypatch.setattr(trees, "ROWS_A_TASK", 200)
+    for growth in (trees.Growth(rounds=2, depth=3), trees.Growth(rounds=2, depth=2, rows=0.6)):
+        seen = set()
+        for parts in (2, 7, 13):
+            cut = trees.binned(saved(df.repartition(parts, F.rand(parts))), ["a", "b"], F.col("y"), "id", F.array("client"), bins=64)
+            seen.add(tuple(m.digest() for _, m in sorted(trees.grow(cut, growth, balanced=True).items())))
+        assert len(seen) == 1
+    coarse = trees.binned(df, ["a", "b"], F.col("y"), "id", F.array("client"), bins=4)
+    groups = coarse.groups(0.5, (1, 2)).collect()
+    assert len(groups) <= 4 * 4 * 2 * 3
+    keys = np.arange(3000)
+    assert [sum(g.n[k] for g in groups) for k in range(3)] == [3000, *[int((trees._uniform(keys, s) < 0.5).sum()) for s in (1, 2)]]
+
+
+def test_large_trees_are_followed(monkeypatch):
+    rng = np.random.default_rng(4)
+    t = trees.Tree(0, 1.0)
+    for node in range(15):
+        t.split(node, int(rng.integers(2)), float(rng.integers(8)), 1.0, float(node), float(-node))
+    compact = trees._Compact(t, [np.arange(8.0)] * 2)
+    b = rng.integers(0, 9, (2, 500)).astype(np.uint8)
+    small = compact.node(b)
+    monkeypatch.setattr(trees, "MOST_CHOICES", 0)
+    assert (small == compact.node(b)).all() and len(set(small.tolist())) > 4
