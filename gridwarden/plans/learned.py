@@ -53,11 +53,9 @@ def gossip_equals_federated(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select((F.col("doc_id") % n).cast("int").alias("node"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("sha256"))
     union = own.groupBy("sha256").agg(F.min("ord").alias("ord"))
     edge = topology.edges(spark, "ring", n)
-    pool = own
+    pool = models.saved(own.groupBy("node", "sha256").agg(F.min("ord").alias("ord")).select("node", "ord", "sha256"))
     for r in range(1, 2 * n + 1):
-        pool = federation.gossip_round(pool, own.limit(0), edge, r, list(range(n)))
-        if r % 3 == 0:  # cut lineage
-            pool = models.saved(pool)
+        pool = federation.gossip_round(pool, None, edge, r, list(range(n)))
     total = union.count()
     return pool.groupBy("node").agg(F.count("*").alias("models")).withColumn("equal", F.col("models") == total)
 

@@ -136,3 +136,17 @@ def test_nearest_against_a_loop(spark, monkeypatch):
         monkeypatch.setattr(federation, "MOST_POINTS", most)
         got = federation.knn1(df, df, "vec_id", "embedding", "label").collect()
         assert {r["query"]: (r.nearest, r.predicted) for r in got} == {i: (j, j % 4) for i, j in want.items()}
+
+
+def test_pools_that_only_move(spark, monkeypatch):
+    """Without new models a round is the same as with an empty table of them, in each pool's order; no task has a whole pool."""
+    pool = spark.createDataFrame([(i, k, f"{(3 * i + k) % 7}") for i in range(5) for k in range(4)], "node int, ord bigint, sha256 string")
+    edge = topology.edges(spark, "ring", 5)
+    for most, rounds in ((1 << 53, 5), (10, 2)):
+        monkeypatch.setattr(federation, "MOST_PLACES", most)
+        old = new = pool
+        for r in range(1, rounds + 1):
+            old, new = federation.gossip_round(old, pool.limit(0), edge, r, [0, 1, 2, 4]), federation.gossip_round(new, None, edge, r, [0, 1, 2, 4])
+            held = [[(x.node, x.sha256) for x in df.orderBy("node", "ord").collect()] for df in (old, new)]
+            assert held[0] == held[1]
+    assert "Window" not in federation.gossip_round(pool, None, edge, 1, [0, 1])._jdf.queryExecution().executedPlan().toString()
