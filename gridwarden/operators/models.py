@@ -140,12 +140,14 @@ def boost(df: DataFrame, columns: list[str], rounds: int, depth: int = 4, rate:
     rates = None if start.rates is None else [*start.rates, *[start.rate] * rounds]
     model = Boosted(start.intercept, start.rate, list(start.trees), list(start.losses))
     model.rates = None if start.rates is None else list(start.rates)
-    state = saved(model.margin(data))
-    for _ in range(rounds):
+    state = saved(model.margin(data)) if rounds else None
+    for k in range(rounds):
         p = 1 / (1 + F.exp(-F.col("margin")))
         tree = DecisionTreeRegressor(maxDepth=depth, labelCol="_g", predictionCol="_t", **DEFAULTS).fit(state.withColumn("_g", 4 * (F.col("y") - p)))
         model.trees.append(tree)
-        state = saved(tree.transform(state).withColumn("margin", F.col("margin") + model.rate * F.col("_t")).drop("_t"))
+        state = tree.transform(state).withColumn("margin", F.col("margin") + model.rate * F.col("_t")).drop("_t")
+        if k < rounds - 1:  # the last one is read for its loss only
+            state = saved(state)
         y = F.col("y").cast("double")
         loss = state.agg(F.avg(F.log1p(F.exp(F.col("margin"))) - y * F.col("margin"))).first()[0]
         model.losses.append(float(loss))

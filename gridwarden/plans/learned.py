@@ -105,7 +105,8 @@ def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Training rows with client and y, and test rows; y is a rule of value and hour, since the table's labels follow from no column."""
     rule = (F.col("value") >= 60) & (F.col("hour") < 12) | (F.col("value") < 5)
     train, test = experiment.split_given(features(spark, d).withColumn("y", rule.cast("int")), None, SEED, KEY, 0.2, LABEL)
-    return partition.iid(train, n, SEED, KEY), test
+    # written once: every fit, round and evaluation reads them again
+    return models.saved(partition.iid(train, n, SEED, KEY)), models.saved(test)
 
 
 def random_cut_trees(spark: SparkSession, d: str) -> DataFrame:

@@ -202,3 +202,18 @@ def test_cross_validated_counts_of_naive_bayes(spark, rows):
             score.append(np.log(len(x) / len(train)) - 0.5 * (np.log(2 * np.pi * var) + (test[:, 1:3] - mean) ** 2 / var).sum(1))
         fired, truth = score[1] > score[0], test[:, 3] == 1
         assert got[k] == ((fired & truth).sum(), (fired & ~truth).sum(), (~fired & truth).sum(), (~fired & ~truth).sum())
+
+
+def test_rows_are_written_once(spark, sf, monkeypatch):
+    """Training rows don't carry their split along, and a fit writes only what is read again."""
+    from gridwarden.operators import models
+    from gridwarden.plans import learned
+
+    for df in learned._nodes(spark, sf, 2):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    train, written = learned._nodes(spark, sf, 2)[0], []
+    monkeypatch.setattr(models, "saved", lambda df, keep=models.saved: written.append(1) or keep(df))
+    first = models.boost(train, learned.FEATURES, 0, 2)
+    assert not written and not first.losses
+    more = models.boost(train, learned.FEATURES, 2, 2, start=first)
+    assert len(written) == 2 and len(more.losses) == 2 and more.losses[1] <= more.losses[0]
