@@ -205,7 +205,7 @@ class Binned:
             names = [f"s{i}" for i in range(len(salts))]
             rows = self.rows.mapInArrow(run, ", ".join(["y int, members array<int>, bins binary, held int", *(f"{c} bigint" for c in names)])) if salts else self.rows
             found = rows.groupBy("y", "members", "bins", "held").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in names])
-            each = saved(found.select("y", "members", "bins", "held", F.array("_n", *names).alias("n"), F.lit(None).cast("array<double>").alias("base")))
+            each = saved(found.select("y", "members", "bins", "held", F.array("_n", *names).alias("n"), F.array().cast("array<double>").alias("base")))
             # each level is a pass over these small rows, so a task is worth starting for many of them only
             self.made[asked] = each.coalesce(max(1, -(-each.count() // ROWS_A_TASK)))
         return self.made[asked]
@@ -320,9 +320,14 @@ def _batch(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.ascontiguousarray(flat.reshape(rows, width).T), numbers.reshape(rows, -1), np.repeat(np.arange(rows), sizes), np.asarray(lists.flatten())
 
 
+def _written(b: pa.RecordBatch) -> bool:
+    """Whether rows hold margins; those without have empty lists, since a column of null lists costs a batch the square of its rows when it is handed to Python."""
+    return len(b.column(5).flatten()) > 0
+
+
 def _base(b: pa.RecordBatch, n: int, classes: int, start: dict[int, list[float]], members: np.ndarray) -> np.ndarray:
     """(memberships, classes) margins as written, or the intercepts."""
-    if b.num_rows and b.column(5).null_count == 0:
+    if _written(b):
         return np.array(b.column(5).flatten()).reshape(n, classes)
     out = np.zeros((n, classes))
     for m, v in start.items():
@@ -355,7 +360,7 @@ def _level(data: Binned, rows: DataFrame, work: list[_Work], classes: int, start
         for b in batches:
             y, cells, numbers, row, member = _batch(b, width)
             base = _base(b, len(row), classes, {}, member)
-            written = b.column(5).null_count == 0
+            written = _written(b)
             for shared in sorted({w.member for w in work}):
                 at = np.flatnonzero(member == shared)
                 if not len(at):

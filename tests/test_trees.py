@@ -166,3 +166,10 @@ def test_large_trees_are_followed(monkeypatch):
     small = compact.node(b)
     monkeypatch.setattr(trees, "MOST_CHOICES", 0)
     assert (small == compact.node(b)).all() and len(set(small.tolist())) > 4
+
+
+def test_no_list_of_grouped_rows_is_null(spark, rows):
+    """A column of null lists costs each batch that is handed to Python the square of its rows."""
+    data = trees.binned(rows, ["a", "b"], F.col("y"), "id", F.array("client"), bins=64)
+    nulls = data.groups().select(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("members", "bins", "n", "base")]).first()
+    assert nulls.asDict() == {"members": 0, "bins": 0, "n": 0, "base": 0}
