@@ -8,9 +8,14 @@ from a table of counts with at most 4,096 rows for each group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of all groups that are broadcast: some 60 groups have so many.
+MOST_BUCKETS = 1 << 18
+
 
 def shuffled(seed: int, key: str, salt: str = "") -> Column:
     """Sort key of a pseudo-random permutation of the rows with this key."""
@@ -34,6 +39,34 @@ def ranked(df: DataFrame, seed: int, key: str, salt: str, *by: str) -> DataFrame
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._i") + F.col("r._base")).alias("_r"), F.col("r._n").alias("_n"))
 
 
+def stepped(df: DataFrame, seed: int, key: str, salt: str, name: str, step: Callable[[Column, Column], Column], *by: str) -> DataFrame:
+    """``df`` with ``name``: ``step`` of each row's rank and its group's rows, as ``ranked`` has them.
+
+    ``step`` must not come back to a value that it has left as ranks grow. So a bucket whose first and last row have one value gives it to all its rows,
+    which stay where they are; only rows of buckets with a step inside are shuffled and ranked.
+    """
+    from ..operators.models import saved
+
+    marked = df.withColumn("_h", shuffled(seed, key, salt)).withColumn("_b", F.coalesce(F.substring("_h", 1, 3), F.lit("")))  # rows without a key come first
+    counts = marked.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    based = counts.withColumns({"_base": F.coalesce(before, F.lit(0)), "_n": F.sum("_c").over(whole)})
+    ends = based.withColumns({"_at": step(F.col("_base") + 1, F.col("_n")), "_last": step(F.col("_base") + F.col("_c"), F.col("_n"))})
+    buckets = saved(ends.select(*by, "_b", "_base", "_n", "_at", F.col("_at").eqNullSafe(F.col("_last")).alias("_sure")))
+    few = buckets.count() <= MOST_BUCKETS
+
+    def placed(sure: bool) -> DataFrame:
+        these = buckets.filter(F.col("_sure") == sure)
+        both = marked.alias("l").join((F.broadcast(these) if few else these).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_b")])
+        return both.select("l.*", "r._base", "r._n", "r._at")
+
+    kept = [c for c in df.columns if c != name]
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    near = placed(False).withColumn("_r", inside + F.col("_base"))
+    return placed(True).select(*kept, F.col("_at").alias(name)).unionByName(near.select(*kept, step(F.col("_r"), F.col("_n")).alias(name)))
+
+
 def chunk(n: int | Column, r: Column | None = None, size: Column | None = None) -> Column:
     """0-based number of the chunk of rank ``_r`` among ``_n`` rows in n near-equal chunks; the first (rows mod n) are one longer."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -34,7 +34,7 @@ def split_given(df: DataFrame, test: DataFrame | None, seed: int, key: str, shar
     """(train, test): a test table that comes with the data is used as it is, else a seeded holdout."""
     if test is not None:
         return df, test.select(*df.columns)
-    both = partition.holdout(df, seed, key, share, label)
+    both = saved(partition.holdout(df, seed, key, share, label))  # either side reads it, often more than once
     return both.filter("split = 'train'").drop("split"), both.filter("split = 'val'").drop("split")
 
 

@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import chunk, ranked
+from ..functions.ordering import chunk, ranked, stepped
 
 
 def iid(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return ranked(df, seed, key, "iid").withColumn("client_id", chunk(n)).drop("_r", "_n")
+    return stepped(df, seed, key, "iid", "client_id", lambda r, rows: chunk(n, r, rows))
 
 
 def shard(df: DataFrame, n: int, seed: int, key: str, label: str, shards: int = 2) -> DataFrame:
@@ -88,10 +88,11 @@ def sensors(df: DataFrame, n: int, label: str, normal: str) -> DataFrame:
 def attack(df: DataFrame, n: int, seed: int, key: str, label: str, normal: str) -> DataFrame:
     """Specialised sensors: normal rows over all clients, each attack class at its own."""
     plan = sensors(df, n, label, normal)
-    normals = ranked(df.filter(F.col(label) == normal), seed, key, "attack").withColumn("client_id", chunk(n)).drop("_r", "_n")
-    rows = ranked(df.filter(F.col(label) != normal), seed, key, "attack", label).join(F.broadcast(plan), label)
-    client = (F.col("first_client") + chunk(F.col("sensors"))).cast("int")
-    return normals.unionByName(rows.withColumn("client_id", client).select(*normals.columns))
+    normals = stepped(df.filter(F.col(label) == normal), seed, key, "attack", "client_id", lambda r, rows: chunk(n, r, rows))
+    planned = df.filter(F.col(label) != normal).join(F.broadcast(plan), label)
+    client = lambda r, rows: (F.col("first_client") + chunk(F.col("sensors"), r, rows)).cast("int")
+    placed = stepped(planned, seed, key, "attack", "client_id", client, label, "first_client", "sensors")
+    return normals.unionByName(placed.select(*normals.columns))
 
 
 def matrix(df: DataFrame, label: str, *by: str) -> DataFrame:
@@ -103,8 +104,8 @@ def matrix(df: DataFrame, label: str, *by: str) -> DataFrame:
 
 def holdout(df: DataFrame, seed: int, key: str, share: float = 0.2, label: str | None = None) -> DataFrame:
     """``split``: 'val' for the first ceil(share x n) rows of a seeded order (of each class), else 'train'."""
-    rows = ranked(df, seed, key, "holdout", *([label] if label else []))
-    return rows.withColumn("split", F.when(F.col("_r") <= F.ceil(F.lit(share) * F.col("_n")), "val").otherwise("train")).drop("_r", "_n")
+    side = lambda r, rows: F.when(r <= F.ceil(F.lit(share) * rows), "val").otherwise("train")
+    return stepped(df, seed, key, "holdout", "split", side, *([label] if label else []))
 
 
 def kfold(df: DataFrame, k: int, seed: int, key: str, label: str) -> DataFrame:

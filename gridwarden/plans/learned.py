@@ -22,7 +22,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 def gbt_specialists(spark: SparkSession, d: str) -> DataFrame:
     """One boosted specialist for each sensor of the attack partition; fused decisions for k = 1..3 on a holdout."""
-    split = partition.holdout(features(spark, d), SEED, KEY, 0.2, LABEL)
+    split = models.saved(partition.holdout(features(spark, d), SEED, KEY, 0.2, LABEL))
     train = partition.attack(split.filter("split = 'train'"), 4, SEED, KEY, LABEL, NORMAL)
     test = split.filter("split = 'val'")
     data = trees.binned(train, FEATURES, attack().cast("int"), KEY, F.array("client_id"), bins=64)
@@ -101,10 +101,15 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return replay_windows(spark, f"{d}/events.parquet", NORMAL)
 
 
-def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Training rows with client and y, and test rows; y is a rule of value and hour, since the table's labels follow from no column."""
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows with y, a rule of value and hour, since the table's labels follow from no column."""
     rule = (F.col("value") >= 60) & (F.col("hour") < 12) | (F.col("value") < 5)
-    train, test = experiment.split_given(features(spark, d).withColumn("y", rule.cast("int")), None, SEED, KEY, 0.2, LABEL)
+    return experiment.split_given(features(spark, d).withColumn("y", rule.cast("int")), None, SEED, KEY, 0.2, LABEL)
+
+
+def _nodes(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Training rows with client and y, and test rows."""
+    train, test = _split(spark, d)
     # written once: every fit, round and evaluation reads them again
     return models.saved(partition.iid(train, n, SEED, KEY)), models.saved(test)
 
@@ -150,9 +155,9 @@ POOLED, SHALLOW = 4, trees.Growth(rounds=2, depth=3)
 
 
 def _pooled(spark: SparkSession, d: str) -> tuple[trees.Binned, DataFrame]:
-    """Training rows of POOLED nodes in bins, and test rows with client and y."""
-    train, test = _nodes(spark, d, POOLED)
-    return trees.binned(train, FEATURES, F.col("y"), KEY, F.array("client_id"), bins=32), test
+    """Training rows of POOLED nodes in bins, which writes them, and test rows with y."""
+    train, test = _split(spark, d)
+    return trees.binned(partition.iid(train, POOLED, SEED, KEY), FEATURES, F.col("y"), KEY, F.array("client_id"), bins=32), test
 
 
 def _vote_patterns(test: DataFrame, made: DataFrame) -> DataFrame:
@@ -196,7 +201,7 @@ def head_and_validators(spark: SparkSession, d: str) -> DataFrame:
     """(round, node, role, n, accuracy): in each round the head trains and all other nodes score the model that they hold, each on its own test rows."""
     data, test = _pooled(spark, d)
     made = pools.roles(spark, data, POOLED, POOLED, SHALLOW)
-    own = partition.iid(test.drop("client_id") if "client_id" in test.columns else test, POOLED, SEED, KEY)
+    own = partition.iid(models.saved(test), POOLED, SEED, KEY)
     return pools.role_accuracy(pools.role_predictions(own, made, FEATURES, "client_id", KEY, "y", depth=SHALLOW.depth), "y")
 
 

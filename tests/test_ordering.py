@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridwarden.functions import metrics, ordering
-from gridwarden.operators import topology
+from gridwarden.operators import partition, topology
 
 
 def test_running_sums(spark):
@@ -42,3 +42,31 @@ def test_nodes_of_clients(spark):
     got = {r.cid: r.node for r in topology.node_of_client(clients, known, 4).collect()}
     rank = {c: k for k, c in enumerate(sorted(("7", "1", "x", "20", "y")))}
     assert got == {"1": 1, "y": 3, "7": rank["7"] % 4, "20": rank["20"] % 4, "x": rank["x"] % 4}
+
+
+def _shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_steps_of_ranks(spark):
+    """A step function of ranks is that of ranked rows; rows of one key may change places."""
+    n = 6_000
+    df = spark.range(n).select(F.col("id"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 7 == 0, "rare").otherwise("often").alias("k"))
+    df = df.unionByName(spark.createDataFrame([(None, "rare")] * 5 + [(3, "rare")] * 4, "id bigint, k string")).coalesce(2).localCheckpoint()
+    for by, step in (([], lambda r, m: ordering.chunk(3, r, m)), (["k"], lambda r, m: F.when(r <= F.ceil(F.lit(0.2) * m), "val").otherwise("train")), (["k"], lambda r, m: ordering.chunk(n, r, m))):
+        expected = ordering.ranked(df, 1, "id", "s", *by).select("k", "id", step(F.col("_r"), F.col("_n")).alias("at"))
+        got = ordering.stepped(df, 1, "id", "s", "at", step, *by)
+        assert got.dtypes == [*df.dtypes, expected.dtypes[-1]]
+        assert sorted(map(str, got.select("k", "id", "at").collect())) == sorted(map(str, expected.collect()))
+    assert ordering.stepped(df.limit(0), 1, "id", "s", "at", lambda r, m: ordering.chunk(3, r, m)).count() == 0
+
+
+def test_splits_leave_rows_where_they_are(spark):
+    """Holdouts and clients shuffle counts of buckets and the rows of a few buckets, not all rows."""
+    n = 200_000
+    df = spark.range(0, n, 1, 2).select(F.col("id"), F.when(F.col("id") % 3 == 0, "view").otherwise("error").alias("k"))
+    for split in (lambda: partition.holdout(df, 1, "id", 0.2, "k"), lambda: partition.iid(df, 4, 1, "id"), lambda: partition.attack(df, 4, 1, "id", "k", "view")):
+        before = _shuffled_rows(spark)
+        split().write.format("noop").mode("overwrite").save()
+        assert 0 < _shuffled_rows(spark) - before < n / 4
