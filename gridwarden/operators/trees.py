@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import cumulative
 from .models import saved
 
 NODE = "struct<f:int,cut:double,l:int,r:int,v:double,gain:double>"
@@ -211,21 +212,65 @@ class Binned:
         return self.made[asked]
 
 
+def _quantiles(df: DataFrame, bins: int) -> tuple[list[list[float]], list[float]]:
+    """The values at k / ``bins`` of each column's rows, and each column's largest.
+
+    A sketch depends on the order of rows, so it gives only brackets around these values; what lies inside them is then counted value by value, so tasks
+    can't change the result. Should a value lie between brackets, that gap is counted in a further pass.
+    """
+    error, columns = 1 / (100 * bins), df.columns
+    ends = [min(max(k / bins + d * error, 0.0), 1.0) for d in (-1.5, 1.5) for k in range(1, bins)]
+    got = df.agg(*[f(c) for c in columns for f in (lambda v: F.percentile_approx(v, F.lit(ends), F.lit(100 * bins)), F.count, F.max)]).first()
+    low, high = ([sorted(got[3 * i][at]) if got[3 * i + 1] else [] for i in range(len(columns))] for at in (slice(bins - 1), slice(bins - 1, None)))
+    asked = [(i, k, -(-k * got[3 * i + 1] // bins)) for i in range(len(columns)) if got[3 * i + 1] for k in range(1, bins)]
+    values: list[dict[int, float]] = [{} for _ in columns]
+    while asked:
+        brackets = [(np.array(a, float), np.maximum.accumulate(np.array(b, float))) for a, b in zip(low, high)]
+
+        def run(batches, brackets=brackets):
+            for b in batches:
+                for i, (lo, hi) in enumerate(brackets):
+                    v = b.column(i).to_numpy(zero_copy_only=False).astype(float)
+                    v = v[~np.isnan(v)]
+                    if not len(v):
+                        continue
+                    at = np.searchsorted(lo, v, "right")
+                    inside = (at > 0) & (v <= hi[at - 1])
+                    # rows of a gap count at the bracket that ends it, before the rows inside
+                    for flag, x in ((0, np.append(lo, np.inf)[at[~inside]]), (1, v[inside])):
+                        x, n = np.unique(x, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i), pa.int32()), pa.array(x), pa.array(np.full(len(x), flag), pa.int32()), pa.array(n, pa.int64())], ["f", "v", "inside", "n"])
+
+        counts = df.mapInArrow(run, "f int, v double, inside int, n bigint").groupBy("f", "v", "inside").agg(F.sum("n").alias("n"))
+        upto = cumulative(counts, {"upto": F.col("n")}, [F.col("v"), F.col("inside")], ["f"]).alias("u")
+        ranks = F.broadcast(df.sparkSession.createDataFrame(asked, "f int, k int, rank bigint")).alias("r")
+        found = upto.join(ranks, F.expr("u.f = r.f AND r.rank <= u.upto AND r.rank > u.upto - u.n")).select("r.f", "r.k", "r.rank", "u.v", "u.inside").collect()
+        asked = []
+        for f, k, rank, v, inside in found:
+            if inside:
+                values[f][k] = v
+            else:
+                asked.append((f, k, rank))
+                lo, hi = brackets[f]
+                end = int(np.searchsorted(lo, v))
+                low[f], high[f] = sorted([*low[f], hi[end - 1] if end else -np.inf]), sorted([*high[f], v])
+    return [sorted(v.values()) for v in values], [got[3 * i + 2] for i in range(len(columns))]
+
+
 def binned(df: DataFrame, columns: list[str], y: Column, key: str, members: Column, bins: int = 64, held: Column | None = None) -> Binned:
     """Cut features by quantiles of all rows; ``members`` are the numbers of the models that a row is trained in, ``held`` the one that it tests."""
     if not 2 <= bins <= 256:
         raise ValueError("a bin's number is one byte: 2 to 256 bins")
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    values = [value(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    read = [value(c).alias(f"v{i}") for i, c in enumerate(columns)]
     held = (F.lit(None) if held is None else held).cast("int").alias("held")
     # what comes before may be dear, and is read twice from here
-    source = saved(df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), held, *values))
-    shares = [k / bins for k in range(1, bins)]
-    got = source.agg(*[f(F.col(f"v{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("q", lambda v: F.percentile_approx(v, F.lit(shares), F.lit(100 * bins))), ("m", F.max))]).first()
+    source = saved(df.select(F.col(key).cast("bigint").alias("key"), y.cast("int").alias("y"), members.cast("array<int>").alias("members"), held, *read))
+    values, most = _quantiles(source.select(*[f"v{i}" for i in range(len(columns))]), bins)
     edges = []
     for i in range(len(columns)):
-        inner = np.unique(np.array(got[f"q{i}"] or [], float))
-        edges.append(inner[inner < got[f"m{i}"]] if len(inner) else inner)
+        inner = np.unique(np.array(values[i], float))
+        edges.append(inner[inner < most[i]] if len(inner) else inner)
 
     def run(batches):
         for b in batches:

@@ -173,3 +173,17 @@ def test_no_list_of_grouped_rows_is_null(spark, rows):
     data = trees.binned(rows, ["a", "b"], F.col("y"), "id", F.array("client"), bins=64)
     nulls = data.groups().select(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("members", "bins", "n", "base")]).first()
     assert nulls.asDict() == {"members": 0, "bins": 0, "n": 0, "base": 0}
+
+
+def test_edges_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Edges are the values at k / bins of all rows, in any order, also where a bracket misses one."""
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.normal(size=60_000), rng.integers(0, 24, 60_000).astype(float)], 1)
+    df = spark.createDataFrame([(i, 0, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, y int, a double, b double").localCheckpoint()
+    exact = [np.unique(np.sort(c)[[-(-k * len(c) // 16) - 1 for k in range(1, 16)]]) for c in x.T]
+    edges = lambda d: trees.binned(d, ["a", "b"], F.col("y"), "id", F.array(F.lit(0)), bins=16).edges
+    for d in (df, df.repartition(7).sortWithinPartitions(F.desc("a")), df.coalesce(1).sortWithinPartitions("a")):
+        assert all(np.array_equal(a, b[b < c.max()]) for a, b, c in zip(edges(d), exact, x.T))
+    true = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda v, shares, accuracy: F.transform(true(v, shares, accuracy), lambda q: q / 2 + 1))
+    assert all(np.array_equal(a, b[b < c.max()]) for a, b, c in zip(edges(df), exact, x.T))
